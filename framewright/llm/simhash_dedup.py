@@ -37,7 +37,6 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Buckets up to this size compare all pairs.
 SMALL = 16
 _COUNT_ROWS = 1 << 16
-_POP = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
 def fingerprint(text: str | None, n: int = 3) -> int:
@@ -87,8 +86,7 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a ^ b).view(np.uint16).reshape(-1, 4)
-    return _POP[x].sum(axis=1, dtype=np.int16)
+    return np.bitwise_count(a ^ b)
 
 
 _ONE = np.concatenate([[0], [1 << i for i in range(64)]]).astype(np.uint64)
@@ -177,6 +175,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The row with the smallest id of each class, all columns; rows without an id stay unless the class has one."""
+    """The document with the smallest id of each class, all columns; rows without an id stay."""
     firsts = near_duplicates(docs, text, doc_id).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(firsts, docs[doc_id] == firsts["_keep"], "left_semi")
+    return docs.join(firsts, docs[doc_id] == firsts["_keep"], "left_semi").union(docs.where(docs[doc_id].isNull()))
