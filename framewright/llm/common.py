@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Bytes that are no part of a letter, digit or non-ASCII character.
 NON_WORD = bytes(b for b in range(128) if not chr(b).isalnum())
+PUNCTUATION = bytes(b for b in NON_WORD if b not in SPACES)
 BLOCK = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
@@ -77,9 +78,12 @@ class WordHasher:
     a megabyte bound the memory whatever a text's length (one word is never cut).
     """
 
-    def __init__(self, separators: bytes):
-        self.separator = np.zeros(256, dtype=bool)
-        self.separator[list(separators)] = True
+    def __init__(self, separators: bytes, apart: bytes = b""):
+        """Words are runs of bytes other than separators; runs of the bytes `apart` are words of their own."""
+        self.kind = np.ones(256, dtype=np.uint8)
+        self.kind[list(apart)] = 2
+        self.kind[list(separators)] = 0
+        self.separator = self.kind == 0
         self.value = np.arange(1, 257, dtype=np.uint64)
         self.power = self.inverse = np.ones(1, dtype=np.uint64)
 
@@ -93,10 +97,10 @@ class WordHasher:
     def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, starts and ends (in bytes) of the words of one block."""
         raw = np.frombuffer(data, dtype=np.uint8)
-        inside = np.zeros(len(raw) + 2, dtype=np.int8)
-        inside[1:-1] = ~self.separator[raw]
-        edge = np.diff(inside)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        kind = np.zeros(len(raw) + 2, dtype=np.uint8)
+        kind[1:-1] = self.kind[raw]
+        edge = kind[1:] != kind[:-1]
+        start, end = np.flatnonzero(edge & (kind[1:] != 0)), np.flatnonzero(edge & (kind[:-1] != 0))
         self._powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self.value[raw] * self.power[: len(raw)], out=total[1:])
