@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash_dedup, simple8b
+from . import decontaminate, packing, pii, quality, simhash_dedup, simple8b
 from .common import table
 
 
@@ -26,24 +26,29 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _tokenizer(name: str) -> str:
+def op7_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op10_simple8b_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simple8b.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return simple8b.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_pii_sanitisation": op7_pii_sanitisation,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simple8b_token_ids": op10_simple8b_token_ids,
 }

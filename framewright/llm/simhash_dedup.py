@@ -176,5 +176,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The document with the smallest id of each class, all columns; rows without an id stay."""
-    firsts = near_duplicates(docs, text, doc_id).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(firsts, docs[doc_id] == firsts["_keep"], "left_semi").union(docs.where(docs[doc_id].isNull()))
+    got = near_duplicates(docs, text, doc_id).where("doc_id is not null and doc_id <> component_id")
+    later = written(got.select(F.col("doc_id").alias("_drop")).distinct(), "later-copies")
+    return docs.join(later, docs[doc_id] == later["_drop"], "left_anti")
