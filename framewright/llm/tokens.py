@@ -1,31 +1,39 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of word ids.
+"""Token ids of whole texts by the tokenizers library, with a bounded table of the ids of parts.
 
 A text is cut where every pre-tokenizer of its kind cuts too, so the ids of the parts,
-joined, are the ids of the text:
+joined, are the ids of the text. Kinds:
 
 - "dropped": white space only separates (it is no part of any token);
-- "leading": a space goes with what follows it (byte-level). A space with white space on
-  both sides is no safe cut; such a text is encoded whole;
+- "leading": one space goes with what follows it (byte-level); a line end between other
+  characters is a part of its own;
 - "whole": any other tokenizer; every text is encoded whole.
 
-A part's trailing ASCII punctuation is a pre-token of its own after a letter or digit, so
-"word," costs no more than "word". Tokens' strings in a text are ordinary text.
+Parts end at white space and where ASCII letters, digits and punctuation meet; next to
+other characters, and after an apostrophe, nothing is cut. Cutting, hashing and looking up
+all parts of some megabytes of text are array operations; the library encodes each part
+once, when it is first seen. Rare texts that hold longer runs of white space (or NUL) under
+"leading" take a slower path with the same ids.
+
+Parts are told apart by 64-bit hashes: at ten million different parts the odds of any
+collision are about three in a million. Token strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from functools import cache
 
 import numpy as np
 
-MAX_CACHED = 1_000_000
-_TAIL = ",.!?;:#*&%$|)"
-_unsafe, _maybe_unsafe = re.compile(r"\s \s").search, re.compile(r" \s").search
-#: White space to Python's split() alone.
-_ODD = "\x1c\x1d\x1e\x1f"
+from .common import WordHasher, mix
+
+#: Parts kept; later ones are encoded anew for each slice. Frequent parts come early.
+MAX_KEPT = 1_000_000
+MAX_BYTES = 64
+_SLICE = 4 << 20
+_OTHER, _LETTER, _DIGIT, _PUNCT, _QUOTE, _LINE = 1, 2, 3, 4, 5, 6
+_WHITE = b" \t\n\x0b\x0c\r"
 
 
 def kind_of(path: str) -> str:
@@ -43,6 +51,42 @@ def kind_of(path: str) -> str:
     return "whole"
 
 
+class Parts(WordHasher):
+    """Cuts a block of NUL-separated texts into parts and hashes them."""
+
+    def __init__(self, kind: str):
+        super().__init__(b"")
+        c = np.full(256, _OTHER, dtype=np.uint8)
+        for b in range(33, 127):
+            c[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _PUNCT
+        c[ord("'")] = _QUOTE
+        c[list(_WHITE)] = _LINE if kind == "leading" else 0
+        c[[0, 32]] = 0
+        self.kind = c
+        self.separator = c == 0
+        cut = np.ones((7, 7), dtype=bool)
+        cut[_OTHER, [_OTHER, _LETTER, _DIGIT, _PUNCT, _QUOTE]] = cut[[_LETTER, _DIGIT, _PUNCT, _QUOTE], _OTHER] = False
+        cut[_QUOTE, [_QUOTE, _LETTER, _DIGIT, _PUNCT]] = cut[_PUNCT, _QUOTE] = False
+        cut[range(7), range(7)] = False
+        self.cut = cut.ravel()
+        self.leading = kind == "leading"
+
+    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(data, dtype=np.uint8)
+        kind = np.zeros(len(raw) + 2, dtype=np.uint8)
+        kind[1:-1] = self.kind[raw]
+        edge = self.cut[kind[:-1] * np.uint8(7) + kind[1:]]
+        start, end = np.flatnonzero(edge & (kind[1:] != 0)), np.flatnonzero(edge & (kind[:-1] != 0))
+        self._powers(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(self.value[raw] * self.power[: len(raw)], out=total[1:])
+        h = (total[end] - total[start]) * self.inverse[start]
+        if self.leading:
+            spaced = (start > 0) & (raw[np.maximum(start, 1) - 1] == 32)
+            h = h * np.uint64(2) + spaced
+        return mix(h), start, end
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,46 +95,136 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = kind_of(path)
-        self.known: dict[str, bytes] = {}
-        self.limit = MAX_CACHED
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def _parts(self, text: str) -> list[str]:
-        if self.kind == "dropped" and not any(c in text for c in _ODD):
-            return text.split()
-        if self.kind == "leading" and "\x00" not in text and not (_maybe_unsafe(text) and _unsafe(text)):
-            return text.replace(" ", "\x00 ").split("\x00")
-        return [text]
+        self.parts = Parts(self.kind)
+        self.limit = MAX_KEPT
+        self.key = np.zeros(1 << 14, dtype=np.uint64)
+        self.entry = np.full(1 << 14, -1, dtype=np.int32)
+        self.at, self.size, self.n = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64), 0
+        self.store, self.used = np.zeros(1 << 14, dtype=np.uint32), 0
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        mask = np.uint64(len(self.key) - 1)
+        slot = (h & mask).astype(np.int64)
+        got = self.entry[slot]
+        open_ = np.flatnonzero((got >= 0) & (self.key[slot] != h))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.key) - 1)
+            got[open_] = self.entry[slot[open_]]
+            open_ = open_[(got[open_] >= 0) & (self.key[slot[open_]] != h[open_])]
+        return got
+
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Adds different new hashes."""
+        if 2 * (self.n + len(h)) > len(self.key):
+            old = self.entry >= 0
+            h, entry = np.concatenate([self.key[old], h]), np.concatenate([self.entry[old], entry])
+            n = 1 << int(4 * len(h)).bit_length()
+            self.key, self.entry = np.zeros(n, dtype=np.uint64), np.full(n, -1, dtype=np.int32)
+        slot = (h & np.uint64(len(self.key) - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.entry[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            free = free[first]
+            self.key[slot[free]], self.entry[slot[free]] = h[free], entry[free]
+            done = np.zeros(len(h), dtype=bool)
+            done[free] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) & (len(self.key) - 1)
+
+    def _append(self, ids: list[list[int]]) -> np.ndarray:
+        """Stores ids; their entries."""
+        size = np.array([len(i) for i in ids], dtype=np.int64)
+        flat = np.array([x for i in ids for x in i], dtype=np.uint32)
+        for name, need in (("at", self.n + len(ids)), ("size", self.n + len(ids)), ("store", self.used + len(flat))):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have)), dtype=have.dtype)]))
+        entry = np.arange(self.n, self.n + len(ids))
+        self.at[entry], self.size[entry] = self.used + np.cumsum(size) - size, size
+        self.store[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + len(ids), self.used + len(flat)
+        return entry
+
+    def _slow(self, data: bytes) -> bool:
+        """Whether white space stands where "leading" parts don't tell how it is tokenized."""
+        if not self.parts.leading:
+            return b"\x00" in data
+        raw = np.frombuffer(data, dtype=np.uint8)
+        white = _IS_WHITE[raw]
+        if len(raw) and (white[0] or white[-1] or (white[1:] & white[:-1]).any() or not raw.all()):
+            return True
+        at = np.flatnonzero(_LEADS[raw])
+        return bool(len(at)) and any(c in _EXOTIC for i in at.tolist() if (c := data[i : i + (2 if data[i] == 0xC2 else 3)]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self._parts(t or "") for t in texts]
-        known, ids = self.known, {}
-        new = {w for p in parts for w in p if w not in known}
-        if new:
-            cut = [] if self.kind == "whole" else [(w, s, w[len(s) :]) for w in new if (s := w.rstrip(_TAIL)) and len(s) < len(w) and s[-1].isalnum()]
-            stems = new.difference([c[0] for c in cut])
-            stems.update(x for c in cut for x in c[1:] if x not in known)
-            stems = list(stems)
-            ids = dict(zip(stems, self._encode(stems), strict=True))
-            for w, s, tail in cut:
-                ids[w] = (ids.get(s) or known.get(s, b"")) + (ids.get(tail) or known.get(tail, b""))
-            known.update(ids)
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        if new and len(known) > self.limit:
-            self._forget(ids)
+        data = [(t or "").encode() for t in texts]
+        out: list[bytes] = [b""] * len(data)
+        run, size = [], 0
+        for i, d in enumerate(data):
+            if self.kind == "whole" or len(d) > _SLICE or self._slow(d):
+                out[i] = np.array(self._library([texts[i] or ""])[0], dtype="<u4").tobytes()
+                continue
+            run.append(i)
+            size += len(d)
+            if size > _SLICE:
+                self._slice(data, run, out)
+                run, size = [], 0
+        self._slice(data, run, out)
         return out
 
-    def _forget(self, ids: dict[str, bytes]) -> None:
-        """Frequent words come early: a full cache keeps what it has and drops what came last."""
-        for w in ids:
-            del self.known[w]
+    def _slice(self, data: list[bytes], run: list[int], out: list[bytes]) -> None:
+        block = b"\x00".join([data[i] for i in run])
+        h, start, end = self.parts.block(block)
+        if not len(h):
+            return
+        entry = self._find(h)
+        n, used = self.n, self.used
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            fresh, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            first = new[first]
+            spaced = self.parts.leading
+            s = np.where(spaced & (start[first] > 0) & (np.frombuffer(block, dtype=np.uint8)[np.maximum(start[first], 1) - 1] == 32), start[first] - 1, start[first]) if spaced else start[first]
+            e = end[first]
+            # those to keep come first, so that the rest can be dropped after this slice
+            order = np.argsort(e - s > MAX_BYTES, kind="stable")
+            keep = int((e - s <= MAX_BYTES).sum())
+            keep = max(0, min(keep, self.limit - n))
+            ids = self._library([block[a:b].decode() for a, b in zip(s[order].tolist(), e[order].tolist(), strict=True)])
+            kept = sum(len(i) for i in ids[:keep])
+            got = np.empty(len(fresh), dtype=np.int64)
+            got[order] = self._append(ids)
+            entry[new] = got[back]
+        size = self.size[entry]
+        ends = np.cumsum(size)
+        ids = self.store[np.repeat(self.at[entry] - ends + size, size) + np.arange(ends[-1])].astype("<u4").tobytes()
+        if len(new):
+            self.n, self.used = n + keep, used + kept
+            self.n -= keep
+            self._insert(fresh[order[:keep]], got[order[:keep]].astype(np.int32))
+            self.n += keep
+        offset = np.cumsum([0, *(len(data[i]) + 1 for i in run)])
+        cut = np.searchsorted(start, offset)
+        at = np.concatenate([[0], ends])[cut] * 4
+        for i, a, b in zip(run, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            out[i] = ids[a:b]
+
+
+_IS_WHITE = np.zeros(256, dtype=bool)
+_IS_WHITE[list(_WHITE)] = True
+#: White space beyond ASCII.
+_EXOTIC = {chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
+_LEADS = np.zeros(256, dtype=bool)
+_LEADS[[c[0] for c in _EXOTIC]] = True
 
 
 @cache
 def encoder(path: str) -> Encoder:
-    """The process's encoder: its word cache outlives a task."""
+    """The process's encoder: its table outlives a task."""
     return Encoder(path)
