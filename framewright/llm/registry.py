@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, simhash_dedup, simple8b
+from . import decontaminate, licences, packing, pii, quality, rules, simhash_dedup, simple8b
 from .common import table
 
 
@@ -26,10 +26,20 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out())
+    got = rules.judged(table(spark, sf_dir, "documents"), labels)
+    return got.select("doc_id", *rules.COUNTS[:5], "base_failed", "kept", "rule")
+
+
 def op7_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -48,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_quality_rules": op6_quality_rules,
     "op7_pii_sanitisation": op7_pii_sanitisation,
+    "op8_licence_scan": op8_licence_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simple8b_token_ids": op10_simple8b_token_ids,
 }
