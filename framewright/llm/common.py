@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,16 +51,13 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
-def slices(texts: list[str | None], limit: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts holding about `limit` characters each (one text may be longer)."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, limit: int = 2 * BLOCK) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of ranges of about `limit` bytes each (one text may be longer)."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else [0]
+    for s, e in zip(cuts, cuts[1:], strict=False):
+        yield s, texts.slice(s, e - s).to_pylist()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

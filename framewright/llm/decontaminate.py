@@ -188,9 +188,9 @@ def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value)
         for b in batches:
-            ids, part, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for s, e in slices(part):
-                for i, h in enumerate(word_hashes(part[s:e]), s):
+            ids, rows = b.column(0).to_pylist(), []
+            for s, texts in slices(b.column(1)):
+                for i, h in enumerate(word_hashes(texts), s):
                     rows += [(ids[i], *m) for m in index.matches(h)]
             if rows:
                 names = ["doc_id", "item_id", "similarity", "start_word", "n_words", "distance", "n_windows"]

@@ -240,9 +240,9 @@ def scanned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner()
         for b in batches:
-            ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for s, e in slices(texts):
-                rows += [scan.scan(h) for _, h in _hasher.texts([(t or "").encode().lower() for t in texts[s:e]])]
+            ids, rows = b.column(0).to_pylist(), []
+            for _, texts in slices(b.column(1)):
+                rows += [scan.scan(h) for _, h in _hasher.texts([(t or "").encode().lower() for t in texts])]
             cols = [ids, *zip(*rows, strict=True)] if rows else [[] for _ in NAMES]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], NAMES)
 

@@ -44,10 +44,10 @@ def pieces(docs: DataFrame, path: str, end: int = END, length: int = LENGTH, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for s, e in slices(texts):
+            ids = b.column(0).to_pylist()
+            for s, texts in slices(b.column(1)):
                 rows = []
-                for i, got in zip(ids[s:e], enc.encode(texts[s:e]), strict=True):
+                for i, got in zip(ids[s : s + len(texts)], enc.encode(texts), strict=True):
                     got += tail
                     for k in range(0, len(got), 4 * length):
                         part = got[k : k + 4 * length]

@@ -91,8 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, y, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i, f in enumerate(features(texts)):
+            ids, y = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, f in ((s + i, f) for s, texts in slices(b.column(2)) for i, f in enumerate(features(texts))):
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i]], pa.int64()), pa.array([y[i]]), pa.array([f.tobytes()])], ["doc_id", "y", "at"])
 
     sample = labelled_sample(docs, labels, label, max_train).select("doc_id", "y", "text")
@@ -108,9 +108,9 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for b in batches:
-            texts, score = b.column(b.num_columns - 1).to_pylist(), []
-            for s, e in slices(texts):
-                for at in features(texts[s:e]):
+            score = []
+            for _, texts in slices(b.column(b.num_columns - 1)):
+                for at in features(texts):
                     dot = float(w[at].sum(dtype=np.float64)) * (_SCALE / max(1, len(at))) + float(w[-1])
                     score.append(1 / (1 + np.exp(-min(max(dot, -35.0), 35.0))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], [*b.schema.names[:-1], out])

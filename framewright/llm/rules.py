@@ -72,9 +72,9 @@ def statistics(text: str | None) -> tuple[int, ...]:
 def with_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, rows = b.column(1).to_pylist(), []
-            for s, e in slices(texts):
-                rows += [statistics(t) for t in texts[s:e]]
+            rows = []
+            for _, texts in slices(b.column(1)):
+                rows += [statistics(t) for t in texts]
             cols = np.array(rows, dtype=np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[:, i]) for i in range(len(COUNTS)))], ["doc_id", *COUNTS])
 

@@ -173,9 +173,9 @@ def write(docs: DataFrame, out: str, path: str, end: int = END, text: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], ["part", "seq", "start", "n_ids", "payload"])
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for s, e in slices(texts):
-                for i, got in zip(ids[s:e], enc.encode(texts[s:e]), strict=True):
+            ids = b.column(0).to_pylist()
+            for s, texts in slices(b.column(1)):
+                for i, got in zip(ids[s : s + len(texts)], enc.encode(texts), strict=True):
                     held_ids.append(i)
                     held.append(got + tail)
                     size += len(held[-1])

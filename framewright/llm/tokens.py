@@ -29,9 +29,9 @@ import numpy as np
 from .common import WordHasher, mix
 
 #: Parts kept; later ones are encoded anew for each slice. Frequent parts come early.
-MAX_KEPT = 1_000_000
+MAX_KEPT = 600_000
 MAX_BYTES = 64
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _OTHER, _LETTER, _DIGIT, _PUNCT, _QUOTE, _LINE = 1, 2, 3, 4, 5, 6
 _WHITE = b" \t\n\x0b\x0c\r"
 
