@@ -1,0 +1,10 @@
+"""Trajectory scoring on Spark: sources, operators, plans. Importing this package imports no Spark."""
+
+__version__ = "0.1.0"
+
+
+def tools() -> dict:
+    """The four verbs by name (loaded on use)."""
+    from framewright.plans import verbs
+
+    return verbs.TOOLS
