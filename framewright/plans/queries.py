@@ -201,9 +201,9 @@ def pdb_parse(t):
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))")
 def leak_scan(t):
     items = sorted((r.item_id, r.text) for r in t.benchmark.select("item_id", "text").collect())  # a stated query set
-    known = F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(x).alias("text")) for i, x in items])
+    known = F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.lower(F.lit(x)).alias("low")) for i, x in items])
     docs = t.documents.select("doc_id", F.lower("text").alias("low"))
-    hits = F.filter(known, lambda k: F.contains(F.col("low"), F.lower(k["text"])))
+    hits = F.filter(known, lambda k: F.contains(F.col("low"), k["low"]))
     return docs.select("doc_id", F.explode(hits).alias("h")).select("doc_id", F.col("h.item_id").alias("item_id"))
 
 
