@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import PUNCTUATION, SPACES, WordHasher, mix, slices
 
 BITS = 18
-MAX_TRAIN = 6_000
+MAX_TRAIN = 4_000
 THRESHOLD = 0.7
 _SCALE = 8.0
 _hasher = WordHasher(SPACES, PUNCTUATION)
