@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +60,14 @@ def slices(texts: pa.Array, limit: int = 2 * BLOCK) -> Iterator[tuple[int, list[
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else [0]
     for s, e in zip(cuts, cuts[1:], strict=False):
         yield s, texts.slice(s, e - s).to_pylist()
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker process outlives its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,14 +94,17 @@ class WordHasher:
         self.kind[list(separators)] = 0
         self.separator = self.kind == 0
         self.value = np.arange(1, 257, dtype=np.uint64)
-        self.power = self.inverse = np.ones(1, dtype=np.uint64)
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
+    #: Shared by all hashers of a process.
+    power = inverse = np.ones(1, dtype=np.uint64)
+
+    @staticmethod
+    def _powers(n: int) -> None:
+        if len(WordHasher.power) < n:
             n = max(n, BLOCK + 4096)
             one = np.ones(1, dtype=np.uint64)
-            self.power = np.concatenate([one, np.full(n - 1, _P, dtype=np.uint64)]).cumprod(dtype=np.uint64)
-            self.inverse = np.concatenate([one, np.full(n - 1, _P_INV, dtype=np.uint64)]).cumprod(dtype=np.uint64)
+            WordHasher.power = np.concatenate([one, np.full(n - 1, _P, dtype=np.uint64)]).cumprod(dtype=np.uint64)
+            WordHasher.inverse = np.concatenate([one, np.full(n - 1, _P_INV, dtype=np.uint64)]).cumprod(dtype=np.uint64)
 
     def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, starts and ends (in bytes) of the words of one block."""

@@ -29,7 +29,7 @@ import numpy as np
 from .common import WordHasher, mix
 
 #: Parts kept; later ones are encoded anew for each slice. Frequent parts come early.
-MAX_KEPT = 600_000
+MAX_KEPT = 500_000
 MAX_BYTES = 64
 _SLICE = 1 << 20
 _OTHER, _LETTER, _DIGIT, _PUNCT, _QUOTE, _LINE = 1, 2, 3, 4, 5, 6

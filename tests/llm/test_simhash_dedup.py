@@ -16,8 +16,20 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def plain_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
 def plain_components(fps):
-    ids = list(fps)
+    return plain_classes(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+
+
+def plain_classes(ids, linked):
     root = {i: i for i in ids}
 
     def find(i):
@@ -26,7 +38,7 @@ def plain_components(fps):
         return i
 
     for a, b in combinations(ids, 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 3:
+        if linked(a, b):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: find(i) for i in ids}
@@ -51,8 +63,11 @@ def test_against_brute_force(spark):
     fps = {k: plain_fingerprint(v) for k, v in texts.items()}
     want = plain_components(fps)
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(k, f"{fps[k]:016x}", want[k]) for k in texts}
-    kept = {r.doc_id for r in op.deduplicated(docs).collect()}
-    assert kept == set(want.values())
+    kept = op.deduplicated(docs)
+    assert kept.columns == docs.columns
+    grams = {k: plain_set(v) for k, v in texts.items()}
+    near = plain_classes(list(texts), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3 or plain_similarity(grams[a], grams[b]) >= 0.8)
+    assert {r.doc_id for r in kept.collect()} == set(near.values())
 
 
 def test_links_of_large_buckets_connect_like_all_pairs(spark):
@@ -86,3 +101,37 @@ def test_links_of_large_buckets_connect_like_all_pairs(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op.near_duplicates(docs).collect() == []
+    assert op.deduplicated(docs).collect() == []
+
+
+def test_edited_copies_of_all_sizes_are_found_and_others_left(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows, groups = [], {}
+    for g in range(40):
+        base = [rng.choice(vocab) for _ in range(rng.choice([30, 120, 500]))]
+        for k in range(rng.choice([1, 2, 12])):
+            copy = list(base)
+            for _ in range(len(base) // 60 if k else 0):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    shared = " ".join(rng.choice(vocab) for _ in range(60))
+    for _ in range(60):  # a passage in common is no copy
+        groups[len(rows)] = len(rows) + 1000
+        rows.append((len(rows), shared + " " + " ".join(rng.choice(vocab) for _ in range(120))))
+    rows += [(None, rows[0][1]), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.doc_id for r in op.deduplicated(docs).collect()]
+    assert got.count(None) == 2
+    kept = {i for i in got if i is not None}
+    firsts = {min(i for i in groups if groups[i] == g) for g in set(groups.values())}
+    assert firsts <= kept and len(kept - firsts) <= 2
+
+
+def test_sampled_fingerprints_of_long_sets_do_not_depend_on_blocks():
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 100_000).astype(np.uint64))
+    h = op.mix(x[None] ^ op._ORDERS[:, None])
+    least = np.sort(h, axis=1)[:, : op.SAMPLE]
+    bits = np.unpackbits(least.view(np.uint8).reshape(op.SAMPLES, -1, 8), axis=2).sum(axis=1) * 2 > op.SAMPLE
+    assert np.array_equal(op.sample_fingerprints(x), np.packbits(bits, axis=1).view(np.int64).ravel())
