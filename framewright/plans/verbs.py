@@ -11,7 +11,11 @@ from framewright import __version__
 def _session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.executorEnv.OMP_NUM_THREADS", "1").getOrCreate()
+    from framewright.functions.ship import ship
+
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.executorEnv.OMP_NUM_THREADS", "1").getOrCreate()
+    ship(spark)
+    return spark
 
 
 def list_benchmark_tasks(dataset_dir: str = "benchmarks") -> dict:
