@@ -48,6 +48,14 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """So many partitions that none has many more rows than rows_each, and at least the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
@@ -118,7 +126,7 @@ class WordHasher:
         np.cumsum(self.value[raw] * self.power[: len(raw)], out=total[1:])
         return mix((total[end] - total[start]) * self.inverse[start]), start, end
 
-    def _cut(self, data: bytes) -> Iterator[bytes]:
+    def cut(self, data: bytes) -> Iterator[bytes]:
         """Blocks of a long text, ending at separators."""
         at = 0
         while at < len(data):
@@ -144,7 +152,7 @@ class WordHasher:
                 start, size = i, 0
             if i < len(texts):
                 if len(texts[i]) > BLOCK:
-                    yield i, np.concatenate([self.block(b)[0] for b in self._cut(texts[i])])
+                    yield i, np.concatenate([self.block(b)[0] for b in self.cut(texts[i])])
                     start, size = i + 1, 0
                 else:
                     size += len(texts[i])

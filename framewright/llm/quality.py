@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, SPACES, WordHasher, mix, slices
+from .common import PUNCTUATION, SPACES, WordHasher, free_name, mix, slices
 
 BITS = 18
 MAX_TRAIN = 4_000
@@ -117,7 +117,8 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str =
 
     kept = [c for c in docs.columns if c != out]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, F.col(text).cast("string").alias("_scored_text")).mapInArrow(run, f"{kinds}, `{out}` double")
+    copy = free_name(docs, "_scored_text")
+    return docs.select(*kept, F.col(text).cast("string").alias(copy)).mapInArrow(run, f"{kinds}, `{out}` double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -39,27 +39,33 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Buckets up to this size compare all pairs.
 SMALL = 16
 _COUNT_ROWS = 1 << 16
+_words = WordHasher(SPACES)
 
 
 def fingerprint(text: str | None, n: int = 3) -> int:
     """The unsigned 64-bit SimHash of one text's n-word shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+    seen, ones, carry = 0, np.zeros(64, dtype=np.int64), []
+    for block in _words.cut((text or "").encode().lower()):
+        words = carry + block.split()
+        if len(words) >= n:
+            ones += _bit_counts(words, n)
+            seen += len(words) - n + 1
+        carry = words[max(0, len(words) - n + 1) :]
+    if not seen and carry:
+        ones, seen = _bit_counts(carry, len(carry)), 1
+    return int.from_bytes(np.packbits(2 * ones > seen).tobytes(), "big")
+
+
+def _bit_counts(words: list[bytes], n: int) -> np.ndarray:
+    """How often each bit is set among the hashes of the words' n-word shingles."""
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = max(1, len(words) - n + 1)
-    spans = zip(starts[:k].tolist(), ends[-k:].tolist(), strict=True)
+    k = len(words) - n + 1
     digest = xxhash.xxh64_digest
-    seen, ones = 0, np.zeros(64, dtype=np.int64)
-    hashes = [digest(joined[s:e], 42) for s, e in spans]
-    for at in range(0, k, _COUNT_ROWS):
-        part = hashes[at : at + _COUNT_ROWS]
-        bits = np.unpackbits(np.frombuffer(b"".join(part), dtype=np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int32)
-        seen += len(part)
-    return int.from_bytes(np.packbits(2 * ones > seen).tobytes(), "big")
+    hashes = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[:k].tolist(), ends[n - 1 :].tolist(), strict=True)])
+    rows = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
+    return sum(np.unpackbits(rows[at : at + _COUNT_ROWS], axis=1).sum(axis=0, dtype=np.int64) for at in range(0, k, _COUNT_ROWS))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", n: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -189,7 +195,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLES, SAMPLE = 24, 6
 _ORDERS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_words = WordHasher(SPACES)
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:

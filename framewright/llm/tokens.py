@@ -68,14 +68,14 @@ class Parts(WordHasher):
         cut[_OTHER, [_OTHER, _LETTER, _DIGIT, _PUNCT, _QUOTE]] = cut[[_LETTER, _DIGIT, _PUNCT, _QUOTE], _OTHER] = False
         cut[_QUOTE, [_QUOTE, _LETTER, _DIGIT, _PUNCT]] = cut[_PUNCT, _QUOTE] = False
         cut[range(7), range(7)] = False
-        self.cut = cut.ravel()
+        self.joint = cut.ravel()
         self.leading = kind == "leading"
 
     def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(data, dtype=np.uint8)
         kind = np.zeros(len(raw) + 2, dtype=np.uint8)
         kind[1:-1] = self.kind[raw]
-        edge = self.cut[kind[:-1] * np.uint8(7) + kind[1:]]
+        edge = self.joint[kind[:-1] * np.uint8(7) + kind[1:]]
         start, end = np.flatnonzero(edge & (kind[1:] != 0)), np.flatnonzero(edge & (kind[:-1] != 0))
         self._powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, dtype=np.uint64)

@@ -17,7 +17,7 @@ common validator), "unmatched" (no earlier response), "full" for full responses.
 
 Nulls and rows: a null URL or time matches nothing; null headers are empty; among
 responses of one time the largest record id counts; repeated rows are each returned; an
-empty table gives an empty result; further columns are kept.
+empty table gives an empty result; further columns are kept (those named like a new one are replaced).
 """
 
 from __future__ import annotations

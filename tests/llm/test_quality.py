@@ -41,11 +41,11 @@ def test_scores_do_not_depend_on_neighbours_or_labels_of_held_out_rows(spark):
 
 
 def test_nulls_empty_repeats_and_unlabelled(spark):
-    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x y", "c"), (3, "x y", "d"), (3, "x y", "d")], "doc_id long, text string, _text string")
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x y", "c"), (3, "x y", "d"), (3, "x y", "d")], "doc_id long, text string, _scored_text string")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     w = op.train(docs, labels)
     got = op.scored(docs, w)
-    assert got.count() == 5 and set(got.columns) == {"doc_id", "text", "_text", "score"}
+    assert got.count() == 5 and set(got.columns) == {"doc_id", "text", "_scored_text", "score"}
     assert {r.score for r in got.collect()} == {0.5}
     assert op.scored(docs.where(F.lit(False)), w).collect() == []
 

@@ -70,6 +70,14 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(near.values())
 
 
+def test_fingerprints_of_long_texts_and_other_widths():
+    rng = random.Random(2)
+    long = " ".join(str(rng.randrange(10**9)) for _ in range(400_000))  # several blocks
+    for text in (long, "x" * 3_000_000, "a " * 700_000):
+        assert op.fingerprint(text) == plain_fingerprint(text)
+    assert op.fingerprint("b a", 1) == op.fingerprint("a b", 1) and op.fingerprint("a b", 5) == plain_fingerprint("a b")
+
+
 def test_links_of_large_buckets_connect_like_all_pairs(spark):
     rng = np.random.default_rng(3)
     centre = int(rng.integers(1 << 62))
