@@ -112,13 +112,16 @@ def compared(null: DataFrame, observed: DataFrame, keys: list[str], value: str =
     return got.withColumns({"z_score": z, "p_value_upper_bound": (F.col("exceed") + 1) / (F.col("draws") + 1), "h0_rejected": F.col("observed") > F.col("null_max")})
 
 
-def test_beyond_structure(own: np.ndarray, reference: np.ndarray, null: DataFrame, random: DataFrame | None = None) -> dict:
-    """Whether own modes agree with the reference beyond what the structure alone predicts. `null`: rmsip and cutoff rows."""
+def test_beyond_structure(own: np.ndarray, reference: np.ndarray, null: DataFrame, context=None) -> dict:
+    """Whether own modes agree with the reference beyond what the structure alone predicts.
+
+    `null`: rmsip and cutoff rows. `context`: mean m and deviation s of the random null, drawn here if not given.
+    """
     spark, cos = null.sparkSession, correlations(own, reference)
     observed = float(np.sqrt(np.square(cos).sum() / own.shape[1]))
     row = compared(null.select("rmsip"), spark.createDataFrame([(observed,)], "observed double"), []).first()
-    random = random_null(spark, own.shape[0], own.shape[1], 2000) if random is None else random
-    context = random.agg(F.avg("rmsip").alias("m"), F.stddev_pop("rmsip").alias("s")).first()
+    if context is None:
+        context = random_null(spark, own.shape[0], own.shape[1], 2000).agg(F.avg("rmsip").alias("m"), F.stddev_pop("rmsip").alias("s")).first()
     out = {"test_id": TEST_ID, "contract_id": CONTRACT_ID, "rmsip": observed, "canonical_correlations": cos.tolist()}
     out |= {k: row[k] for k in ("null_mean", "null_sd", "null_max", "z_score", "p_value_upper_bound", "h0_rejected")}
     out["null_cutoffs"] = sorted(r.cutoff for r in null.select("cutoff").collect())

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import numpy as np
@@ -52,7 +54,8 @@ class Contract:
         self.coords = np.array([(r.x, r.y, r.z) for r in self.keys.collect()])
         n = task["reference"]["reference_system"]["PROTATS"]
         got = frames.read_f32(spark, f"{bundle}/reference_frames.f32", n, self.indices).withColumn("traj_id", F.lit("reference"))
-        self.subspaces = linalg.essential_subspaces(got, {"reference": self.coords}).cache()
+        size = os.path.getsize(f"{bundle}/reference_frames.f32") // (12 * n)
+        self.subspaces = linalg.essential_subspaces(got, {"reference": self.coords}, sizes={"reference": size}).cache()
         self.modes = linalg.frame_of(self.subspaces, "reference")
         self._null = None
 
@@ -60,6 +63,7 @@ class Contract:
         """The network sweep; it depends on the reference alone and is kept."""
         if self._null is None:
             self._null = nulls.network_null(spark, {"reference": (self.coords, self.modes)}).cache()
+            self._null.count()
         return self._null
 
     def resolved(self, topology: DataFrame) -> list[tuple]:
@@ -93,8 +97,26 @@ def gathered(traj: DataFrame, **atoms: list[int]) -> DataFrame:
     return traj.select("traj_id", "frame", "time_ps", F.col("box_nm")[0].alias("box"), "xyz_nm").mapInArrow(run, f"traj_id string, frame int, time_ps double, box double, {kinds}")
 
 
+def _prep_facts(spark: SparkSession, prep: str, specs: dict) -> tuple:
+    """Composition row, wrong residues and broken pairs of the prepared structure."""
+    atoms = pdb.read_pdb(spark, _one(spark, f"{prep}/artifacts/merge/*.pdb")).cache()
+    counts, short, broken = relational.composition(atoms).first(), None, None
+    if spec := specs.get("truncated_sidechains_completed"):
+        expected = spark.createDataFrame([(k,) for k in spec["expected_complete_residues"]], "key string")
+        short = {r.key: r.heavy for r in relational.incomplete_residues(atoms, expected, F.lit(spec["expected_heavy_atoms_per_residue"])).collect()}
+    if spec := specs.get("disulfide_bonds_formed"):
+        pairs = spark.createDataFrame([tuple(p) for p in spec["expected_pairs"]], "a int, b int")
+        rows = relational.broken_pairs(atoms, pairs, F.lit(spec["maximum_sg_distance_angstrom"])).collect() if spec["expected_pairs"] else []
+        broken = {f"{r.a}-{r.b}": "SG missing" if r.distance is None else f"{r.distance:.2f} A" for r in rows}
+    atoms.unpersist()
+    return counts, short, broken
+
+
 def score(spark: SparkSession, job_dir: str, bundle: str, task: dict, strict: bool = False, interval_ps: float = 1.0) -> tuple[DataFrame, dict]:
-    """The check table (task_id, at, check_id, category, status, passed, detail) and the report."""
+    """The check table (task_id, at, check_id, category, status, passed, detail) and the report.
+
+    Independent parts (prepared structure, system, reference, trajectory) are jobs that run side by side.
+    """
     nodes = node_paths(spark, job_dir)
     topo, prod = nodes["topo"]["node"], nodes["prod"]
     meta = prod["metadata"] or {}
@@ -105,84 +127,85 @@ def score(spark: SparkSession, job_dir: str, bundle: str, task: dict, strict: bo
     def check(check_id: str, ok: bool | None, detail: str) -> None:
         rows.append((len(rows), check_id, "not_evaluable" if ok is None else "passed" if ok else "failed", bool(ok), detail))
 
-    atoms = pdb.read_pdb(spark, _one(spark, f"{nodes['prep']['node']}/artifacts/merge/*.pdb")).cache()
-    c = relational.composition(atoms).first()
-    check("sequence_matches_reference", c.residues == system["PROTRES"] and c.chains == 1, f"residues {c.residues} of {system['PROTRES']}, chains {c.chains}")
-    slack = specs.get("protein_heavy_atom_count_matches_reference", {}).get("total_atom_tolerance", 0) if strict else 0
-    check("protein_heavy_atom_count_matches_reference", c.heavy == system["heavy_atoms"] and abs(c.atoms - system["PROTATS"]) <= slack, f"heavy atoms {c.heavy} of {system['heavy_atoms']}, all {c.atoms} of {system['PROTATS']}")
-    if spec := specs.get("truncated_sidechains_completed"):
-        want = spec["expected_heavy_atoms_per_residue"]
-        expected = spark.createDataFrame([(k,) for k in spec["expected_complete_residues"]], "key string")
-        short = {r.key: r.heavy for r in relational.incomplete_residues(atoms, expected, F.lit(want)).collect()}
-        check("truncated_sidechains_completed", not short, f"{want} heavy atoms wanted in each of {len(spec['expected_complete_residues'])} residues; others: {short}")
-    if spec := specs.get("disulfide_bonds_formed"):
-        pairs = spark.createDataFrame([tuple(p) for p in spec["expected_pairs"]], "a int, b int")
-        limit = spec["maximum_sg_distance_angstrom"]
-        broken = {f"{r.a}-{r.b}": "SG missing" if r.distance is None else f"{r.distance:.2f} A" for r in relational.broken_pairs(atoms, pairs, F.lit(limit)).collect()}
-        check("disulfide_bonds_formed", not broken, f"{len(spec['expected_pairs'])} pairs within {limit} A; broken: {broken}")
-    atoms.unpersist()
-
-    s = jobs.read_system_xml(spark, f"{topo}/artifacts/system.system.xml").first()
-    check("topology_loads_and_is_parameterized", s.particles > 0, f"{s.particles} particles")
-    check("forcefield_applied_to_every_atom", s.nonbonded == s.particles, f"{s.nonbonded} of {s.particles} particles parameterised")
-    check("system_is_neutral", abs(s.charge) < 1e-4, f"net charge {s.charge:+.2e} e")
-    amber = jobs.read_documents(spark, f"{topo}/artifacts/amber_metadata.json", jobs.AMBER).first().asDict(True)
-    water = ((amber["parameters"] or {}).get("water_model") or "").lower()
-    xmls = " ".join((amber["forcefield_provenance"] or {}).get("openmm_xml") or []).lower()
-    wanted = conditions["WAT"].lower()
-    check("water_model_matches_reference", wanted in water and wanted in xmls, f"water model {water!r}; {wanted} in force-field files: {wanted in xmls}")
-
-    temperature = meta.get("temperature_kelvin") or 0.0
-    ensemble = (meta.get("system_signature") or {}).get("ensemble")
-    spec = specs.get("thermodynamic_conditions_match_reference", {})
-    check("thermodynamic_conditions_match_reference", abs(temperature - float(conditions["TEMP"])) <= (spec.get("temperature_tolerance_k", 1.0) if strict else 1.0) and ensemble == conditions["ENSEMBLE"], f"{temperature} K, {ensemble}, {meta.get('pressure_bar')} bar")
-    claimed_ns = meta.get("simulation_time_ns") or 0.0
-
-    contract = Contract(spark, bundle, task)
-    topology = pdb.read_pdb(spark, f"{topo}/artifacts/system.topology.pdb").cache()
-    matched = contract.resolved(topology)
-    missing = [(r[1], r[2]) for r in matched if r[3] is None]
-    own = [r[3] for r in matched if r[3] is not None]
-    traj, tracers, protein = trajectory(spark, prod, topology, interval_ps)
-    data = gathered(traj, tracer_nm=tracers, contract_nm=own, protein_nm=protein).cache()
-    spec = specs.get("production_ran_for_one_nanosecond", {})
-    finite = True
-    if strict and spec.get("require_finite_coordinates"):
-        finite = not data.where(F.exists("protein_nm", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))).limit(1).count()
-    check("production_ran_for_one_nanosecond", claimed_ns >= (spec.get("minimum_production_ns", 1.0) if strict else 1.0) and finite, f"{meta.get('simulation_time_ns')} ns in steps of {meta.get('timestep_fs')} fs (HMR {meta.get('hmr')})")
-    clock = series.clocks(data).first()
-    fraction = specs["elapsed_simulated_time_is_physical"]["minimum_measured_fraction_of_claim"]
-    if not clock.measurable:
-        check("elapsed_simulated_time_is_physical", False, f"not measurable: {clock.reason}")
-    else:
-        ratio = clock.elapsed_ps / (claimed_ns * 1000) if claimed_ns else 0.0
-        check("elapsed_simulated_time_is_physical", ratio >= fraction, f"{clock.elapsed_ps:.0f} ps by diffusion, {claimed_ns * 1000:.0f} ps claimed, ratio {ratio:.2f}, D {clock.diffusion_1e5_cm2_s:.2f}e-5 cm2/s")
-    check("contract_atoms_resolvable", not missing, f"{len(own)} of {len(matched)} contract atoms matched; missing {missing[:4]}")
-
-    test: dict = {}
-    if missing:
-        check("subspace_beyond_structure_only_model", None, "contract atoms are missing")
-    else:
-        angstrom = data.select("traj_id", "frame", F.transform("contract_nm", lambda x: x.cast("double") * 10).alias("xyz"))
-        modes = linalg.frame_of(linalg.essential_subspaces(angstrom, {"submission": contract.coords}), "submission")
-        test = nulls.test_beyond_structure(modes, contract.modes, contract.null(spark))
-        z = "undefined" if test["z_score"] is None else f"{test['z_score']:.2f}"
-        check("subspace_beyond_structure_only_model", test["h0_rejected"], f"RMSIP {test['rmsip']:.3f}; structure alone {test['null_mean']:.3f} +/- {test['null_sd']:.3f}, at most {test['null_max']:.3f}; z {z}, p <= {test['p_value_upper_bound']:.2f}")
-    rg = series.radii_of_gyration(data).agg(F.avg("rg").alias("rg"), F.count("*").alias("n")).first()
-    spec = specs["radius_of_gyration_is_physical"]
-    radius = math.nan if rg.rg is None else rg.rg
-    check("radius_of_gyration_is_physical", spec["minimum"] <= radius <= spec["maximum"], f"Rg {radius:.4f} nm, band {spec['minimum']} to {spec['maximum']}")
-    if strict:
-        ok = bundles.verified(bundles.digests(spark, bundle), task["reference"]["bundle"]["sha256"])
-        bad = sorted(r.name for r in ok.where("not ok").collect())
-        check("bundle_matches_its_digests", not bad, f"other digests: {bad}")
-    data.unpersist()
-
-    weights = {k: v.get("weight", 1.0) for k, v in specs.items()}
-    categories = spark.createDataFrame([(c["check_id"], c.get("category") or "prep", float(weights[c["check_id"]])) for c in specs.values()], "check_id string, category string, weight double")
-    table = relational.with_category(spark.createDataFrame(rows, RESULT), categories).join(categories.select("check_id", "weight"), "check_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("task_id", F.lit(task["task_id"]))
-    table = table.select("task_id", "at", "check_id", "category", "status", "passed", "weight", "detail").orderBy("at")
-    return table, report(table, task["task_id"], test, rg.rg, rg.n)
+    with ThreadPoolExecutor(8) as pool:
+        later = pool.submit
+        prep_facts = later(_prep_facts, spark, nodes["prep"]["node"], specs)
+        xml = later(lambda: jobs.read_system_xml(spark, f"{topo}/artifacts/system.system.xml").first())
+        about = later(lambda: jobs.read_documents(spark, f"{topo}/artifacts/amber_metadata.json", jobs.AMBER).first().asDict(True))
+        digests = later(lambda: sorted(r.name for r in bundles.verified(bundles.digests(spark, bundle), task["reference"]["bundle"]["sha256"]).where("not ok").collect())) if strict else None
+        topology = pdb.read_pdb(spark, f"{topo}/artifacts/system.topology.pdb").cache()
+        picked = later(trajectory, spark, prod, topology, interval_ps)
+        contract = Contract(spark, bundle, task)
+        null = later(contract.null, spark)
+        random = later(lambda: nulls.random_null(spark, contract.modes.shape[0], contract.modes.shape[1], 2000).agg(F.avg("rmsip").alias("m"), F.stddev_pop("rmsip").alias("s")).first())
+        matched = contract.resolved(topology)
+        missing = [(r[1], r[2]) for r in matched if r[3] is None]
+        own = [r[3] for r in matched if r[3] is not None]
+        traj, tracers, protein = picked.result()
+        data = gathered(traj, tracer_nm=tracers, contract_nm=own, protein_nm=protein).cache()
+        n_frames = data.count()
+        timed = later(lambda: series.clocks(data).first())
+        radius = later(lambda: series.radii_of_gyration(data).agg(F.avg("rg")).first()[0])
+        finite = True
+        if strict and specs.get("production_ran_for_one_nanosecond", {}).get("require_finite_coordinates"):
+            finite = not data.where(F.exists("protein_nm", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))).limit(1).count()
+        test: dict = {}
+        if not missing:
+            angstrom = data.select("traj_id", "frame", F.transform("contract_nm", lambda x: x.cast("double") * 10).alias("xyz"))
+            modes = linalg.frame_of(linalg.essential_subspaces(angstrom, {"submission": contract.coords}, sizes={"submission": n_frames}), "submission")
+            test = nulls.test_beyond_structure(modes, contract.modes, null.result(), random.result())
+
+        c, short, broken = prep_facts.result()
+        check("sequence_matches_reference", c.residues == system["PROTRES"] and c.chains == 1, f"residues {c.residues} of {system['PROTRES']}, chains {c.chains}")
+        slack = specs.get("protein_heavy_atom_count_matches_reference", {}).get("total_atom_tolerance", 0) if strict else 0
+        check("protein_heavy_atom_count_matches_reference", c.heavy == system["heavy_atoms"] and abs(c.atoms - system["PROTATS"]) <= slack, f"heavy atoms {c.heavy} of {system['heavy_atoms']}, all {c.atoms} of {system['PROTATS']}")
+        if spec := specs.get("truncated_sidechains_completed"):
+            check("truncated_sidechains_completed", not short, f"{spec['expected_heavy_atoms_per_residue']} heavy atoms wanted in each of {len(spec['expected_complete_residues'])} residues; others: {short}")
+        if spec := specs.get("disulfide_bonds_formed"):
+            check("disulfide_bonds_formed", not broken, f"{len(spec['expected_pairs'])} pairs within {spec['maximum_sg_distance_angstrom']} A; broken: {broken}")
+        s = xml.result()
+        check("topology_loads_and_is_parameterized", s.particles > 0, f"{s.particles} particles")
+        check("forcefield_applied_to_every_atom", s.nonbonded == s.particles, f"{s.nonbonded} of {s.particles} particles parameterised")
+        check("system_is_neutral", abs(s.charge) < 1e-4, f"net charge {s.charge:+.2e} e")
+        amber = about.result()
+        water = ((amber["parameters"] or {}).get("water_model") or "").lower()
+        xmls = " ".join((amber["forcefield_provenance"] or {}).get("openmm_xml") or []).lower()
+        wanted = conditions["WAT"].lower()
+        check("water_model_matches_reference", wanted in water and wanted in xmls, f"water model {water!r}; {wanted} in force-field files: {wanted in xmls}")
+        temperature = meta.get("temperature_kelvin") or 0.0
+        ensemble = (meta.get("system_signature") or {}).get("ensemble")
+        within = specs.get("thermodynamic_conditions_match_reference", {}).get("temperature_tolerance_k", 1.0) if strict else 1.0
+        check("thermodynamic_conditions_match_reference", abs(temperature - float(conditions["TEMP"])) <= within and ensemble == conditions["ENSEMBLE"], f"{temperature} K, {ensemble}, {meta.get('pressure_bar')} bar")
+        claimed_ns = meta.get("simulation_time_ns") or 0.0
+        least = specs.get("production_ran_for_one_nanosecond", {}).get("minimum_production_ns", 1.0) if strict else 1.0
+        check("production_ran_for_one_nanosecond", claimed_ns >= least and finite, f"{meta.get('simulation_time_ns')} ns in steps of {meta.get('timestep_fs')} fs (HMR {meta.get('hmr')})")
+        clock = timed.result()
+        fraction = specs["elapsed_simulated_time_is_physical"]["minimum_measured_fraction_of_claim"]
+        if not clock.measurable:
+            check("elapsed_simulated_time_is_physical", False, f"not measurable: {clock.reason}")
+        else:
+            ratio = clock.elapsed_ps / (claimed_ns * 1000) if claimed_ns else 0.0
+            check("elapsed_simulated_time_is_physical", ratio >= fraction, f"{clock.elapsed_ps:.0f} ps by diffusion, {claimed_ns * 1000:.0f} ps claimed, ratio {ratio:.2f}, D {clock.diffusion_1e5_cm2_s:.2f}e-5 cm2/s")
+        check("contract_atoms_resolvable", not missing, f"{len(own)} of {len(matched)} contract atoms matched; missing {missing[:4]}")
+        if missing:
+            check("subspace_beyond_structure_only_model", None, "contract atoms are missing")
+        else:
+            z = "undefined" if test["z_score"] is None else f"{test['z_score']:.2f}"
+            check("subspace_beyond_structure_only_model", test["h0_rejected"], f"RMSIP {test['rmsip']:.3f}; structure alone {test['null_mean']:.3f} +/- {test['null_sd']:.3f}, at most {test['null_max']:.3f}; z {z}, p <= {test['p_value_upper_bound']:.2f}")
+        rg = radius.result()
+        spec = specs["radius_of_gyration_is_physical"]
+        size = math.nan if rg is None else rg
+        check("radius_of_gyration_is_physical", spec["minimum"] <= size <= spec["maximum"], f"Rg {size:.4f} nm, band {spec['minimum']} to {spec['maximum']}")
+        if strict:
+            bad = digests.result()
+            check("bundle_matches_its_digests", not bad, f"other digests: {bad}")
+        data.unpersist()
+
+    listed = [(c["check_id"], c.get("category") or "prep", float(c.get("weight", 1.0))) for c in specs.values()]
+    categories = spark.createDataFrame(listed, "check_id string, category string, weight double")
+    table = relational.with_category(spark.createDataFrame(rows, RESULT), categories).join(categories.select("check_id", "weight"), "check_id", "left")
+    table = table.select(F.lit(task["task_id"]).alias("task_id"), "at", "check_id", "category", "status", "passed", F.coalesce("weight", F.lit(1.0)).alias("weight"), "detail").orderBy("at").cache()
+    return table, report(table, task["task_id"], test, rg, n_frames)
 
 
 def report(table: DataFrame, task_id: str, test: dict, rg: float | None, n_frames: int) -> dict:
