@@ -69,8 +69,8 @@ def category_rollup(results: DataFrame, keys: list[str] | None = None) -> DataFr
     keys = keys or []
     weighted = [F.sum("weight").alias("weight"), F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0.0)).alias("passed_weight")] if "weight" in results.columns else []
     counts = [F.count_if("passed").alias("passed"), F.count("*").alias("total"), *weighted]
-    every = results.groupBy(*keys).agg(*counts).withColumn("category", F.lit(None).cast("string"))
-    return results.groupBy(*keys, "category").agg(*counts).unionByName(every)
+    named = [F.col(k) for k in keys]
+    return results.groupingSets([[*named, F.col("category")], named], *named, F.col("category")).agg(*counts)
 
 
 def checks_by_task(checks: DataFrame) -> DataFrame:

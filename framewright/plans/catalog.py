@@ -64,12 +64,17 @@ def wasserstein(rows: DataFrame, keys: list[str], group: Column, value: str, poi
 
 
 def block_bootstrap(rows: DataFrame, order: str, value: str, width: int, draws: int, seed: int) -> DataFrame:
-    """draw, mean: means of resampled blocks of consecutive rows; block sums are formed once, then drawn by hash."""
+    """draw, mean: means of resampled blocks of consecutive rows (by order // width; a gap in the order is an empty block).
+
+    Block sums are formed once; each draw picks as many blocks as there are, by hash.
+    """
     blocks = rows.groupBy(F.floor(F.col(order) / width).alias("b")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    total = blocks.count()
-    numbered = blocks.selectExpr("row_number() over (order by b) - 1 as i", "s", "n")  # blocks, not rows
-    picks = rows.sparkSession.range(draws * total).select((F.col("id") / total).cast("long").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("i"))
-    return picks.join(F.broadcast(numbered), "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    ends = rows.agg(F.floor(F.min(order) / width).alias("first"), F.floor(F.max(order) / width).alias("last")).first()
+    if ends.first is None:
+        return blocks.select(F.col("b").alias("draw"), F.lit(0.0).alias("mean"))
+    total = ends.last - ends.first + 1
+    picks = rows.sparkSession.range(draws * total).select(F.floor(F.col("id") / total).alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)) + ends.first).alias("b"))
+    return picks.join(blocks, "b").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def autocorrelation(series: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
