@@ -3,7 +3,7 @@
 A segment holds the ids of consecutive documents. Each 64-bit word has a 4-bit selector
 and as many ids as the selector's width allows in the other 60 bits. An id that is wider
 than its neighbours may be written as an escape (all ones) with its value in a list of
-exceptions. Ids are coded in blocks of 4,096, each with the offsets of its first word and
+exceptions. Ids are coded in blocks of 32,768, each with the offsets of its first word and
 first exception, so that one block can be decoded alone; all words of one selector are
 decoded at once by array operations.
 
@@ -39,23 +39,26 @@ from .tokens import encoder
 
 MAGIC = b"FW8B"
 END = 2
-BLOCK_IDS = 4096
+BLOCK_IDS = 1 << 15
 SEGMENT_IDS = 1 << 18
 #: Fixed selector table of Simple-8b: ids in a word; 60 // ids bits each. Selectors 0 and 1 are runs of zeros.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 #: Selectors whose all-ones value is an escape: narrower ids would gain nothing.
 ESCAPES = (12, 13)
+#: Bits of each 16-bit number.
+_LENGTH = np.ceil(np.log2(np.arange(1, (1 << 16) + 1))).astype(np.uint8)
 
 
 def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, exceptions) of one block."""
     n = len(ids)
+    bits = _LENGTH[ids & np.uint32(0xFFFF)] if not n or ids.max() <= 0xFFFF else np.where(ids > 0xFFFF, 16 + _LENGTH[ids >> np.uint32(16)], _LENGTH[ids & np.uint32(0xFFFF)])
     widest = int(np.searchsorted(WIDTHS, int(ids.max()).bit_length())) if n else 0
     select = np.full(n, max(widest, 1), dtype=np.int64)
     for s in range(widest, -1, -1):
         count, width = int(COUNTS[s]), int(WIDTHS[s])
-        ok = ids < (1 << width) - 1 if s in ESCAPES else ids < (1 << width)
+        ok = ids < (1 << width) - 1 if s in ESCAPES else bits <= width
         if s == 12:  # one wide id in a word may escape
             wide = np.concatenate([[0], np.cumsum(~ok), np.full(count, (~ok).sum())])
             select[wide[count : n + count] - wide[:n] <= 1] = s
@@ -80,14 +83,16 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not width:
             continue
         mine = np.flatnonzero(chosen == s)
-        place = at[mine][:, None] + np.arange(COUNTS[s])
-        value = padded[place]
-        if s in ESCAPES:
-            top = np.uint64((1 << width) - 1)
-            over = value >= top
-            escaped.append(place[over])
-            value = np.where(over, top, value)
-        words[mine] |= np.bitwise_or.reduce(value << (np.arange(COUNTS[s]) * width).astype(np.uint64), axis=1)
+        first, packed = at[mine], words[mine]
+        top = np.uint64((1 << width) - 1)
+        for j in range(int(COUNTS[s])):
+            value = padded[first + j]
+            if s in ESCAPES:
+                over = value >= top
+                escaped.append(first[over] + j)
+                value = np.minimum(value, top)
+            packed |= value << np.uint64(j * width)
+        words[mine] = packed
     places = np.sort(np.concatenate(escaped)) if escaped else np.zeros(0, dtype=np.int64)
     return words, ids[places].astype(np.uint32)
 

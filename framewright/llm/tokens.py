@@ -29,7 +29,7 @@ import numpy as np
 from .common import WordHasher, mix
 
 #: Parts kept; later ones are encoded anew for each slice. Frequent parts come early.
-MAX_KEPT = 500_000
+MAX_KEPT = 800_000
 MAX_BYTES = 64
 _SLICE = 1 << 20
 _OTHER, _LETTER, _DIGIT, _PUNCT, _QUOTE, _LINE = 1, 2, 3, 4, 5, 6
@@ -99,7 +99,7 @@ class Encoder:
         self.limit = MAX_KEPT
         self.key = np.zeros(1 << 14, dtype=np.uint64)
         self.entry = np.full(1 << 14, -1, dtype=np.int32)
-        self.at, self.size, self.n = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64), 0
+        self.at, self.size, self.n = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int32), 0
         self.store, self.used = np.zeros(1 << 14, dtype=np.uint32), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -122,7 +122,7 @@ class Encoder:
         if 2 * (self.n + len(h)) > len(self.key):
             old = self.entry >= 0
             h, entry = np.concatenate([self.key[old], h]), np.concatenate([self.entry[old], entry])
-            n = 1 << int(4 * len(h)).bit_length()
+            n = 1 << int(2 * len(h)).bit_length()
             self.key, self.entry = np.zeros(n, dtype=np.uint64), np.full(n, -1, dtype=np.int32)
         slot = (h & np.uint64(len(self.key) - 1)).astype(np.int64)
         left = np.arange(len(h))
@@ -143,7 +143,7 @@ class Encoder:
         for name, need in (("at", self.n + len(ids)), ("size", self.n + len(ids)), ("store", self.used + len(flat))):
             have = getattr(self, name)
             if need > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have)), dtype=have.dtype)]))
+                setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have) // 2), dtype=have.dtype)]))
         entry = np.arange(self.n, self.n + len(ids))
         self.at[entry], self.size[entry] = self.used + np.cumsum(size) - size, size
         self.store[self.used : self.used + len(flat)] = flat
@@ -201,7 +201,7 @@ class Encoder:
             got = np.empty(len(fresh), dtype=np.int64)
             got[order] = self._append(ids)
             entry[new] = got[back]
-        size = self.size[entry]
+        size = self.size[entry].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.store[np.repeat(self.at[entry] - ends + size, size) + np.arange(ends[-1])].astype("<u4").tobytes()
         if len(new):
