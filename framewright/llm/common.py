@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         jsc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc_dir.isDefined():
             return jsc_dir.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="framewright-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
