@@ -200,7 +200,8 @@ def _scan(sent):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without those that hold a benchmark item; rows with a null id are judged as any other by their text."""
-    found = written(contaminated(docs, benchmark, text, doc_id).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
-    return docs.join(found, docs[doc_id].eqNullSafe(found["_found"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """docs without those that hold a benchmark item, matched by the hash of their text: ids may be null or repeated."""
+    keyed = docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
+    found = written(contaminated(keyed, benchmark, "text", "_key").select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
+    return docs.join(found, F.xxhash64(docs[text]) == found["_found"], "left_anti")

@@ -280,5 +280,6 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     named = written(named, "class-of-text")
     least = named.groupBy("root").agg(F.min("first_id").alias("kept"))
     kept = named.join(least, "root").select("key", "kept")
-    later = written(keyed.select("doc_id", "key").join(kept, "key").where("doc_id is not null and doc_id <> kept").select(F.col("doc_id").alias("_drop")).distinct(), "later-copies")
-    return docs.join(later, docs[doc_id] == later["_drop"], "left_anti")
+    later = written(keyed.select("doc_id", "key").join(kept, "key").where("doc_id is not null and doc_id <> kept").select(F.col("doc_id").alias("_drop"), F.col("key").alias("_text")).distinct(), "later-copies")
+    same = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == later["_text"]
+    return docs.join(later, (docs[doc_id] == later["_drop"]) & same, "left_anti")

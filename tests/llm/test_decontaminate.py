@@ -38,7 +38,7 @@ def test_against_all_windows(spark):
             at = rng.randrange(len(body) + 1)
             body[at:at] = part
         docs.append((i, ", ".join(body)))
-    docs += [(200, None), (201, ""), (202, "a solo b solo"), (None, items[6][1]), (203, items[6][1] * 2), (203, items[6][1] * 2)]
+    docs += [(200, None), (201, ""), (202, "a solo b solo"), (None, items[6][1]), (None, "clean"), (3, "repeated id, clean text"), (203, items[6][1] * 2), (203, items[6][1] * 2)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 item_id", "2 similarity")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = op.contaminated(df, bench).collect()
@@ -47,8 +47,9 @@ def test_against_all_windows(spark):
     assert len(got) == len(want) + sum(k[0] == 203 for k in want)
     blocks = op.contaminated(df, bench, max_chars=200).collect()
     assert sorted(map(str, blocks)) == sorted(map(str, got))
-    kept = [r.doc_id for r in op.clean(df, bench).collect()]
-    assert sorted(kept, key=str) == sorted((d for d, _ in docs if d not in {k[0] for k in want}), key=str)
+    kept = [(r.doc_id, r.text) for r in op.clean(df, bench).collect()]
+    bad = {t for _, t in docs if any(plain(t, x) >= 0.8 for _, x in items)}
+    assert sorted(kept, key=str) == sorted(((d, t) for d, t in docs if t not in bad), key=str)
 
 
 def test_blocks_find_every_item_within_the_radius():

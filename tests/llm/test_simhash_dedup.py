@@ -128,10 +128,12 @@ def test_edited_copies_of_all_sizes_are_found_and_others_left(spark):
     for _ in range(60):  # a passage in common is no copy
         groups[len(rows)] = len(rows) + 1000
         rows.append((len(rows), shared + " " + " ".join(rng.choice(vocab) for _ in range(120))))
-    rows += [(None, rows[0][1]), (None, "alone")]
+    rows += [(None, rows[0][1]), (None, "alone"), (0, "an unrelated text of a repeated id"), (7000, "one text of a repeated id"), (7000, "another text of it")]
+    groups[7000] = 7000
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r.doc_id for r in op.deduplicated(docs).collect()]
     assert got.count(None) == 2
+    assert got.count(7000) == 2 and got.count(0) == 2
     kept = {i for i in got if i is not None}
     firsts = {min(i for i in groups if groups[i] == g) for g in set(groups.values())}
     assert firsts <= kept and len(kept - firsts) <= 2
