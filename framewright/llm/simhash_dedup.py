@@ -189,11 +189,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 # the SAMPLE smallest of the text's distinct five-word shingles under one of SAMPLES orders, and
 # its fingerprint the same bitwise majority. Texts of similarity J agree on a sample with a chance
 # of about J**6, so at 0.8 some of 24 agree in 99.9 % of cases. Texts that agree are verified by
-# the exact similarity of their shingle sets.
+# the exact similarity of their shingle sets: first all of a bucket against one centre, which
+# settles most buckets in linear space, then, where texts of a bucket are in different classes
+# still, all pairs across classes, in tiles of bounded size.
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLES, SAMPLE = 24, 6
+#: A tile of a bucket holds about so many texts and shingles; two tiles meet in one task.
+TILE_TEXTS, TILE_SHINGLES = 1024, 500_000
 _ORDERS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -215,18 +219,18 @@ def sample_fingerprints(found: np.ndarray) -> np.ndarray:
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), fp and the sample fingerprints of every row."""
+    """doc_id, key (hash of the text), fp, the sample fingerprints and the number of different shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, texts in slices(b.column(2)):
                 fp = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-                rows = [sample_fingerprints(f).tolist() if len(f) else None for f in shingle_sets(texts)]
+                rows, sizes = zip(*[(sample_fingerprints(f).tolist() if len(f) else None, len(f)) for f in shingle_sets(texts)], strict=True)
                 part = b.slice(s, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "samples"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "key", "fp", "samples", "size"])
 
     src = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return src.mapInArrow(run, "doc_id long, key long, fp long, samples array<long>")
+    return src.mapInArrow(run, "doc_id long, key long, fp long, samples array<long>, size long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -241,15 +245,72 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
 
 
-def similar_links(docs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(a, b): keys of texts whose 5-word shingle sets have a similarity of SIMILARITY or more.
+def tile_links(part: pa.Table) -> pa.Table:
+    """(a, b): links of one cell's texts (key, root, shingles) that join them as all similar pairs across roots do."""
+    key, root = part["key"].to_numpy(), part["root"].to_numpy()
+    sets = part["shingles"].combine_chunks()
+    size = np.diff(sets.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(key)), size)
+    value, at, held = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    column = np.cumsum(held > 1) - 1  # a shingle of one text is shared with none
+    shared = held[at] > 1
+    owner, column = owner[shared], column[at[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(key), len(key)), dtype=np.float32)
+    for first in range(0, int(np.count_nonzero(held > 1)), 4096):
+        s, e = np.searchsorted(column, [first, first + 4096])
+        block = np.zeros((len(key), 4096), dtype=np.float32)
+        block[owner[s:e], column[s:e] - first] = 1
+        both += block @ block.T
+    near = (both / (size[:, None] + size[None, :] - both.astype(np.float64)) >= SIMILARITY) & (root[:, None] != root[None, :])
+    left, right, new = [key[:0]], [key[:0]], np.ones(len(key), dtype=bool)
+    for i in range(len(key)):
+        front = np.array([i])
+        new[i] = False
+        while len(front):
+            found = np.flatnonzero(near[front].any(axis=0) & new)
+            left.append(key[front[near[np.ix_(front, found)].argmax(axis=0)]])
+            right.append(key[found])
+            new[found] = False
+            front = found
+    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def open_cells(rows: DataFrame, centre: DataFrame, roots: DataFrame) -> DataFrame:
+    """(c, key, root): cells in which all pairs meet that no centre has settled.
+
+    A bucket is open while its texts, without the centre, are of several classes. Pairs within a class
+    need no comparison, so its largest class (B) meets the rest (O) only: each cell holds one tile of O
+    and one of B, or two of O. Buckets of the same texts count once.
+    """
+    members = rows.join(centre.where("n > 2").select("j", "s", "centre"), ["j", "s"]).where("key <> centre").join(roots, rows["key"] == roots["node"], "left")
+    members = written(members.select("j", "s", "key", "size", F.coalesce("root", "key").alias("root")), "bucket-texts")
+    classes = members.groupBy("j", "s", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"))
+    buckets = classes.groupBy("j", "s").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("mark").alias("mark"), F.max(F.struct("n", "root", "size")).alias("big")).where("classes > 1")
+    once = buckets.groupBy("n", "size", "mark").agg(F.min(F.struct("j", "s", "big")).alias("x")).select("x.j", "x.s", F.col("x.big.root").alias("big"), "n", "size", F.col("x.big.n").alias("n_b"), F.col("x.big.size").alias("size_b"))
+    tiles = lambda n, size: F.greatest(F.ceil(n / TILE_TEXTS), F.ceil(size / TILE_SHINGLES)).cast("int")
+    once = once.select("j", "s", "big", tiles(F.col("n") - F.col("n_b"), F.col("size") - F.col("size_b")).alias("t_o"), tiles(F.col("n_b"), F.col("size_b")).alias("t_b"))
+    inside = members.join(once, ["j", "s"]).withColumn("in_b", F.col("root") == F.col("big"))
+    mine = F.pmod(F.xxhash64("key", F.lit(1)), F.when(F.col("in_b"), F.col("t_b")).otherwise(F.col("t_o"))).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    p = F.col("p")
+    cell = lambda own, o, other: F.struct(F.lit(own).alias("own"), o.alias("o"), other.alias("other"))
+    of_b = F.transform(each("t_o"), lambda q: cell(0, q, p))
+    of_o = F.concat(F.transform(each("t_b"), lambda q: cell(0, p, q)), F.transform(F.filter(each("t_o"), lambda q: q != p), lambda q: cell(1, F.least(p, q), F.greatest(p, q))))
+    return inside.withColumn("p", mine).select("j", "s", "key", "root", F.explode(F.when(F.col("in_b"), of_b).otherwise(of_o)).alias("c")).select(F.struct("j", "s", "c").alias("c"), "key", "root")
+
+
+def similarity_classes(docs: DataFrame, keyed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root): classes of texts by `edges` and by a similarity of SIMILARITY or more of their 5-word shingle sets.
 
     In each bucket of one sample fingerprint every text is compared with one centre, another for each
-    sample, so a bucket of any size gives as many pairs as it has texts.
+    sample; then all pairs of a bucket that are in different classes (see `open_cells`).
     """
-    texts = keyed.where("samples is not null").groupBy("key").agg(F.any_value("samples").alias("samples"))
-    rows = written(texts.select("key", F.posexplode("samples").alias("j", "s")), "samples")
+    texts = keyed.where("samples is not null").groupBy("key").agg(F.any_value("samples").alias("samples"), F.any_value("size").alias("size"))
+    rows = written(texts.select("key", "size", F.posexplode("samples").alias("j", "s")), "samples")
     centre = rows.groupBy("j", "s").agg(F.min_by("key", F.xxhash64("key", "j")).alias("centre"), F.count("*").alias("n")).where("n > 1")
+    centre = written(centre, "centres")
     pairs = rows.join(centre, ["j", "s"]).where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
     pairs = written(pairs.distinct(), "candidates")
     wanted = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "candidate-texts")
@@ -258,7 +319,14 @@ def similar_links(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     side = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     share = both / (F.size("of_a") + F.size("of_b") - both)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(share >= SIMILARITY).select("a", "b")
+    stars = pairs.join(side("a"), "a").join(side("b"), "b").where(share >= SIMILARITY).select("a", "b")
+    roots = written(components(edges.union(stars), "classes"), "roots")
+    cells = written(open_cells(rows, centre, roots), "cells")
+    if cells.isEmpty():
+        return roots
+    dealt = cells.join(sets, "key").select("c", "key", "root", "shingles")
+    rest = written(dealt.groupBy("c").applyInArrow(tile_links, "a long, b long").distinct(), "links-in-tiles")
+    return roots if rest.isEmpty() else written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest), "all-classes"), "all-roots")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -275,7 +343,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     at = lambda c: by_fp.select(F.col("fp").alias(c), F.col("k").alias(f"k{c}"))
     edges = near.join(at("a"), "a").join(at("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     edges = edges.union(nodes.join(by_fp, "fp").where("key <> k").select(F.col("key").alias("a"), F.col("k").alias("b")))
-    roots = written(components(edges.union(similar_links(src, keyed)), "classes"), "roots")
+    roots = similarity_classes(src, keyed, edges)
     named = nodes.join(roots, nodes["key"] == roots["node"], "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
     named = written(named, "class-of-text")
     least = named.groupBy("root").agg(F.min("first_id").alias("kept"))

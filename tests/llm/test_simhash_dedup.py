@@ -139,6 +139,53 @@ def test_edited_copies_of_all_sizes_are_found_and_others_left(spark):
     assert firsts <= kept and len(kept - firsts) <= 2
 
 
+def edited_copies(n, words, edits, seed):
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), edits):
+            copy[at] = f"e{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_large_groups_of_edited_copies_keep_no_pair_of_one_bucket_unlinked(spark, monkeypatch):
+    monkeypatch.setattr(op, "TILE_TEXTS", 64)  # many tiles
+    texts = edited_copies(500, 300, 4, 3) + edited_copies(40, 80, 1, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = list(op.shingle_sets(texts))
+    samples = np.array([op.sample_fingerprints(f) for f in sets])
+    fps = [plain_fingerprint(t) for t in texts]
+
+    def linked(i, j):
+        if (fps[i] ^ fps[j]).bit_count() <= 3:
+            return True
+        if not (samples[i] == samples[j]).any():
+            return False
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both / (len(sets[i]) + len(sets[j]) - both) >= 0.8
+
+    want = set(plain_classes(list(range(len(texts))), linked).values())
+    assert {r.doc_id for r in op.deduplicated(docs).collect()} == want
+
+
+def test_links_in_a_tile_are_similar_and_connect_like_all_pairs():
+    import pyarrow as pa
+
+    texts = edited_copies(120, 100, 2, 8) + [f"other {i} text of its own words" for i in range(5)]
+    sets = [plain_set(t) for t in texts]
+    root = [i // 2 if i < 20 else i for i in range(len(texts))]
+    shingles = [f.view(np.int64).tolist() for f in op.shingle_sets(texts)]
+    got = op.tile_links(pa.table({"key": list(range(len(texts))), "root": root, "shingles": pa.array(shingles, pa.list_(pa.int64()))}))
+    links = set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    assert all(root[a] != root[b] and plain_similarity(sets[a], sets[b]) >= 0.8 for a, b in links)
+    near = lambda a, b: root[a] != root[b] and plain_similarity(sets[a], sets[b]) >= 0.8
+    ids = range(len(texts))
+    assert plain_classes(ids, near) == plain_classes(ids, lambda a, b: (a, b) in links or (b, a) in links)
+
+
 def test_sampled_fingerprints_of_long_sets_do_not_depend_on_blocks():
     x = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 100_000).astype(np.uint64))
     h = op.mix(x[None] ^ op._ORDERS[:, None])
