@@ -13,9 +13,11 @@ document. For a kind k and a term t, over all documents,
 and PMI / IC is the share of the entity's information that the term discloses; 1 means
 that t never occurs without k. Terms beyond `generalise` are replaced by a class name and
 terms beyond `remove` are taken out, in documents that hold such an entity. Evidence is
-the number of different entities beside which the term was seen (one for each document and
-kind), so any number of exact or near copies of a document counts once; below `support`
-of them nothing is concluded.
+the number of different entities of a kind beside which the term was seen, over all entities
+of each document, and the number of different sets of them that its documents held, so any
+number of exact or near copies of a document counts once, and one document with many
+entities proves nothing for its every word; where either is below `support` nothing is
+concluded.
 
 Shuffles carry terms and counts. n(t) is a map-side combined count over all documents;
 pairs come from documents with an entity only. Documents are never gathered by a key.
@@ -113,17 +115,30 @@ def terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) > 0)
 
 
+def evidence(spans: Column, support: int) -> Column:
+    """Items (m, entity, whole) of one document's spans of one kind: its different entities, and their set.
+
+    A single entity is its own set; otherwise one more item, which no entity equals, stands for all of them.
+    `support` entities of a document are enough: if it holds more, any `support` of them show that
+    there are as many, and if not, all are here; so the comparison with `support` is exact.
+    """
+    every = F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["m"])))
+    item = lambda m, entity, whole: F.struct(m.alias("m"), F.lit(entity).alias("entity"), F.lit(whole).alias("whole"))
+    several = F.concat(F.transform(F.slice(every, 1, support), lambda m: item(m, 1, 0)), F.array(item(F.concat(F.lit("\n"), F.sha2(F.array_join(every, "\n"), 256)), 0, 1)))
+    return F.when(F.size(every) == 1, F.transform(every, lambda m: item(m, 1, 1))).otherwise(several)
+
+
 def disclosing_terms(docs: DataFrame, held: DataFrame, text: str, generalise: float, remove: float, support: int) -> DataFrame:
     """(kind, term, share): terms that disclose at least `generalise` of a kind's information.
 
-    held: for each document with an entity its masked text and `reps`, one (kind, entity) for
-    each kind that it holds.
+    held: for each document with an entity its masked text and `reps`, one (kind, items) for
+    each kind that it holds (see `evidence`).
     """
     n = F.lit(docs.count())
     of_kind = held.select(F.explode("reps").alias("r")).groupBy(F.col("r.kind").alias("kind")).agg(F.count("*").alias("n_k"))
-    pairs = held.select("reps", F.explode(terms(F.col("masked"))).alias("term")).select("term", F.explode("reps").alias("r"))
-    pairs = pairs.groupBy("term", F.col("r.kind").alias("kind"), F.col("r.m").alias("m")).agg(F.count("*").alias("c"))
-    pairs = pairs.groupBy("term", "kind").agg(F.count("*").alias("entities"), F.sum("c").alias("n_tk")).where(F.col("entities") >= support)
+    pairs = held.select(F.explode(terms(F.col("masked"))).alias("term"), "reps").select("term", F.explode("reps").alias("r")).select("term", F.col("r.kind").alias("kind"), F.explode("r.items").alias("i"))
+    pairs = pairs.groupBy("term", "kind", F.col("i.m").alias("m")).agg(F.max("i.entity").alias("entity"), F.max("i.whole").alias("whole"), F.sum("i.whole").alias("c"))
+    pairs = pairs.groupBy("term", "kind").agg(F.sum("entity").alias("entities"), F.sum("whole").alias("sets"), F.sum("c").alias("n_tk")).where(F.least("entities", "sets") >= support)
     of_term = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     got = of_term.join(pairs, "term").join(F.broadcast(of_kind), "kind")
     pmi = F.log2(F.col("n_tk") * n / (F.col("n_t") * F.col("n_k")))
@@ -136,7 +151,7 @@ def detected(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "
     src = docs.select(F.struct(*keep).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     base = base_spans(src)
     every = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
-    rep = lambda k: F.when(F.size(f"_pii_{k}") > 0, F.struct(F.lit(k).alias("kind"), F.array_min(F.transform(f"_pii_{k}", lambda x: x["m"])).alias("m")))
+    rep = lambda k: F.when(F.size(f"_pii_{k}") > 0, F.struct(F.lit(k).alias("kind"), evidence(F.col(f"_pii_{k}"), support).alias("items")))
     base = base.select("_k", "text", every.alias("base"), F.array_compact(F.array(*[rep(k) for k in KINDS])).alias("reps"))
     some = F.size("base") > 0
     base = base.select("_k", "base", F.when(some, F.col("reps")).alias("reps"), F.when(some, F.col("text")).alias("text"), F.when(some, replaced(F.col("text"), F.col("base"), lambda kind: F.lit(" "))).alias("masked"), F.when(some, F.sha2("text", 256)).alias("key"))

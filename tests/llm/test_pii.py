@@ -76,6 +76,17 @@ def test_disclosing_terms_are_generalised_or_removed(spark):
     assert got[6000] == "HOTLINE without an entity"
 
 
+def test_evidence_counts_all_entities_of_a_document(spark):
+    docs = [(i, f"plain words number {i} stay here") for i in range(400)]
+    docs += [(1000 + i, f"roster stay u{i}@x.org write to admin@corp.com") for i in range(12)]  # the footer sorts first
+    docs += [(2000 + i, "copied stay list " + " ".join(f"v{k}@z.org" for k in range(9))) for i in range(30)]  # one set of entities
+    docs += [(3000 + i, f"pair stay a{i}@y.org a{i + 1}@y.org a{i + 2}@y.org") for i in range(3)]  # five entities, three sets
+    out = {r.doc_id: r.text for r in op.sanitised(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[1003] == " stay [EMAIL]   [EMAIL]"  # roster, write and to stand in no other document
+    assert out[2003] == "copied stay list " + " ".join(["[EMAIL]"] * 9)
+    assert out[3001] == "pair stay [EMAIL] [EMAIL] [EMAIL]"
+
+
 def test_empty_table_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c")], "doc_id long, text string")
     assert op.report(docs.limit(0)).collect() == []
