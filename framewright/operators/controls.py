@@ -41,14 +41,14 @@ def truncated(frames: DataFrame, lengths: dict[str, int]) -> DataFrame:
     return frames.join(table, F.col("frame") < F.col("_length")).drop("traj_id", "_length").withColumnRenamed("_name", "traj_id")
 
 
-def judged(tests: DataFrame, clocks: DataFrame, fraction: float, claimed_ns: float = 1.0) -> DataFrame:
-    """baseline, must_pass, passed, correct, rmsip, z_score, h0_rejected, clock_ok.
+def judged(tests: DataFrame, clocks: DataFrame, fraction: float, claimed_ns: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys (of both tables), baseline, must_pass, passed, correct, rmsip, z_score, h0_rejected, clock_ok.
 
     tests: baseline, rmsip, z_score, h0_rejected; clocks: baseline, measurable, elapsed_ps. A baseline without a clock has no time.
     """
     spark = tests.sparkSession
     want = spark.createDataFrame([(i, n, m) for i, (n, m) in enumerate(BASELINES)], "at int, baseline string, must_pass boolean")
     ok = F.coalesce(F.col("measurable") & (F.col("elapsed_ps") / (claimed_ns * 1000.0) >= fraction), F.lit(False))
-    out = want.join(tests, "baseline").join(clocks.select("baseline", "measurable", "elapsed_ps"), "baseline", "left")
+    out = want.join(tests, "baseline").join(clocks.select(*keys, "baseline", "measurable", "elapsed_ps"), [*keys, "baseline"], "left")
     out = out.withColumn("clock_ok", ok).withColumn("passed", F.col("h0_rejected") & F.col("clock_ok"))
-    return out.orderBy("at").select("baseline", "must_pass", "passed", (F.col("passed") == F.col("must_pass")).alias("correct"), "rmsip", "z_score", "h0_rejected", "clock_ok")
+    return out.orderBy(*keys, "at").select(*keys, "baseline", "must_pass", "passed", (F.col("passed") == F.col("must_pass")).alias("correct"), "rmsip", "z_score", "h0_rejected", "clock_ok")

@@ -492,16 +492,27 @@ def window_subspaces(t):
     return linalg.window_subspaces(frames, _targets(t), 25)
 
 
-def _sweep(t: Tables, spaces: DataFrame) -> DataFrame:
-    targets = _targets(t)
-    known = {k: (x, linalg.frame_of(spaces, k)) for k, x in sorted(targets.items())[:2]}  # two reference structures
-    reach = [0.35 + 0.01 * i for i in range(27)]
-    return nulls.network_null(t.spark, known, reach)
+REACH = [0.35 + 0.01 * i for i in range(27)]
+
+
+def _modes(spaces: DataFrame) -> dict[str, np.ndarray]:
+    """The leading modes of every trajectory as columns, in one job."""
+    found: dict[str, dict[int, list[float]]] = {}
+    for r in spaces.where(F.col("mode") < linalg.MODES).select("traj_id", "mode", "vector").collect():
+        found.setdefault(r.traj_id, {})[r.mode] = r.vector
+    return {k: np.array([v[i] for i in sorted(v)]).T for k, v in found.items()}
+
+
+def _sweep(t: Tables, targets: dict[str, np.ndarray], spaces: DataFrame) -> DataFrame:
+    """The structure-only null of every label."""
+    modes = _modes(spaces)
+    return nulls.network_null(t.spark, {k: (x, modes[k]) for k, x in targets.items()}, REACH)
 
 
 @query()
 def anm_null(t):
-    return _sweep(t, linalg.essential_subspaces(vectors(t), _targets(t)).cache())
+    targets = _targets(t)
+    return _sweep(t, targets, linalg.essential_subspaces(vectors(t), targets).cache())
 
 
 @query()
@@ -511,10 +522,11 @@ def random_null(t):
 
 @query()
 def beyond_structure_test(t):
-    """Each label's subspace against those of label0 and label1, tested against the structure-only null."""
-    spaces = linalg.essential_subspaces(vectors(t), _targets(t)).cache()
-    null = _sweep(t, spaces)
-    agreed = linalg.overlaps(spaces, spaces.where("traj_id in ('label0', 'label1')")).where(F.col("left") != F.col("right"))
+    """Each label's subspace against those of all other labels, tested against the structure-only null."""
+    targets = _targets(t)
+    spaces = linalg.essential_subspaces(vectors(t), targets).cache()
+    null = _sweep(t, targets, spaces)
+    agreed = linalg.overlaps(spaces, spaces).where(F.col("left") != F.col("right"))
     observed = agreed.select(F.col("right").alias("structure"), F.col("left").alias("traj_id"), F.col("rmsip").alias("observed"))
     return nulls.compared(null.select("structure", "rmsip"), observed, ["structure"])
 

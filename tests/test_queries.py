@@ -40,3 +40,12 @@ def test_query(spark, duck, name):
         assert sorted(str([plain(x[c]) for c in cols]) for x in rows) == want
     else:
         assert rows
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_structure_only_null_of_every_label(spark):
+    labels = {f"label{r.label}" for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().collect()}
+    null = [(r.structure, r["at"]) for r in q.QUERIES["anm_null"](spark, SF).collect()]
+    assert len(labels) == 10 and sorted(null) == sorted((k, i) for k in labels for i in range(27))
+    tested = [(r.structure, r.traj_id) for r in q.QUERIES["beyond_structure_test"](spark, SF).collect()]
+    assert sorted(tested) == sorted((a, b) for a in labels for b in labels if a != b)
