@@ -7,9 +7,10 @@ documents stand in for nodes, checks and projects.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -539,21 +540,51 @@ def unrelated_test(t):
     return t.spark.createDataFrame(rows, "test_id string, rmsip double, null_mean double, null_sd double, reject_threshold double, z_score double, p_value_upper_bound double, modes_above_null_99 int, h0_rejected boolean")
 
 
+def tracers(t: Tables) -> DataFrame:
+    """frame, tracer_nm: events as a solvent of 100 tracers, each event one diffusive step of about 0.1 nm; an incomplete last frame is left out."""
+    n = series.FEWEST_TRACERS
+    scale = F.broadcast(t.events.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd")))
+    step = F.coalesce(F.try_divide(F.col("value") - F.col("m"), F.col("sd")), F.lit(0.0)) * 0.1
+    rows = t.events.crossJoin(scale).select((F.col("event_id") % n).alias("tracer"), F.floor(F.col("event_id") / n).cast("int").alias("frame"), step.alias("step"))
+    w = Window.partitionBy("tracer").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = rows.withColumn("x", F.sum("step").over(w)).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("tracer", "x"))).alias("p"))
+    return places.where(F.size("p") == n).select("frame", F.flatten(F.transform("p", lambda p: F.array(p["x"], p["x"] * 2, p["x"] * 3))).alias("tracer_nm"))
+
+
+def _generated(t: Tables, targets: dict[str, np.ndarray]) -> DataFrame:
+    """The synthetic baselines of each label's first structure: structure, baseline, frame, xyz."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for label, flat in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for name, xyz in controls.synthetic_baselines(np.array(flat).reshape(-1, 3)).items():
+                    n = len(xyz)
+                    yield pa.RecordBatch.from_arrays([pa.array([label] * n), pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(xyz.reshape(n, -1).tolist(), pa.list_(pa.float64()))], ["structure", "baseline", "frame", "xyz"])
+
+    rows = t.spark.createDataFrame([(k, x.ravel().tolist()) for k, x in sorted(targets.items())], "structure string, xyz array<double>")
+    return rows.repartition(min(len(targets), 4096)).mapInArrow(run, "structure string, baseline string, frame int, xyz array<double>")
+
+
 @query()
 def negative_controls(t):
-    """Generated baselines of label0's first structure, against its trajectory's subspace."""
-    coords = _targets(t)["label0"]
-    frames = vectors(t).where("traj_id = 'label0'")
-    made = {"real_full_run": None, **controls.synthetic_baselines(coords)}
-    rows = [(n, k, x.ravel().tolist()) for n, xyz in made.items() if xyz is not None for k, x in enumerate(xyz)]
-    every = frames.withColumn("traj_id", F.lit("real_full_run")).unionByName(t.spark.createDataFrame(rows, "traj_id string, frame int, xyz array<double>"))
-    spaces = linalg.essential_subspaces(every, dict.fromkeys(made, coords)).cache()
-    reference = spaces.where("traj_id = 'real_full_run'")
-    null = nulls.network_null(t.spark, {"label0": (coords, linalg.frame_of(spaces, "real_full_run"))}, [0.35 + 0.01 * i for i in range(27)])
-    observed = linalg.overlaps(spaces, reference).select(F.col("left").alias("baseline"), F.col("rmsip").alias("observed"))
-    tests = nulls.compared(null.select("rmsip"), observed, []).withColumnRenamed("observed", "rmsip")
-    clocks = t.spark.createDataFrame([("real_full_run", True, 990.0)], "baseline string, measurable boolean, elapsed_ps double")
-    return controls.judged(tests, clocks, 0.5)
+    """The six baselines of each label, frames of 1 ps, against the label's own subspace and clock."""
+    targets = _targets(t)
+    w = Window.partitionBy("traj_id").orderBy("frame")
+    ranked = vectors(t).withColumn("frame", (F.row_number().over(w) - 1).cast("int")).withColumn("structure", F.col("traj_id"))
+    real = controls.truncated(ranked, {"real_full_run": 2**31 - 1, "truncated_100ps": 100, "truncated_10ps": 10}).withColumnRenamed("traj_id", "baseline")
+    cases = real.select("structure", "baseline", "frame", "xyz").unionByName(_generated(t, targets))
+    name = F.concat_ws("/", "structure", "baseline").alias("traj_id")
+    names = [f"{k}/{b}" for k in targets for b, _ in controls.BASELINES]
+    spaces = linalg.essential_subspaces(cases.select(name, "frame", "xyz"), {n: targets[n.rsplit("/", 1)[0]] for n in names}).cache()
+    own = spaces.where(F.endswith("traj_id", F.lit("/real_full_run")))
+    null = nulls.network_null(t.spark, {k.rsplit("/", 1)[0]: (targets[k.rsplit("/", 1)[0]], modes) for k, modes in _modes(own).items()}, REACH)
+    part = lambda c, i: F.element_at(F.split(c, "/"), i)
+    agreed = linalg.overlaps(spaces, own).where(part("left", 1) == part("right", 1))
+    observed = agreed.select(part("left", 1).alias("structure"), part("left", 2).alias("baseline"), F.col("rmsip").alias("observed"))
+    tests = nulls.compared(null.select("structure", "rmsip"), observed, ["structure"]).withColumnRenamed("observed", "rmsip")
+    timed = real.join(tracers(t), "frame", "left").select(name, "frame", F.col("frame").cast("double").alias("time_ps"), F.lit(100.0).alias("box"), "tracer_nm")
+    clocks = series.clocks(timed).withColumns({"structure": part("traj_id", 1), "baseline": part("traj_id", 2)})
+    return controls.judged(tests, clocks, 0.5, keys=("structure",))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
