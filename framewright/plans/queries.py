@@ -535,7 +535,7 @@ def beyond_structure_test(t):
 @query()
 def unrelated_test(t):
     spaces = linalg.essential_subspaces(vectors(t), _targets(t)).cache()
-    got = nulls.test_unrelated(t.spark, linalg.frame_of(spaces, "label0"), linalg.frame_of(spaces, "label1"), draws=2000)
+    got = nulls.test_unrelated(t.spark, linalg.frame_of(spaces, "label0"), linalg.frame_of(spaces, "label1"))
     rows = [tuple(got[k] for k in ("test_id", "rmsip", "null_mean", "null_sd", "reject_threshold", "z_score", "p_value_upper_bound", "modes_above_null_99", "h0_rejected"))]
     return t.spark.createDataFrame(rows, "test_id string, rmsip double, null_mean double, null_sd double, reject_threshold double, z_score double, p_value_upper_bound double, modes_above_null_99 int, h0_rejected boolean")
 

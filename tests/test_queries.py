@@ -63,3 +63,9 @@ def test_negative_controls_judge_six_baselines_of_every_label_by_its_clock(spark
     clock = {(r.structure, r.baseline): r.clock_ok for r in got}
     assert {k for k, ok in clock.items() if ok} == {("label0", "real_full_run"), ("label1", "real_full_run")}  # 600 of 1,000 ps
     assert len(q.QUERIES["negative_controls"](spark, SF).collect()) == 60
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_unrelated_test_takes_the_default_number_of_draws(spark):
+    p = q.QUERIES["unrelated_test"](spark, SF).first().p_value_upper_bound * (q.nulls.DRAWS + 1)
+    assert abs(p - round(p)) < 1e-6
