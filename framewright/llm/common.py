@@ -44,13 +44,62 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, work: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing.
+
+    The table's path is added to `work`, for `discard` once nothing reads it any more.
+    """
     path = f"{shared_dir(df.sparkSession)}/framewright-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    if work is not None:
+        work.append(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, work: list[str]) -> None:
+    """Deletes work tables."""
+    for path in work:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    work.clear()
+
+
+class Numbered:
+    """A written copy of a table whose rows carry a number, so that results found for rows join to it by number
+    while its rows, long texts included, stay where they are.
+
+    `row` is monotonically_increasing_id() at the time of writing; its upper bits, `part`, tell the task that
+    wrote the row. The copy is bucketed by `part`: each task writes one file, and a join on `part` shuffles
+    only the other side, at every size. The results of one part, at most as many as its rows, are gathered
+    into one row for that join, in groups of GROUP row numbers that are looked up by `row`.
+    """
+
+    GROUP = 256
+    MAX_BUCKETS = 100_000
+
+    def __init__(self, docs: DataFrame, name: str):
+        spark = docs.sparkSession
+        self.columns, self.row, self.part = docs.columns, free_name(docs, "_row"), free_name(docs, "_part")
+        self.buckets = min(self.MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        unique = uuid.uuid4().hex
+        copy = docs.withColumn(self.row, F.monotonically_increasing_id()).withColumn(self.part, F.shiftright(self.row, 33))
+        at = copy.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/framewright-{name}-{unique}").bucketBy(self.buckets, self.part)
+        at.saveAsTable(f"framewright_{unique}")
+        self.df = spark.table(f"framewright_{unique}")
+        spark.sql(f"DROP TABLE framewright_{unique}")  # the catalogue's entry only: the files are read on
+
+    def joined(self, found: DataFrame, value: str) -> DataFrame:
+        """The copy with column `value` of `found` (`row`, `value`; a row at most once), null where found has no such row."""
+        row, part = self.row, self.part
+        group, items, groups = "_group", "_items", free_name(self.df, "_groups")
+        some = found.select(F.col(row).alias("_r"), F.col(value).alias("_v")).withColumn(part, F.shiftright("_r", 33)).withColumn(group, F.floor(F.col("_r") / self.GROUP))
+        some = some.repartition(self.buckets, part).groupBy(part, group).agg(F.collect_list(F.struct("_r", "_v")).alias(items))
+        some = some.groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct(group, items))).alias(groups))
+        at = self.df.join(some.hint("shuffle_hash"), part, "left")
+        mine = F.filter(F.element_at(groups, F.floor(F.col(row) / self.GROUP)), lambda x: x["_r"] == F.col(row))
+        return at.select(*self.columns, row, F.get(mine, F.lit(0))["_v"].alias(value))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -169,7 +218,7 @@ class WordHasher:
             yield start + k, h[cut[k] : cut[k + 1]]
 
 
-def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str, work: list[str] | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: long); root is the component's smallest node.
 
     Alternating large-star and small-star rounds; each round's edges are a written
@@ -177,19 +226,25 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     sort-merge joins (which adaptive execution splits) and in min() with map-side
     combining, so no task or driver gathers a component.
     """
-    at = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    done: list[str] = []
+    at = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, done)
     before = None
     for _ in range(max_rounds):
         both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        at = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        small = large.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now: list[str] = []
+        at = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name, now)
+        discard(at.sparkSession, done)
+        done = now
         state = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if work is not None:
+        work += done
     return at.select(F.col("a").alias("node"), F.col("b").alias("root")).union(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -178,7 +178,7 @@ def test_links_in_a_tile_are_similar_and_connect_like_all_pairs():
     sets = [plain_set(t) for t in texts]
     root = [i // 2 if i < 20 else i for i in range(len(texts))]
     shingles = [f.view(np.int64).tolist() for f in op.shingle_sets(texts)]
-    got = op.tile_links(pa.table({"key": list(range(len(texts))), "root": root, "shingles": pa.array(shingles, pa.list_(pa.int64()))}))
+    got = op.tile_links(pa.table({"node": list(range(len(texts))), "root": root, "shingles": pa.array(shingles, pa.list_(pa.int64()))}))
     links = set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
     assert all(root[a] != root[b] and plain_similarity(sets[a], sets[b]) >= 0.8 for a, b in links)
     near = lambda a, b: root[a] != root[b] and plain_similarity(sets[a], sets[b]) >= 0.8
