@@ -19,8 +19,10 @@ number of exact or near copies of a document counts once, and one document with
 entities proves nothing for its every word; where either is below `support` nothing is
 concluded.
 
-Shuffles carry terms and counts. n(t) is a map-side combined count over all documents;
-pairs come from documents with an entity only. Documents are never gathered by a key.
+Documents are written once, with their spans and a number, and stay where they are: shuffles carry
+terms, counts and numbers only (see `common.Numbered`). n(t) is a map-side combined count over all
+documents; pairs come from documents with an entity only. The disclosing terms are sent to the
+executors up to BROADCAST_BYTES and joined by sorting beyond.
 
 Nulls and rows: a null text counts as empty and stays null when sanitised; null ids and
 repeated rows are each returned; overlapping spans of different kinds are all reported and
@@ -33,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Numbered, discard, free_name, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the contract, with possessive quantifiers where backing off can never help.
@@ -44,6 +46,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 GENERALISE, REMOVE, SUPPORT = 0.9, 0.99, 5
+BROADCAST_BYTES = 32_000_000
 SPAN = "array<struct<kind:string,s:bigint,e:bigint,m:string>>"
 _NONE = F.array
 
@@ -128,63 +131,70 @@ def evidence(spans: Column, support: int) -> Column:
     return F.when(F.size(every) == 1, F.transform(every, lambda m: item(m, 1, 1))).otherwise(several)
 
 
-def disclosing_terms(docs: DataFrame, held: DataFrame, text: str, generalise: float, remove: float, support: int) -> DataFrame:
+def disclosing_terms(n: int, docs: DataFrame, held: DataFrame, text: str, generalise: float, support: int) -> DataFrame:
     """(kind, term, share): terms that disclose at least `generalise` of a kind's information.
 
-    held: for each document with an entity its masked text and `reps`, one (kind, items) for
-    each kind that it holds (see `evidence`).
+    docs: the texts of all `n` documents; held: for each document with an entity its masked text and
+    `reps`, one (kind, items) for each kind that it holds (see `evidence`).
     """
-    n = F.lit(docs.count())
+    n = F.lit(n)
     of_kind = held.select(F.explode("reps").alias("r")).groupBy(F.col("r.kind").alias("kind")).agg(F.count("*").alias("n_k"))
     pairs = held.select(F.explode(terms(F.col("masked"))).alias("term"), "reps").select("term", F.explode("reps").alias("r")).select("term", F.col("r.kind").alias("kind"), F.explode("r.items").alias("i"))
     pairs = pairs.groupBy("term", "kind", F.col("i.m").alias("m")).agg(F.max("i.entity").alias("entity"), F.max("i.whole").alias("whole"), F.sum("i.whole").alias("c"))
     pairs = pairs.groupBy("term", "kind").agg(F.sum("entity").alias("entities"), F.sum("whole").alias("sets"), F.sum("c").alias("n_tk")).where(F.least("entities", "sets") >= support)
     of_term = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    got = of_term.join(pairs, "term").join(F.broadcast(of_kind), "kind")
+    got = of_term.join(pairs.hint("merge"), "term").join(F.broadcast(of_kind), "kind")
     pmi = F.log2(F.col("n_tk") * n / (F.col("n_t") * F.col("n_k")))
     share = F.try_divide(pmi, F.log2(n / F.col("n_k")))
     return got.select("kind", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
-def detected(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """_k (a struct of `keep`), _p.base and _p.added (arrays of spans), and _text where there are spans."""
-    src = docs.select(F.struct(*keep).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = base_spans(src)
-    every = F.concat(*[F.col(f"_pii_{k}") for k in KINDS])
-    rep = lambda k: F.when(F.size(f"_pii_{k}") > 0, F.struct(F.lit(k).alias("kind"), evidence(F.col(f"_pii_{k}"), support).alias("items")))
-    base = base.select("_k", "text", every.alias("base"), F.array_compact(F.array(*[rep(k) for k in KINDS])).alias("reps"))
-    some = F.size("base") > 0
-    base = base.select("_k", "base", F.when(some, F.col("reps")).alias("reps"), F.when(some, F.col("text")).alias("text"), F.when(some, replaced(F.col("text"), F.col("base"), lambda kind: F.lit(" "))).alias("masked"), F.when(some, F.sha2("text", 256)).alias("key"))
-    base = written(base, "pii-base")
-    held = base.where("key is not null")
-    telling = written(disclosing_terms(src, held, "text", generalise, remove, support), "disclosing-terms")
-    mine = held.select("key", "reps", F.explode(terms(F.col("masked"))).alias("term")).select("key", "term", F.explode("reps.kind").alias("kind"))
-    mine = mine.join(telling, ["term", "kind"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+def detected(docs: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> tuple[DataFrame, str, str]:
+    """docs with two more columns of spans, the base ones and those that the method adds, and these columns' names."""
+    work: list[str] = []
+    base_name, added_name = free_name(docs, "_base"), free_name(docs, "_added")
+    src = docs.select(F.struct(*docs.columns).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    found = base_spans(src).select("_k.*", F.concat(*[F.col(f"_pii_{k}") for k in KINDS]).alias(base_name))
+    rows = Numbered(found, "pii-rows")
+    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    held = rows.df.where(F.size(base_name) > 0).select(F.col(rows.row).alias("row"), plain.alias("text"), F.col(base_name).alias("base"))
+    of = lambda k: F.filter("base", lambda x: x["kind"] == k)
+    rep = lambda k: F.when(F.size(of(k)) > 0, F.struct(F.lit(k).alias("kind"), evidence(of(k), support).alias("items")))
+    masked = replaced(F.col("text"), F.col("base"), lambda kind: F.lit(" ")).alias("masked")
+    reps = held.select(masked, F.array_compact(F.array(*[rep(k) for k in KINDS])).alias("reps"))
+    telling = written(disclosing_terms(rows.df.count(), rows.df.select(plain.alias("text")), reps, "text", generalise, support), "disclosing-terms", work)
+    size = telling.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    mine = held.select("row", F.array_distinct("base.kind").alias("kinds"), F.explode(terms(masked)).alias("term")).select("row", "term", F.explode("kinds").alias("kind"))
+    mine = mine.join(telling.hint("broadcast" if size <= BROADCAST_BYTES else "merge"), ["term", "kind"]).groupBy("row", "term").agg(F.max("share").alias("share"))
     word = lambda over: F.array_join(F.array_sort(F.collect_set(F.when(over, F.col("term")))), "|")
-    mine = written(mine.groupBy("key").agg(word(F.col("share") < remove).alias("soft"), word(F.col("share") >= remove).alias("hard")), "terms-by-text")
-    plain = base.where("key is null").select("_k", "base", F.array().cast(SPAN).alias("added"), "text")
-    held = held.join(mine, "key", "left")
-    alone = lambda w: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col(w), F.lit(r")(?![\p{L}\p{N}])"))
-    found = {k: F.when(F.length(w) > 0, F.regexp_extract_all("text", alone(w), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, w in (("generalised", "soft"), ("removed", "hard"))}
-    held = held.withColumns(found)
-    added = F.concat(*[_located(F.col("text"), F.col(k), F.coalesce(alone(w), F.lit("")), k) for k, w in (("generalised", "soft"), ("removed", "hard"))])
-    held = held.select("_k", "base", added.alias("added"), "text")
-    held = held.withColumn("added", F.filter("added", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
-    out = plain.union(held)
-    return out.select("_k", F.struct("base", "added").alias("_p"), F.col("text").alias("_text"))
+    mine = mine.groupBy("row").agg(F.struct(word(F.col("share") < remove).alias("soft"), word(F.col("share") >= remove).alias("hard")).alias("words"))
+    words = free_name(rows.df, "_words")
+    mine = written(mine.select(F.col("row").alias(rows.row), F.col("words").alias(words)), "terms-by-row")
+    discard(docs.sparkSession, work)
+    out = rows.joined(mine, words)
+    alone = lambda w: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col(words)[w], F.lit(r")(?![\p{L}\p{N}])"))
+
+    def spans(kind: str, w: str) -> Column:
+        some = F.coalesce(F.length(F.col(words)[w]), F.lit(0)) > 0
+        located = _located(plain, F.regexp_extract_all(plain, alone(w), F.lit(0)), alone(w), kind)
+        return F.when(some, located).otherwise(F.array().cast(SPAN))
+
+    added = F.concat(spans("generalised", "soft"), spans("removed", "hard"))
+    out = out.withColumn(added_name, F.filter(added, lambda x: ~F.exists(base_name, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+    return out.select(*docs.columns, base_name, added_name), base_name, added_name
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, digest of the base spans and all spans."""
-    got = detected(docs)
-    count = lambda k: F.size(F.filter("_p.base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return got.select("_k.doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("_p.base")), 256).alias("base_sha256"), joined(F.concat("_p.base", "_p.added")).alias("spans"))
+    got, base, added = detected(docs.select("doc_id", "text"))
+    count = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return got.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col(base)), 256).alias("base_sha256"), joined(F.concat(base, added)).alias("spans"))
 
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data and disclosing terms replaced in `text`; other rows and columns as they are."""
-    keep = tuple(docs.columns)
-    got = detected(docs, keep, text)
+    got, base, added = detected(docs, text)
     by = lambda kind: F.when(kind == "removed", "").when(kind == "generalised", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
-    new = F.when(F.col("_text").isNotNull(), replaced(F.col("_text"), F.concat("_p.base", "_p.added"), by)).otherwise(F.col("_k")[text])
-    return got.select(*[new.alias(c) if c == text else F.col("_k")[c].alias(c) for c in keep])
+    every = F.concat(base, added)
+    new = F.when(F.size(every) > 0, replaced(F.col(text).cast("string"), every, by)).otherwise(F.col(text))
+    return got.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
