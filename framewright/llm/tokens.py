@@ -14,8 +14,14 @@ all parts of some megabytes of text are array operations; the library encodes ea
 once, when it is first seen. Rare texts that hold longer runs of white space (or NUL) under
 "leading" take a slower path with the same ids.
 
-Parts are told apart by 64-bit hashes: at ten million different parts the odds of any
-collision are about three in a million. Token strings in a text are ordinary text.
+Parts are found by 64-bit hashes of their bytes and verified: a part of up to seven bytes is
+its hash, one to one; of longer ones all bytes are compared with those kept, and a part that
+differs is encoded on its own, like every part of more than MAX_BYTES bytes. So the ids are
+the library's for any text.
+
+The strings of a tokenizer's special tokens in a text become those tokens, as the library's
+plain call has it; with `special_as_text` they are ordinary text. A text that holds one is
+encoded whole.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from __future__ import annotations
 import json
 import os
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 
@@ -31,6 +38,8 @@ from .common import WordHasher, mix
 #: Parts kept; later ones are encoded anew for each slice. Frequent parts come early.
 MAX_KEPT = 800_000
 MAX_BYTES = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 1 << 20
 _OTHER, _LETTER, _DIGIT, _PUNCT, _QUOTE, _LINE = 1, 2, 3, 4, 5, 6
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -51,6 +60,21 @@ def kind_of(path: str) -> str:
     return "whole"
 
 
+class Cut(NamedTuple):
+    """The parts of a block: hashes, places, and what tells them apart.
+
+    `shape` is twice the size in bytes (MAX_BYTES + 1 for all longer ones) plus whether a space leads;
+    `head` holds the first eight bytes, `tails` for each further eight bytes the parts that have them.
+    """
+
+    h: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    shape: np.ndarray
+    head: np.ndarray
+    tails: list[tuple[np.ndarray, np.ndarray]]
+
+
 class Parts(WordHasher):
     """Cuts a block of NUL-separated texts into parts and hashes them."""
 
@@ -71,36 +95,52 @@ class Parts(WordHasher):
         self.joint = cut.ravel()
         self.leading = kind == "leading"
 
-    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def block(self, data: bytes) -> Cut:
         raw = np.frombuffer(data, dtype=np.uint8)
         kind = np.zeros(len(raw) + 2, dtype=np.uint8)
         kind[1:-1] = self.kind[raw]
         edge = self.joint[kind[:-1] * np.uint8(7) + kind[1:]]
         start, end = np.flatnonzero(edge & (kind[1:] != 0)), np.flatnonzero(edge & (kind[:-1] != 0))
-        self._powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(self.value[raw] * self.power[: len(raw)], out=total[1:])
-        h = (total[end] - total[start]) * self.inverse[start]
-        if self.leading:
-            spaced = (start > 0) & (raw[np.maximum(start, 1) - 1] == 32)
-            h = h * np.uint64(2) + spaced
-        return mix(h), start, end
+        spaced = (start > 0) & (raw[np.maximum(start, 1) - 1] == 32) if self.leading else np.zeros(len(start), dtype=bool)
+        size = np.minimum(end - start, MAX_BYTES + 1)
+        shape = (2 * size + spaced).astype(np.uint8)
+        view = np.ndarray(len(raw) + 1, dtype="<u8", buffer=data + bytes(8), strides=(1,))
+        head = view[start] & _MASKS[np.minimum(size, 8)]
+        h = mix(head | shape.astype(np.uint64) << np.uint64(56))
+        tails = []
+        at = np.flatnonzero((size > 7) & (size <= MAX_BYTES))
+        h[at] = mix(head[at] + shape[at] * _ODD)
+        for k in range(8, MAX_BYTES, 8):
+            at = at[size[at] > k]
+            if not len(at):
+                break
+            word = view[start[at] + k] & _MASKS[np.minimum(size[at] - k, 8)]
+            h[at] = mix(h[at] * _ODD + word)
+            tails.append((at, word))
+        return Cut(h, start, end, shape, head, tails)
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = kind_of(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        plain = special_as_text and all(t.special for t in added)
+        # A token that is looked for in the normalised text may hide behind other characters.
+        self.kind = "whole" if not plain and any(t.normalized for t in added) else kind_of(path)
+        self.tokens = [] if plain else [t.content.encode() for t in added]
         self.parts = Parts(self.kind)
         self.limit = MAX_KEPT
         self.key = np.zeros(1 << 14, dtype=np.uint64)
         self.entry = np.full(1 << 14, -1, dtype=np.int32)
         self.at, self.size, self.n = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int32), 0
         self.store, self.used = np.zeros(1 << 14, dtype=np.uint32), 0
+        #: Of each entry: shape, first eight bytes, and where its further words begin among `words`.
+        self.shape, self.head, self.tail = np.zeros(1 << 12, dtype=np.uint8), np.zeros(1 << 12, dtype=np.uint64), np.zeros(1 << 12, dtype=np.int32)
+        self.words, self.n_words = np.zeros(1 << 12, dtype=np.uint64), 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -136,20 +176,48 @@ class Encoder:
             left = left[~done[left]]
             slot[left] = (slot[left] + 1) & (len(self.key) - 1)
 
+    def _room(self, name: str, need: int) -> None:
+        have = getattr(self, name)
+        if need > len(have):
+            setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have) // 2), dtype=have.dtype)]))
+
     def _append(self, ids: list[list[int]]) -> np.ndarray:
         """Stores ids; their entries."""
         size = np.array([len(i) for i in ids], dtype=np.int64)
         flat = np.array([x for i in ids for x in i], dtype=np.uint32)
-        for name, need in (("at", self.n + len(ids)), ("size", self.n + len(ids)), ("store", self.used + len(flat))):
-            have = getattr(self, name)
-            if need > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have) // 2), dtype=have.dtype)]))
+        for name in ("at", "size", "shape", "head", "tail"):
+            self._room(name, self.n + len(ids))
+        self._room("store", self.used + len(flat))
         entry = np.arange(self.n, self.n + len(ids))
         self.at[entry], self.size[entry] = self.used + np.cumsum(size) - size, size
         self.store[self.used : self.used + len(flat)] = flat
         self.n, self.used = self.n + len(ids), self.used + len(flat)
         return entry
 
+    def _remember(self, cut: Cut, part: np.ndarray, entry: np.ndarray) -> None:
+        """Keeps the bytes of parts with their entries."""
+        self.shape[entry], self.head[entry] = cut.shape[part], cut.head[part]
+        more = np.maximum((cut.shape[part].astype(np.int64) // 2 + 7) // 8 - 1, 0)
+        self.tail[entry] = self.n_words + np.cumsum(more) - more
+        self._room("words", self.n_words + int(more.sum()))
+        self.n_words += int(more.sum())
+        of = np.full(len(cut.h), -1, dtype=np.int64)
+        of[part] = entry
+        for k, (at, word) in enumerate(cut.tails):
+            mine = of[at] >= 0
+            self.words[self.tail[of[at[mine]]] + k] = word[mine]
+
+    def _unlike(self, cut: Cut, entry: np.ndarray) -> np.ndarray:
+        """Which parts have other bytes than the entries (-1: none) that their hashes led to."""
+        bad = (entry >= 0) & (self.shape[entry] != cut.shape)
+        long = np.flatnonzero((cut.shape > 15) & (entry >= 0) & ~bad)
+        bad[long] = self.head[entry[long]] != cut.head[long]
+        for k, (at, word) in enumerate(cut.tails):
+            mine = (entry[at] >= 0) & ~bad[at]
+            at, word = at[mine], word[mine]
+            bad[at] = self.words[self.tail[entry[at]] + k] != word
+        return bad
+
     def _slow(self, data: bytes) -> bool:
         """Whether white space stands where "leading" parts don't tell how it is tokenized."""
         if not self.parts.leading:
@@ -167,7 +235,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(data)
         run, size = [], 0
         for i, d in enumerate(data):
-            if self.kind == "whole" or len(d) > _SLICE or self._slow(d):
+            if self.kind == "whole" or len(d) > _SLICE or any(t in d for t in self.tokens) or self._slow(d):
                 out[i] = np.array(self._library([texts[i] or ""])[0], dtype="<u4").tobytes()
                 continue
             run.append(i)
@@ -180,38 +248,47 @@ class Encoder:
 
     def _slice(self, data: list[bytes], run: list[int], out: list[bytes]) -> None:
         block = b"\x00".join([data[i] for i in run])
-        h, start, end = self.parts.block(block)
-        if not len(h):
+        cut = self.parts.block(block)
+        if not len(cut.h):
             return
-        entry = self._find(h)
-        n, used = self.n, self.used
-        new = np.flatnonzero(entry < 0)
+        lead = cut.start - (cut.shape & 1)
+        text = lambda part: block[lead[part] : cut.end[part]].decode()
+        kept = self.n, self.used, self.n_words
+        entry = self._find(cut.h)
+        over = cut.shape >= 2 * (MAX_BYTES + 1)
+        entry[over] = -1
+        odd = self._unlike(cut, entry) | over
+        new = np.flatnonzero((entry < 0) & ~odd)
         if len(new):
-            fresh, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            fresh, first, back = np.unique(cut.h[new], return_index=True, return_inverse=True)
             first = new[first]
-            spaced = self.parts.leading
-            s = np.where(spaced & (start[first] > 0) & (np.frombuffer(block, dtype=np.uint8)[np.maximum(start[first], 1) - 1] == 32), start[first] - 1, start[first]) if spaced else start[first]
-            e = end[first]
-            # those to keep come first, so that the rest can be dropped after this slice
-            order = np.argsort(e - s > MAX_BYTES, kind="stable")
-            keep = int((e - s <= MAX_BYTES).sum())
-            keep = max(0, min(keep, self.limit - n))
-            ids = self._library([block[a:b].decode() for a, b in zip(s[order].tolist(), e[order].tolist(), strict=True)])
-            kept = sum(len(i) for i in ids[:keep])
-            got = np.empty(len(fresh), dtype=np.int64)
-            got[order] = self._append(ids)
+            got = self._append(self._library([text(p) for p in first.tolist()]))
+            self._remember(cut, first, got)
             entry[new] = got[back]
+            ours = np.full(len(entry), -1, dtype=entry.dtype)
+            ours[new] = entry[new]
+            odd |= self._unlike(cut, ours)
+            # the first to come are kept; the rest is dropped after this slice
+            keep = max(0, min(len(fresh), self.limit - kept[0]))
+            if keep == len(fresh):
+                kept = self.n, self.used, self.n_words
+            elif keep:
+                last = got[keep - 1]
+                kept = int(last) + 1, int(self.at[last] + self.size[last]), int(self.tail[last]) + max((int(self.shape[last]) // 2 + 7) // 8 - 1, 0)
+        if odd.any():
+            parts: dict[str, int] = {}
+            of = [parts.setdefault(text(p), len(parts)) for p in np.flatnonzero(odd).tolist()]
+            entry[odd] = self._append(self._library(list(parts)))[of]
         size = self.size[entry].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.store[np.repeat(self.at[entry] - ends + size, size) + np.arange(ends[-1])].astype("<u4").tobytes()
-        if len(new):
-            self.n, self.used = n + keep, used + kept
-            self.n -= keep
-            self._insert(fresh[order[:keep]], got[order[:keep]].astype(np.int32))
-            self.n += keep
+        if len(new) and keep:
+            self.n = int(got[0])  # entries in the table so far
+            self._insert(fresh[:keep], got[:keep].astype(np.int32))
+        self.n, self.used, self.n_words = kept
         offset = np.cumsum([0, *(len(data[i]) + 1 for i in run)])
-        cut = np.searchsorted(start, offset)
-        at = np.concatenate([[0], ends])[cut] * 4
+        at = np.searchsorted(cut.start, offset)
+        at = np.concatenate([[0], ends])[at] * 4
         for i, a, b in zip(run, at[:-1].tolist(), at[1:].tolist(), strict=True):
             out[i] = ids[a:b]
 
@@ -225,6 +302,6 @@ _LEADS[[c[0] for c in _EXOTIC]] = True
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """The process's encoder: its table outlives a task."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
