@@ -6,17 +6,21 @@ same canonical URL if its validators match: a revisit's ETag must equal the resp
 concluded. The stored headers are then updated by those that a 304 may change (RFC 9111,
 section 3.2).
 
-The as-of join is skew-proof: captures fall into `buckets` time ranges of equal share (by
-quantiles of all capture times). A window over (URL, bucket) finds earlier responses in the
-same range; the last response of each (URL, bucket) is carried forward over the ranges, at
-most `buckets` rows for each URL. So a URL with a third of all captures spreads over a third of
-the ranges. Bodies take no part; `with_bodies` joins them afterwards.
+The as-of join is skew-proof: captures fall into time ranges of equal share (by quantiles of all
+capture times), one for each `rows_each` captures, MOST at most. A window over (URL, range)
+finds earlier responses in the same range; the last response of each (URL, range) is carried
+forward over the ranges, a row for each range at most. So of a URL with a third of all captures a
+window holds about a third of `rows_each` rows, and beyond MOST ranges one that Spark sorts on
+disk. Bodies take no part; `with_bodies` joins them afterwards.
 
 Status: "resolved", "mismatch" (the latest response has other validators), "unverified" (no
 common validator), "unmatched" (no earlier response), "full" for full responses.
 
-Nulls and rows: a null URL or time matches nothing; null headers are empty; among
-responses of one time the largest record id counts; repeated rows are each returned; an
+Header names have no case: values of names that differ in case only are joined by ", " in the
+order of the names as written (cookies by line ends; RFC 9110, section 5.3).
+
+Nulls and rows: a null URL or time matches nothing; null headers are empty; a header without a
+value keeps none; very long URLs and headers are handled like any other; among responses of one time the largest record id counts; repeated rows are each returned; an
 empty table gives an empty result; further columns are kept (those named like a new one are replaced).
 """
 
@@ -25,7 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from .common import free_name
+
+ROWS_EACH, MOST = 500_000, 4096
+#: Ranges are found in two steps, each by so many comparisons.
+_STEP = 64
 #: Query parameters that only track.
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid|sessionid)(=|$)"
 #: Headers that a 304 must not change (RFC 9111, section 3.2; RFC 9110, section 7.6.1).
@@ -41,29 +49,50 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
+def folded(headers: Column) -> Column:
+    """Headers by lower-case name."""
+    every = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.array_distinct(F.transform(every, lambda e: F.lower(e["key"])))
+    values = lambda n: F.transform(F.filter(every, lambda e: (F.lower(e["key"]) == n) & e["value"].isNotNull()), lambda e: e["value"])
+    one = lambda n: F.when(F.size(values(n)) > 0, F.when(n == "set-cookie", F.array_join(values(n), "\n")).otherwise(F.array_join(values(n), ", ")))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), one(n).alias("value"))))
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
     """Stored headers, updated by the fresh ones that may change."""
-    low = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
-    new = F.map_filter(low(fresh), lambda k, v: ~k.isin(*KEPT_HEADERS))
-    return F.map_concat(F.map_filter(low(stored), lambda k, v: ~F.map_contains_key(new, k)), new)
+    new = F.map_filter(folded(fresh), lambda k, v: ~k.isin(*KEPT_HEADERS))
+    return F.map_concat(F.map_filter(folded(stored), lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def time_range(ts: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most ts (null: 0)."""
+    array = lambda x: F.array(*[F.lit(c).cast("long") for c in x]).cast("array<bigint>")
+    upto = lambda x: F.size(F.filter(x, lambda c: c <= ts))
+    if len(cuts) <= _STEP:
+        return F.when(ts.isNull(), 0).otherwise(upto(array(cuts)))
+    group = upto(array(cuts[::_STEP]))
+    within = upto(F.slice(array(cuts), (group - 1) * _STEP + 1, _STEP))
+    return F.when(ts.isNull() | (group == 0), 0).otherwise((group - 1) * _STEP + within)
 
 
-def resolved(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def resolved(records: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
     """records (record_id, url, ts: long, kind, etag, last_modified, headers) with canonical, status, resolved_id and merged."""
-    cuts = records.agg(F.percentile_approx("ts", [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"]
-    cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or []))]).cast("array<bigint>")
+    every = records.agg(F.count("*").alias("n"), F.percentile_approx("ts", [i / MOST for i in range(1, MOST)], 20_000).alias("c")).first()
+    ranges = max(1, min(MOST, -(-every["n"] // rows_each)))
+    cuts = sorted({every["c"][i * MOST // ranges - 1] for i in range(1, ranges)}) if every["c"] else []
     canonical = F.when(F.col("ts").isNotNull(), canonical_url(F.col("url")))
+    own, span, full, near, last, before = (free_name(records, n) for n in ("_key", "_range", "_full", "_near", "_last", "_carried"))
     # A row that can match nothing gets a key of its own, so that no window gathers such rows.
     key = F.coalesce(canonical, F.concat(F.lit("\x00"), F.xxhash64("record_id", F.monotonically_increasing_id()).cast("string")))
-    at = records.withColumns({"canonical": canonical, "_key": key, "_range": F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col("ts"))), F.lit(0))})
+    at = records.withColumns({"canonical": canonical, own: key, span: time_range(F.col("ts"), cuts)})
     response = F.when((F.col("kind") == "response") & F.col("canonical").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", F.array_sort(F.map_entries("headers")).alias("headers")))
-    at = at.withColumn("_full", response)
-    within = Window.partitionBy("_key", "_range").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn(full, response)
+    within = Window.partitionBy(own, span).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     # Each range's last response holds from the next range in which the URL occurs.
-    spans = at.groupBy("_key", "_range").agg(F.max("_full").alias("_last"))
-    carried = spans.withColumn("_carried", F.max("_last").over(Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_key", "_range", "_carried")
-    out = at.withColumn("_near", F.max("_full").over(within)).join(carried.where("_carried is not null"), ["_key", "_range"], "left")
-    found = F.coalesce("_near", "_carried")
+    spans = at.groupBy(own, span).agg(F.max(full).alias(last))
+    carried = spans.withColumn(before, F.max(last).over(Window.partitionBy(own).orderBy(span).rowsBetween(Window.unboundedPreceding, -1))).select(own, span, before)
+    out = at.withColumn(near, F.max(full).over(within)).join(carried.where(F.col(before).isNotNull()).hint("merge"), [own, span], "left")
+    found = F.coalesce(near, before)
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     by_tag = F.col("etag").isNotNull() & found["etag"].isNotNull()
     by_date = F.col("last_modified").isNotNull() & found["last_modified"].isNotNull()
@@ -73,13 +102,15 @@ def resolved(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     ok = F.col("status") == "resolved"
     merged = F.when(ok, merged_headers(F.map_from_entries(found["headers"]), F.col("headers"))).when(F.col("kind") == "response", merged_headers(F.col("headers"), F.lit(None).cast("map<string,string>")))
     out = out.withColumns({"resolved_id": F.when(ok, found["record_id"]), "merged": merged})
-    return out.drop("_key", "_range", "_full", "_near", "_carried")
+    return out.drop(own, span, full, near, before)
 
 
 def with_bodies(answers: DataFrame, bodies: DataFrame, body: str = "body") -> DataFrame:
     """answers with the body of the response that each is resolved to (its own for a full one); bodies: record_id, body."""
-    own = bodies.select(F.col("record_id").alias("_id"), F.col(body))
-    return answers.withColumn("_of", F.coalesce("resolved_id", F.when(F.col("status") == "full", F.col("record_id")))).join(own, F.col("_of") == F.col("_id"), "left").drop("_of", "_id")
+    of, own = free_name(answers, "_of"), free_name(answers, "_id")
+    kept = [c for c in answers.columns if c.lower() != body.lower()]
+    got = answers.select(*kept).withColumn(of, F.coalesce("resolved_id", F.when(F.col("status") == "full", F.col("record_id"))))
+    return got.join(bodies.select(F.col("record_id").alias(own), F.col(body)), F.col(of) == F.col(own), "left").drop(of, own)
 
 
 def captures(pages: DataFrame, gap: int = 401) -> DataFrame:
@@ -98,7 +129,7 @@ def report(pages: DataFrame) -> DataFrame:
     """One row for each revisit of the crawl: page_id, canonical URL, status, the page resolved to, merged headers."""
     got = resolved(captures(pages)).where("kind = 'revisit'")
     line = F.array_join(F.transform(F.array_sort(F.map_entries("merged")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
-    return got.select("page_id", "canonical", "status", (F.col("resolved_id") / 2).cast("long").alias("response_page_id"), F.when(F.col("merged").isNotNull(), line).alias("headers"))
+    return got.select("page_id", "canonical", "status", F.shiftright("resolved_id", 1).alias("response_page_id"), F.when(F.col("merged").isNotNull(), line).alias("headers"))
 
 
 ORACLE = r"""

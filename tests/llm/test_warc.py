@@ -37,8 +37,8 @@ def test_against_brute_force(spark):
         url = rng.choice(["a.org/x"] * 6 + ["b.org/y", "c.org", None])
         rows.append((i, url, rng.choice([None, *range(150)]), rng.choice(["response", "revisit"]), rng.choice([None, '"1"', 'W/"1"', '"2"']), rng.choice([None, "d1", "d2"]), {"ETag": "x"} if rng.random() < 0.8 else None, "n"))
     df = spark.createDataFrame(rows, SCHEMA)
-    for buckets in (1, 7, 64):
-        got = {r.record_id: (r.status, r.resolved_id) for r in op.resolved(df, buckets).collect()}
+    for each in (1000, 90, 5, 1):
+        got = {r.record_id: (r.status, r.resolved_id) for r in op.resolved(df, each).collect()}
         assert got == plain(rows)
     assert op.resolved(df.limit(0)).collect() == []
     assert "note" in op.resolved(df).columns and op.resolved(df.union(df.where("record_id = 5"))).count() == 601
@@ -57,6 +57,29 @@ def test_headers_and_bodies(spark):
     assert (r[1].body, r[2].body, r[2].resolved_id) == ("BODY", "BODY", 1)
 
 
+def test_headers_of_any_case_clashing_columns_and_long_values(spark):
+    rows = [
+        (1, "a.org/" + "x" * 300_000, 10, "response", '"t"', None, {"Set-Cookie": "a=1", "set-cookie": "b=2", "Vary": "x", "VARY": None, "Empty": None}, "mine"),
+        (2, "a.org/" + "x" * 300_000, 20, "revisit", '"t"', None, {"vary": "y", "Vary": "z", "Cache-Control": "no"}, "too"),
+        (2305843009213693953, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "note as _key", "note as _range", "note as _carried", "note as _of", "note as body", "note as status")
+    got = op.resolved(df)
+    assert set(got.columns) == {*df.columns, "canonical", "resolved_id", "merged"}
+    r = {x.record_id: x for x in op.with_bodies(got, spark.createDataFrame([(1, "BODY")], "record_id long, body string")).collect()}
+    assert r[1].merged == {"set-cookie": "a=1\nb=2", "vary": "x", "empty": None}
+    assert r[2].merged == {"set-cookie": "a=1\nb=2", "vary": "z, y", "empty": None, "cache-control": "no"}
+    assert (r[1]._key, r[2]._range, r[2]._carried, r[2]._of, r[2].body, r[2].status) == ("mine", "too", "too", "too", "BODY", "resolved")
+    assert r[2305843009213693953].status == "unmatched" and op.with_bodies(got.limit(0), df.limit(0)).count() == 0
+
+
+def test_large_page_ids_and_repeats(spark):
+    pages = [(2305843009213693953, "a.org", "x"), (7, None, None), (8, "b.org", "y"), (8, "b.org", "y")]
+    got = op.report(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.response_page_id) for r in got if r.canonical) == [(8, 8), (8, 8), (2305843009213693953, 2305843009213693953)]
+    assert [r.status for r in got if r.page_id == 7] == ["unmatched"]
+
+
 def test_query_equals_sql(spark):
     import duckdb
 
