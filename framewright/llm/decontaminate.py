@@ -1,13 +1,16 @@
 """Operator 5: benchmark decontamination with item-sized SimHash windows.
 
 For each benchmark item every window of the item's own length in words slides over a
-document. Windows that share no 5-word shingle with the item have similarity zero and are
-passed over; the others get a 64-bit SimHash from prefix sums of shingle bits. Items are
-indexed by eight 8-bit blocks: of up to 23 differing bits some block has at most two, so
-looking up each block's ball of two bits finds every item within the radius. Candidates
-within the radius are then verified by the exact weighted similarity of the shingle
-multisets, sum(min) / sum(max), which must reach 0.8. (At that similarity the expected
-distance is under 10 bits with a deviation of 3, so a radius of 23 is 4.5 deviations off.)
+document. Windows that share no 5-word shingle with an item of that length have similarity
+zero and are passed over; the others get a 64-bit SimHash from prefix sums of shingle bits.
+Items are indexed by eight 8-bit blocks: of up to 23 differing bits some block has at most
+two. For each block and value a posting list, kept as a bitmap (256 bytes an item for all
+lists), holds the items whose block is in the value's ball of two bits; the union of a
+window's eight lists has every item within the radius. Items that share no shingle with the document
+are struck off, and what is left within the radius is verified by the exact weighted
+similarity of the shingle multisets, sum(min) / sum(max), which must reach 0.8. (At that
+similarity the expected distance is under 10 bits with a deviation of 3, so a radius of 23
+is 4.5 deviations off; the README has measured recall.)
 
 Words are runs of ASCII letters and digits and non-ASCII characters, lower-cased. Items
 of fewer than five words are one shingle; a document shorter than an item is one window.
@@ -17,26 +20,31 @@ The benchmark is a stated query set. It is sent to the executors in blocks of at
 
 Nulls and rows: null or empty texts and items without words match nothing; rows with a null
 id still give rows; repeated documents or items each give their rows; ties between windows
-go to the first; empty tables give an empty result; further columns are ignored.
+go to the first; empty tables give an empty result; further columns are ignored by
+`contaminated` and kept by `clean`. Long texts are hashed block by block and windows taken
+in chunks, so memory grows with a text's words (8 bytes each) and not with windows times items.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, WordHasher, mix, slices, written
+from .common import NON_WORD, WordHasher, mix, slices
 
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8
 MAX_CHARS = 8_000_000
+#: Bytes of the bitmaps of windows by items looked at at once.
+_CELLS = 1 << 23
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int, n_windows long"
 _hasher = WordHasher(NON_WORD)
 _FACTORS = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) | 1) for i in range(WORDS)]
@@ -71,27 +79,45 @@ def _bits(sh: np.ndarray) -> np.ndarray:
 
 
 class Group:
-    """The items of one length: shingles, fingerprints and the block index."""
+    """The items of one length: shingles, which items hold each, fingerprints and the block index."""
 
     def __init__(self, length: int, items: list[tuple[int, np.ndarray]]):
         self.length, self.k = length, min(WORDS, length)
         self.ids = [i for i, _ in items]
         self.sh = [np.sort(shingles(h, self.k)) for _, h in items]
-        ones = np.array([_bits(s).sum(axis=0, dtype=np.int64) * 2 > len(s) for s in self.sh])
-        self.fp = np.packbits(ones, axis=1)
+        value = np.concatenate(self.sh)
+        holder = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in self.sh])
+        order = np.argsort(value, kind="stable")
+        self.value, self.holder = value[order], holder[order]
+        self.fp = np.concatenate([np.packbits(_bits(x).sum(axis=0, dtype=np.int64) * 2 > len(x)) for x in self.sh]).reshape(-1, BLOCKS)
         reach = RADIUS // BLOCKS
         values = np.arange(256, dtype=np.uint8)
-        self.near = [np.bitwise_count(values[:, None] ^ self.fp[None, :, b]) <= reach for b in range(BLOCKS)]
-
-    def candidates(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all pairs within the radius, found through the blocks."""
-        hit = self.near[0][fp[:, 0]].copy()
-        for b in range(1, BLOCKS):
-            hit |= self.near[b][fp[:, b]]
-        w, i = np.nonzero(hit)
-        d = np.bitwise_count(fp[w] ^ self.fp[i]).sum(axis=1, dtype=np.int64)
-        ok = d <= RADIUS
-        return w[ok], i[ok], d[ok]
+        self.posting = [np.packbits(np.bitwise_count(values[:, None] ^ self.fp[None, :, b]) <= reach, axis=1) for b in range(BLOCKS)]
+
+    def holding(self, values: np.ndarray) -> np.ndarray:
+        """A bitmap of the items that hold any of the different shingles `values`."""
+        lo, hi = np.searchsorted(self.value, values, "left"), np.searchsorted(self.value, values, "right")
+        count = hi - lo
+        some = np.zeros(len(self.ids), dtype=bool)
+        some[self.holder[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]] = True
+        return np.packbits(some)
+
+    def candidates(self, fp: np.ndarray, among: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, item, distance) of all pairs within the radius, of items in the bitmap `among`, found through the blocks."""
+        step = max(1, _CELLS // len(among))
+        for at in range(0, len(fp), step):
+            part = fp[at : at + step]
+            hit = self.posting[0][part[:, 0]]
+            for b in range(1, BLOCKS):
+                hit |= self.posting[b][part[:, b]]
+            hit &= among
+            w, byte = np.nonzero(hit)
+            for s in range(0, len(w), _CELLS // 16):
+                some, bit = np.nonzero(np.unpackbits(hit[w[s : s + _CELLS // 16], byte[s : s + _CELLS // 16]][:, None], axis=1))
+                wi, i = w[s + some], byte[s + some] * 8 + bit
+                d = np.bitwise_count(part[wi] ^ self.fp[i]).sum(axis=1, dtype=np.int64)
+                ok = d <= RADIUS
+                yield at + wi[ok], i[ok], d[ok]
 
 
 class Index:
@@ -101,12 +127,9 @@ class Index:
             if len(h):
                 by[len(h)].append((i, h))
         self.groups = [Group(n, got) for n, got in sorted(by.items())]
-        pairs = defaultdict(list)
-        for g, group in enumerate(self.groups):
-            for sh in group.sh:
-                pairs[group.k].append((np.unique(sh), g))
         self.known = {}
-        for k, got in pairs.items():
+        for k in {g.k for g in self.groups}:
+            got = [(np.unique(group.value), g) for g, group in enumerate(self.groups) if group.k == k]
             value = np.concatenate([s for s, _ in got])
             owner = np.concatenate([np.full(len(s), g) for s, g in got])
             order = np.lexsort((owner, value))
@@ -120,19 +143,19 @@ class Index:
         for k, (value, owner, mask) in self.known.items():
             sh = shingles(h, k)
             at = np.flatnonzero(mask[(sh >> np.uint64(44)).astype(np.int64)])
-            lo = np.searchsorted(value, sh[at], "left")
-            hi = np.searchsorted(value, sh[at], "right")
-            hit = hi > lo
-            at, lo, hi = at[hit], lo[hit], hi[hit]
             if not len(at):
                 continue
+            found, which = np.unique(sh[at], return_inverse=True)
+            lo, hi = np.searchsorted(value, found, "left"), np.searchsorted(value, found, "right")
             count = hi - lo
-            places = np.repeat(at, count)
-            owners = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+            of = np.repeat(np.arange(len(found)), count)
+            owners = owner[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
             for g in np.unique(owners):
-                yield from self._group(self.groups[g], sh, np.unique(places[owners == g]))
+                mine = np.zeros(len(found), dtype=bool)
+                mine[of[owners == g]] = True
+                yield from self._group(self.groups[g], sh, at[mine[which]], self.groups[g].holding(found[mine]))
 
-    def _group(self, group: Group, sh: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
+    def _group(self, group: Group, sh: np.ndarray, places: np.ndarray, among: np.ndarray) -> Iterator[tuple]:
         size = min(group.length - group.k + 1, len(sh))
         last = len(sh) - size
         opened = np.zeros(len(sh) + 1, dtype=np.int32)
@@ -142,48 +165,61 @@ class Index:
         best: dict[int, list] = {}
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
             for c in range(0, len(part), 8192):
-                self._windows(group, sh, part[c : c + 8192], size, best)
+                self._windows(group, sh, part[c : c + 8192], size, among, best)
         for i, (sim, start, d, n) in sorted(best.items()):
             yield group.ids[i], sim, start, min(group.length, size + group.k - 1), d, n
 
     @staticmethod
-    def _windows(group: Group, sh: np.ndarray, starts: np.ndarray, size: int, best: dict[int, list]) -> None:
+    def _windows(group: Group, sh: np.ndarray, starts: np.ndarray, size: int, among: np.ndarray, best: dict[int, list]) -> None:
         region = sh[starts[0] : starts[-1] + size]
-        total = np.zeros((len(region) + 1, 64), dtype=np.int32)
-        np.cumsum(_bits(region), axis=0, out=total[1:], dtype=np.int32)
         rel = starts - starts[0]
-        fp = np.packbits((total[rel + size] - total[rel]) * 2 > size, axis=1)
-        window, item, distance = group.candidates(fp)
-        for i in np.unique(item):
-            mine = item == i
-            known = np.concatenate([[0], np.cumsum(np.isin(region, group.sh[i]))])
-            w = window[mine]
-            most = known[rel[w] + size] - known[rel[w]]
-            able = most >= SIMILARITY * (size + len(group.sh[i]) - most)
-            for s, d in zip(rel[w[able]].tolist(), distance[mine][able].tolist(), strict=True):
-                sim = similarity(region[s : s + size], group.sh[i])
-                if sim >= SIMILARITY:
-                    b = best.setdefault(i, [0.0, 0, 0, 0])
-                    b[3] += 1
-                    if sim > b[0]:
-                        b[:3] = sim, int(starts[0]) + s, d
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
-    """One row for each document and benchmark item that it holds: best window and how many windows match."""
+        fp = np.concatenate([_fingerprints(region, rel[at : at + 2048], size) for at in range(0, len(rel), 2048)])
+        for window, item, distance in group.candidates(fp, among):
+            order = np.argsort(item, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
+                i = int(item[mine[0]])
+                known = np.concatenate([[0], np.cumsum(np.isin(region, group.sh[i]))])
+                w = window[mine]
+                most = known[rel[w] + size] - known[rel[w]]
+                able = most >= SIMILARITY * (size + len(group.sh[i]) - most)
+                for s, d in zip(rel[w[able]].tolist(), distance[mine][able].tolist(), strict=True):
+                    sim = similarity(region[s : s + size], group.sh[i])
+                    if sim >= SIMILARITY:
+                        b = best.setdefault(i, [0.0, 0, 0, 0])
+                        b[3] += 1
+                        if sim > b[0]:
+                            b[:3] = sim, int(starts[0]) + s, d
+
+
+def _fingerprints(region: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The SimHash of the window of `size` shingles at each of the ascending starts."""
+    part = region[starts[0] : starts[-1] + size]
+    total = np.zeros((len(part) + 1, 64), dtype=np.int32)
+    for at in range(0, len(part), 1 << 14):
+        got = np.cumsum(_bits(part[at : at + (1 << 14)]), axis=0, dtype=np.int32)
+        total[at + 1 : at + 1 + len(got)] = got + total[at]
+    rel = starts - starts[0]
+    return np.packbits((total[rel + size] - total[rel]) * 2 > size, axis=1)
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, max_chars: int) -> list:
+    """The benchmark as broadcasts of blocks of items."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     n_blocks = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // max_chars))
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = None
+    out = []
     for b in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast(sorted(((r.i, r.t) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        found = src.mapInArrow(_scan(sent), SCHEMA)
-        out = found if out is None else out.union(found)
+        out.append(spark.sparkContext.broadcast(sorted(((r.i, r.t) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
     return out
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
+    """One row for each document and benchmark item that it holds: best window and how many windows match."""
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return reduce(DataFrame.union, [src.mapInArrow(_scan(sent), SCHEMA) for sent in _sent(docs, benchmark, item_id, item_text, max_chars)])
+
+
 def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value)
@@ -200,8 +236,22 @@ def _scan(sent):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item, matched by the hash of their text: ids may be null or repeated."""
-    keyed = docs.select(F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
-    found = written(contaminated(keyed, benchmark, "text", "_key").select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
-    return docs.join(found, F.xxhash64(docs[text]) == found["_found"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
+    """docs without those that hold a benchmark item: each row is judged where it stands, whatever its id."""
+    out = docs
+    for sent in _sent(docs, benchmark, item_id, item_text, max_chars):
+        src = out.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
+        out = src.mapInArrow(_keep(sent), src.select("row").schema).select("row.*")
+    return out
+
+
+def _keep(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(sent.value)
+        for b in batches:
+            good = [next(index.matches(h), None) is None for _, texts in slices(b.column(1)) for h in word_hashes(texts)]
+            kept = b.select([0]).filter(pa.array(good, pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    return run

@@ -64,8 +64,45 @@ def test_blocks_find_every_item_within_the_radius():
         fp.append(np.packbits(x))
     fp = np.array(fp)
     d = np.bitwise_count(fp[:, None, :] ^ group.fp[None]).sum(axis=2)
-    w, i, _ = group.candidates(fp)
-    assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= op.RADIUS)), strict=True))
+    for among in (np.ones(40, dtype=bool), np.arange(40) % 3 == 0):
+        got = {(w, i) for ws, its, _ in group.candidates(fp, np.packbits(among)) for w, i in zip(ws.tolist(), its.tolist(), strict=True)}
+        assert got == set(zip(*(x.tolist() for x in np.nonzero((d <= op.RADIUS) & among[None])), strict=True))
+
+
+def test_twenty_thousand_items_of_one_length_and_a_long_text_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(3000)]
+    start = "what is the right answer to".split()  # in common to all
+    items = [(i, " ".join(start + [rng.choice(vocab) for _ in range(24)])) for i in range(20_000)]
+    index = op.Index(items)
+    body = [rng.choice(vocab) for _ in range(20_000)]
+    for k in range(100, 20_000, 400):
+        body[k : k + 6] = start
+    body[5000:5030] = items[77][1].split()
+    tracemalloc.start()
+    got = [m[0] for m in index.matches(op.word_hashes([" ".join(body)])[0])]
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    assert got == [77]
+    assert [m[0] for m in index.matches(op.word_hashes(["x" * 5_000_000 + " " + items[5][1]])[0])] == [5]
+
+
+def test_radius_loses_almost_nothing_at_the_least_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lost = n = 0
+    for _ in range(2000):
+        size = int(rng.integers(20, 400))
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = a.copy()
+        b[: int(size * 0.2 / 1.8)] = rng.integers(0, 1 << 63, int(size * 0.2 / 1.8)).astype(np.uint64)
+        assert op.similarity(a, b) >= op.SIMILARITY
+        fp = [np.packbits(op._bits(x).sum(axis=0, dtype=np.int64) * 2 > size) for x in (a, b)]
+        n, lost = n + 1, lost + (np.bitwise_count(fp[0] ^ fp[1]).sum() > op.RADIUS)
+    assert lost == 0
 
 
 def test_empty_tables(spark):
@@ -73,3 +110,12 @@ def test_empty_tables(spark):
     assert op.contaminated(docs, none).collect() == []
     assert op.contaminated(docs.limit(0), none).collect() == []
     assert op.clean(docs, none).count() == 1
+    assert op.clean(docs.limit(0), none).collect() == []
+
+
+def test_clean_keeps_all_columns_and_takes_blocks_of_items(spark):
+    items = [(i, f"item number {i} of the benchmark in words {i}") for i in range(4)]
+    docs = spark.createDataFrame([(1, items[2][1], [1], "r"), (1, "fine", None, None), (None, None, [2], "s")], "doc_id long, text string, row array<int>, item_id string")
+    kept = op.clean(docs, spark.createDataFrame(items, "item_id long, text string"), max_chars=50)
+    assert kept.schema == docs.schema
+    assert sorted((r.text is None, r.row, r.item_id) for r in kept.collect()) == [(False, None, None), (True, [2], "s")]
