@@ -102,6 +102,15 @@ class Group:
         some[self.holder[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]] = True
         return np.packbits(some)
 
+    def able(self, region: np.ndarray, size: int) -> np.ndarray:
+        """Of which items a region holds so many shingles that a window of `size` could be similar."""
+        values, times = np.unique(region, return_counts=True)
+        lo, hi = np.searchsorted(self.value, values, "left"), np.searchsorted(self.value, values, "right")
+        count = hi - lo
+        at = self.holder[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        shared = np.bincount(at, weights=np.repeat(times, count), minlength=len(self.ids))
+        return shared * (1 + SIMILARITY) >= SIMILARITY * (size + self.length - self.k + 1) - 1e-6
+
     def candidates(self, fp: np.ndarray, among: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window, item, distance) of all pairs within the radius, of items in the bitmap `among`, found through the blocks."""
         step = max(1, _CELLS // len(among))
@@ -174,7 +183,9 @@ class Index:
         region = sh[starts[0] : starts[-1] + size]
         rel = starts - starts[0]
         fp = np.concatenate([_fingerprints(region, rel[at : at + 2048], size) for at in range(0, len(rel), 2048)])
+        able = group.able(region, size)
         for window, item, distance in group.candidates(fp, among):
+            window, item, distance = (x[able[item]] for x in (window, item, distance))
             order = np.argsort(item, kind="stable")
             for mine in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
                 i = int(item[mine[0]])
