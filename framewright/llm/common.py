@@ -144,7 +144,7 @@ class WordHasher:
 
     A prefix sum of byte * P**position (mod 2**64) gives each word's polynomial as a
     difference, made independent of its place by the inverse power. Blocks of about
-    a megabyte bound the memory whatever a text's length (one word is never cut).
+    a megabyte bound the memory whatever the length of a text or a word.
     """
 
     def __init__(self, separators: bytes, apart: bytes = b""):
@@ -168,6 +168,10 @@ class WordHasher:
 
     def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, starts and ends (in bytes) of the words of one block."""
+        sums, start, end = self._sums(data)
+        return mix(sums), start, end
+
+    def _sums(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(data, dtype=np.uint8)
         kind = np.zeros(len(raw) + 2, dtype=np.uint8)
         kind[1:-1] = self.kind[raw]
@@ -176,7 +180,27 @@ class WordHasher:
         self._powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self.value[raw] * self.power[: len(raw)], out=total[1:])
-        return mix((total[end] - total[start]) * self.inverse[start]), start, end
+        return (total[end] - total[start]) * self.inverse[start], start, end
+
+    def long(self, data: bytes) -> Iterator[np.ndarray]:
+        """Word hashes of a long text, a block at a time; a word may reach over any number of blocks."""
+        held, size, of = None, 0, 0
+        for at in range(0, len(data), BLOCK):
+            part = data[at : at + BLOCK]
+            sums, start, end = self._sums(part)
+            if held is not None:
+                if len(start) and not start[0] and self.kind[part[0]] == of:
+                    sums[0] = sums[0] * np.uint64(pow(_P, size, 1 << 64)) + held
+                    end[0] += size
+                else:
+                    yield mix(np.array([held], dtype=np.uint64))
+                held = None
+            if len(end) and self.kind[part[-1]]:
+                held, of = sums[-1], self.kind[part[-1]]
+                size, sums = int(end[-1] - start[-1]), sums[:-1]
+            yield mix(sums)
+        if held is not None:
+            yield mix(np.array([held], dtype=np.uint64))
 
     def cut(self, data: bytes) -> Iterator[bytes]:
         """Blocks of a long text, ending at separators."""
@@ -204,7 +228,7 @@ class WordHasher:
                 start, size = i, 0
             if i < len(texts):
                 if len(texts[i]) > BLOCK:
-                    yield i, np.concatenate([self.block(b)[0] for b in self.cut(texts[i])])
+                    yield i, np.concatenate(list(self.long(texts[i])))
                     start, size = i + 1, 0
                 else:
                     size += len(texts[i])
@@ -223,19 +247,20 @@ def components(edges: DataFrame, name: str, work: list[str] | None = None, max_r
 
     Alternating large-star and small-star rounds; each round's edges are a written
     table. Rounds end when the edges no longer change. A hub's rows meet only in
-    sort-merge joins (which adaptive execution splits) and in min() with map-side
-    combining, so no task or driver gathers a component.
+    sort-merge joins of written tables (which adaptive execution splits) and in min()
+    with map-side combining, so no task or driver gathers a component.
     """
     done: list[str] = []
     at = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name, done)
     before = None
     for _ in range(max_rounds):
         both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        now: list[str] = []
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")), name, done)
         large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, name, done)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), name, done)
         small = large.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now: list[str] = []
         at = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name, now)
         discard(at.sparkSession, done)
         done = now

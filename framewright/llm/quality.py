@@ -65,12 +65,10 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
-    def fit(self, rows: list[tuple[np.ndarray, float]], epochs: int = 4, seed: int = 7) -> np.ndarray:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 4, seed: int = 7) -> np.ndarray:
+        """Weights learnt from rows of (different coordinates, how often each occurs, label)."""
         rng = np.random.default_rng(seed)
-        data = []
-        for at, y in rows:
-            u, count = np.unique(at, return_counts=True)
-            data.append((np.append(u, 1 << BITS), np.append(count * (_SCALE / max(1, len(at))), 1.0), y))
+        data = [(np.append(u, 1 << BITS), np.append(count * (_SCALE / max(1, int(count.sum()))), 1.0), y) for u, count, y in rows]
         for _ in range(epochs):
             for i in rng.permutation(len(data)):
                 self.learn(*data[i])
@@ -78,27 +76,33 @@ class Ftrl:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int, text: str = "text") -> DataFrame:
-    """(doc_id, y, text) of about max_train labelled rows at most, chosen by a hash of the id."""
+    """(doc_id, y, text) of about max_train labelled ids at most, chosen by a hash of the id; of an id's texts the least."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label).cast("double").alias("y"))
     n = known.count()
     share = min(1.0, max_train / max(n, 1))
     known = known.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    found = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> np.ndarray:
-    """Weights learnt from labels (doc_id, label 0/1) of docs (doc_id, text)."""
+    """Weights learnt from labels (doc_id, label 0/1) of docs (doc_id, text).
+
+    The driver gets each sampled text's different coordinates with their counts: 2 MB a text at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, y = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, f in ((s + i, f) for s, texts in slices(b.column(2)) for i, f in enumerate(features(texts))):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]], pa.int64()), pa.array([y[i]]), pa.array([f.tobytes()])], ["doc_id", "y", "at"])
-
-    sample = labelled_sample(docs, labels, label, max_train).select("doc_id", "y", "text")
-    rows = sample.mapInArrow(run, "doc_id long, y double, at binary").collect()
-    rows = sorted({(r.doc_id, r.y, bytes(r.at)) for r in rows})
-    return Ftrl().fit([(np.frombuffer(at, dtype=np.int32), y) for _, y, at in rows])
+                at, count = np.unique(f, return_counts=True)
+                row = [pa.array([ids[i]], pa.int64()), pa.array([y[i]]), pa.array([at.tobytes()]), pa.array([count.astype(np.int32).tobytes()])]
+                yield pa.RecordBatch.from_arrays(row, ["doc_id", "y", "at", "n"])
+
+    sample = labelled_sample(docs, labels, label, max_train).select(F.col("doc_id").cast("long"), "y", "text")
+    rows = sample.mapInArrow(run, "doc_id long, y double, at binary, n binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return Ftrl().fit([(np.frombuffer(r.at, dtype=np.int32), np.frombuffer(r.n, dtype=np.int32), r.y) for r in rows])
 
 
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:

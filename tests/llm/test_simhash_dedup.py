@@ -171,6 +171,48 @@ def test_large_groups_of_edited_copies_keep_no_pair_of_one_bucket_unlinked(spark
     assert {r.doc_id for r in op.deduplicated(docs).collect()} == want
 
 
+def test_pairs_among_relatives_that_are_not_similar_are_all_found(spark):
+    """Families of texts whose pairs alone reach 0.8, as 0.81 to 0.83; the rest of a family stays below."""
+    rng = random.Random(12)
+    texts = []
+    for f in range(4):
+        base = [f"b{f}x{rng.randrange(10**6)}" for _ in range(400)]
+        for _ in range(75):
+            free = list(range(0, 400, 7))
+            rng.shuffle(free)
+            same, own = free[:2], (free[2:6], free[6:10])
+            mark = {i: f"c{rng.randrange(10**9)}" for i in same}
+            for mine in own:
+                copy = list(base)
+                for i in same:
+                    copy[i] = mark[i]
+                for i in mine:
+                    copy[i] = f"e{rng.randrange(10**9)}"
+                texts.append(" ".join(copy))
+    sets = list(op.shingle_sets(texts))
+    fps = [op.fingerprint(t) for t in texts]
+
+    def linked(i, j):
+        if (fps[i] ^ fps[j]).bit_count() <= 3:
+            return True
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both / (len(sets[i]) + len(sets[j]) - both) >= 0.8
+
+    assert all(linked(i, i + 1) for i in range(0, 600, 2))
+    want = {}
+    for f in range(4):
+        want |= plain_classes(list(range(150 * f, 150 * f + 150)), linked)
+    got = {r.doc_id for r in op.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == set(want.values())
+
+
+def test_rows_of_one_id_and_text_leave_one(spark):
+    docs = spark.createDataFrame([(3, "a b c", "x"), (3, "a b c", "y"), (2, "a b c", "z"), (2, "a b c", "z"), (None, "a b c", "n")], "doc_id long, text string, _row string")
+    got = op.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or -1, r._row) for r in got.collect()) == [(-1, "n"), (2, "z")]
+
+
 def test_links_in_a_tile_are_similar_and_connect_like_all_pairs():
     import pyarrow as pa
 
