@@ -132,16 +132,20 @@ def best_chain(segments: list[tuple[int, int, int]], size: int) -> tuple[int, in
     Segments come by text end. A chain's template pieces follow one another; a segment that
     overlaps its predecessor counts from there on; a text gap over MAX_GAP starts anew.
     """
-    best, tree, at = (0, 0, 0), [(0, 0)] * (size + 1), None
+    best, tree, ends, at = (0, 0, 0), [(0, 0)] * (size + 1), [(0, 0)] * (size + 1), None
     for end, t_end, n in segments:
         if at is not None and end - n - at > MAX_GAP:
-            tree = [(0, 0)] * (size + 1)
+            tree, ends = [(0, 0)] * (size + 1), [(0, 0)] * (size + 1)
         before, k = (0, 0), t_end - n
         while k > 0:
             before = max(before, tree[k])
             k -= k & -k
         start = -before[1] if before[0] else end - n
         got = (before[0] + n, -start)
+        for k in range(t_end - n + 1, t_end):  # predecessors that this one overlaps
+            if ends[k][0]:
+                got = max(got, (ends[k][0] + t_end - k, ends[k][1]))
+        start, ends[t_end] = -got[1], max(ends[t_end], got)
         if (got[0], -start, end) > (best[0], -best[1], best[2]):
             best = (got[0], start, end)
         k = t_end

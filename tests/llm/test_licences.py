@@ -58,3 +58,12 @@ def test_templates_are_found_whole_cut_and_edited(spark):
 def test_chain_takes_the_best_order():
     assert op.best_chain([(5, 5, 5), (12, 15, 6), (20, 10, 5), (30, 20, 5)], 20)[0] == 16
     assert op.best_chain([(5, 5, 5), (60, 10, 5)], 10) == (5, 0, 5)
+    assert op.best_chain([(10, 10, 10), (21, 19, 10)], 19) == (19, 0, 21)  # one template word in both
+
+
+def test_a_doubled_word_in_the_middle_loses_no_licence(spark):
+    long = [(x, t.split()) for x, t in op.TEMPLATES if len(t) > 300]
+    rows = [(i, " ".join([*w[: len(w) // 2], w[len(w) // 2], *w[len(w) // 2 :]])) for i, (_, w) in enumerate(long)]
+    got = {r.doc_id: r for r in op.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (x, _) in enumerate(long):
+        assert x in got[i].labels.split(",") and got[i].score > 0.98
