@@ -12,7 +12,8 @@ statistics and the verdicts cover all documents.
 Nulls and rows: a null text has no words; null ids and repeated rows are each returned; an
 id labelled repeatedly counts with its mean label, null labels not at all; without labels
 the list is empty and the base rule alone decides; an empty table gives an empty result;
-further columns are ignored.
+further columns are ignored; texts over a megabyte are counted by 64-bit hashes of their words
+and lines, in bounded memory.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, slices, written
+from .common import BLOCK, SPACES, WordHasher, mix, slices, written
 
 SYMBOLS = b"#*$%&|<>"
 MAX_TRAIN = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct", "n_marks", "longest_word")
+_words = WordHasher(SPACES)
 _UPPER, _DIGITS, _MARKS = bytes(range(65, 91)), bytes(range(48, 58)), b".,;:!?"
 
 
@@ -51,6 +54,8 @@ def repeat_words(words: list[bytes]) -> int:
 def statistics(text: str | None) -> tuple[int, ...]:
     """The COUNTS of one text."""
     data = (text or "").encode()
+    if len(data) > BLOCK:
+        return _long_statistics(data, len(text))
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip()]
     without = lambda chars: len(data) - len(data.translate(None, chars))
@@ -69,6 +74,39 @@ def statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
+def _lines(data: bytes) -> Iterator[int]:
+    """A 64-bit hash of every line with a word."""
+    at = 0
+    while at <= len(data):
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        if line := data[at:end]:
+            if line.strip():
+                yield xxhash.xxh3_64_intdigest(line)
+        at = end + 1
+
+
+def _long_statistics(data: bytes, n_chars: int) -> tuple[int, ...]:
+    """The COUNTS of a long text, from hashes of its words and lines: some 50 bytes for each word."""
+    without = lambda chars: sum(len(b) - len(b.translate(None, chars)) for b in (data[at : at + BLOCK] for at in range(0, len(data), BLOCK)))
+    parts, longest = [np.zeros(0, dtype=np.uint64)], 0
+    for block in _words.cut(data):
+        words = block.split()
+        longest = max(longest, max(map(len, words), default=0))
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
+    h = np.concatenate(parts)
+    parts.clear()
+    n, distinct, covered = len(h), len(np.unique(h)), np.zeros(len(h), dtype=bool)
+    if n > 2:
+        h = mix(mix(mix(h[:-2]) + h[1:-1]) + h[2:])
+        value, times = np.unique(h, return_counts=True)
+        twice = np.isin(h, value[times > 1])
+        for k in range(3):
+            covered[k : n - 2 + k] |= twice
+    lines = np.fromiter(_lines(data), dtype=np.uint64)
+    return (n, n_chars - without(SPACES), without(SYMBOLS), len(lines) - len(np.unique(lines)), int(covered.sum()), len(lines), without(_UPPER), without(_DIGITS), distinct, without(_MARKS), longest)
+
+
 def with_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

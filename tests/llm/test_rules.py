@@ -66,3 +66,28 @@ def test_held_out_accuracy(spark):
     want = {r[0]: bool(r[2]) for r in rows}
     out = [r for r in got if r.doc_id is not None and held(r.doc_id)]
     assert sum(r.kept == want[r.doc_id] for r in out) >= 0.97 * len(out)
+
+
+def test_long_texts_count_alike(monkeypatch):
+    rng = random.Random(1)
+    bits = ["a", "b", "é😀", "#", "|x", "a b c", "\n", "\n", " ", "\t", "Z", "9", ".", "x" * 40]
+    for n in (0, 3, 40, 400):
+        text = "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(n))
+        want = op.statistics(text)
+        assert op._long_statistics(text.encode(), len(text)) == want
+    assert op.statistics("ab " * 1_000_000)[:5] == (1_000_000, 2_000_000, 0, 0, 1_000_000)
+    assert op.statistics("x" * 3_000_000)[-1] == 3_000_000
+
+
+def test_rules_grow_and_prune_like_plain_python():
+    rng = np.random.default_rng(4)
+    n = 600
+    x = {k: rng.random(n) for k in op.measures()}
+    bad = (x["symbols"] > 0.7) | (x["digits"] > 0.95)
+    rules = op.learn(x, bad, rng.integers(0, 3, n))
+    left = np.ones(n, dtype=bool)
+    for r in rules:  # each rule covers rows that no earlier one did, most of them bad
+        now = op.covers(r, x) & left
+        assert now.any() and bad[now].mean() > 0.5
+        left &= ~now
+    assert (bad & left).mean() < 0.02
