@@ -60,9 +60,11 @@ def trigrams(text: str) -> np.ndarray:
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages by name and their log likelihoods (language x trigram)."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, max_train / max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64(F.lit("langid"), doc_id, text), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit("langid"), doc_id, text).alias("h"))
+    # Languages come from all rows and each is sampled at a rate of its own, so a rare one is learnt at any size.
+    sizes = known.groupBy("l").agg(F.count("*").alias("n"))
+    each = max(1, max_train // max(1, sizes.count()))
+    sample = known.join(sizes, "l").where(F.pmod("h", F.lit(1 << 40)) < F.least(F.lit(1.0), each / F.col("n")) * float(1 << 40))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -74,7 +76,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, text: str = "text", lang:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "at", "n"])
 
-    rows = sample.select(F.col(lang).alias("l"), F.col(text).alias("t")).mapInArrow(run, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.select("l", "t").mapInArrow(run, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     count = np.full((len(langs), 1 << BITS), 0.5)
     if langs:

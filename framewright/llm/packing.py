@@ -148,8 +148,10 @@ class Search:
                 best, gain = ([i], None, int(under[order[at]])), self.sizes[i]
                 break
         limit = size + slack[home]
+        # Pieces of one size are alike, and a bin holds few different sizes (their sum is at most its own).
+        mine = [i for k, i in enumerate(mine) if k < 2 or self.sizes[mine[k - 2]] != self.sizes[i]]
         groups = [([i], self.sizes[i]) for i in mine]
-        groups += [([i, j], self.sizes[i] + self.sizes[j]) for k, i in enumerate(mine[:64]) for j in mine[k + 1 : 64]]
+        groups += [([i, j], self.sizes[i] + self.sizes[j]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
         for give, n in groups:
             if n <= gain:
                 continue
