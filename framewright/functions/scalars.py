@@ -63,11 +63,6 @@ def is_protein(resname: Column) -> Column:
     return resname.isin(*PROTEIN)
 
 
-def leaks(text: Column, tokens: Column) -> Column:
-    """Which of an array of tokens stand in the text, case-folded."""
-    return F.filter(tokens, lambda t: F.contains(F.lower(text), F.lower(t)))
-
-
 def minimum_image(step: Column, box: Column) -> Column:
     """A step less the nearest whole number of boxes; halves go to the even number."""
     return step - box * F.rint(step / box)

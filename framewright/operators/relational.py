@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framewright.functions.scalars import is_heavy
 
@@ -35,9 +38,9 @@ def missing_contract(contract: DataFrame, topology: DataFrame) -> DataFrame:
     return contract.join(topology, ["resid", "atom_name"], "left_anti")
 
 
-def composition(atoms: DataFrame) -> DataFrame:
-    """One row: heavy, atoms, residues, chains."""
-    return atoms.agg(F.count_if(is_heavy(F.col("element"))).alias("heavy"), F.count("*").alias("atoms"), F.count_distinct("chain", "resid").alias("residues"), F.count_distinct("chain").alias("chains"))
+def composition(atoms: DataFrame, *keys: str) -> DataFrame:
+    """heavy, atoms, residues, chains: one row, or one of each key."""
+    return atoms.groupBy(*keys).agg(F.count_if(is_heavy(F.col("element"))).alias("heavy"), F.count("*").alias("atoms"), F.count_distinct("chain", "resid").alias("residues"), F.count_distinct("chain").alias("chains"))
 
 
 def heavy_by_residue(atoms: DataFrame) -> DataFrame:
@@ -47,7 +50,23 @@ def heavy_by_residue(atoms: DataFrame) -> DataFrame:
 def incomplete_residues(atoms: DataFrame, expected: DataFrame, want: Column) -> DataFrame:
     """Expected residues (key chain:resid) whose heavy atoms are not exactly `want`, with their count."""
     counts = heavy_by_residue(atoms).select(F.concat_ws(":", "chain", "resid").alias("key"), "heavy")
-    return expected.join(counts, "key", "left").select("key", F.coalesce("heavy", F.lit(0)).alias("heavy")).where(F.col("heavy") != want)
+    return unlike(expected, counts, "key", "heavy", want)
+
+
+def unlike(expected: DataFrame, counts: DataFrame, key: str, count: str, want: Column) -> DataFrame:
+    """Expected keys whose count (0 where there is none) is not `want`."""
+    return expected.join(counts, key, "left").select(key, F.coalesce(count, F.lit(0)).alias(count)).where(F.col(count) != want)
+
+
+def net_charge(particles: DataFrame, charge: Column, limit: float, *keys: str) -> DataFrame:
+    """charge and neutral (below `limit` on either side) of all particles, or of those of each key."""
+    return particles.groupBy(*keys).agg(F.sum(charge).alias("charge")).withColumn("neutral", F.abs("charge") < limit)
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[Column], k: int, skip: int = 0) -> DataFrame:
+    """Rows `skip` to `skip` + k of each key in an order, with their `rank`; ranks are cut off before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return df.withColumn("rank", rank).where(F.col("rank") < skip + k).where(F.col("rank") >= skip)
 
 
 def broken_pairs(atoms: DataFrame, pairs: DataFrame, limit: Column, atom_name: str = "SG") -> DataFrame:
@@ -86,8 +105,13 @@ def parameter(checks: DataFrame, check_id: str, *fields: str, required: bool = F
     return row
 
 
-def all_true(results: DataFrame, column: str) -> Column | bool:
-    return bool(results.agg(F.coalesce(F.bool_and(column), F.lit(True))).first()[0])
+def verdicts(results: DataFrame, column: str, *keys: str) -> DataFrame:
+    """all_passed of each key, or of all rows; of no rows it is true."""
+    return results.groupBy(*keys).agg(F.coalesce(F.bool_and(column), F.lit(True)).alias("all_passed"))
+
+
+def all_true(results: DataFrame, column: str) -> bool:
+    return bool(verdicts(results, column).first()[0])
 
 
 def same_sets(a: DataFrame, b: DataFrame) -> bool:
@@ -102,3 +126,47 @@ def pooled(**replicas: DataFrame) -> DataFrame:
         part = df.withColumn("replica_id", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def containing(docs: DataFrame, tokens: DataFrame, token_id: str, doc_id: str = "doc_id", max_chars: int = 8_000_000) -> DataFrame:
+    """doc_id and token_id of every text that holds a token (token_id, token), case-folded; a null holds and is held by nothing.
+
+    One pass of a string-matching automaton over the texts for each block of at most `max_chars`
+    characters of tokens, so the cost grows with the texts alone. Tokens are a stated query set.
+    """
+    spark = docs.sparkSession
+    low = tokens.select(F.col(token_id).alias("i"), F.lower("token").alias("t")).where("t is not null")
+    blocks = max(1, -(-(low.agg(F.sum(F.length("t") + 1)).first()[0] or 0) // max_chars))
+    src = docs.select(F.col(doc_id).alias("d"), F.lower("text").alias("t")).where("t is not null")
+    kinds = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {token_id} {tokens.schema[token_id].dataType.simpleString()}"
+    id_type = to_arrow_type(tokens.schema[token_id].dataType)
+
+    def block(b: int) -> DataFrame:
+        part = [tuple(r) for r in low.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()]
+        return src.mapInArrow(_matcher(spark.sparkContext.broadcast(part), doc_id, token_id, id_type), kinds)
+
+    return reduce(DataFrame.union, map(block, range(blocks)))
+
+
+def _matcher(sent, doc_id: str, token_id: str, id_type):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        of: dict[str, list] = {}
+        for i, t in sent.value:
+            of.setdefault(t, []).append(i)
+        always, words = of.pop("", []), ahocorasick.Automaton()
+        for t, ids in of.items():
+            words.add_word(t, ids)
+        words.make_automaton()
+        for b in batches:
+            at, found = [], []
+            for k, text in enumerate(b.column(1)):
+                hits = {id(ids): ids for _, ids in words.iter(text.as_py())} if of else {}
+                got = [*always, *(i for ids in hits.values() for i in ids)]
+                at += [k] * len(got)
+                found += got
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, id_type)], [doc_id, token_id])
+
+    return run

@@ -72,7 +72,8 @@ def vectors(t: Tables) -> DataFrame:
 
 @query("SELECT l_returnflag, count(DISTINCT (l_linestatus, l_linenumber)) AS residues, count(DISTINCT l_linestatus) AS chains, count(*) AS atoms FROM lineitem GROUP BY 1")
 def distinct_composite_count(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_linestatus", "l_linenumber").alias("residues"), F.count_distinct("l_linestatus").alias("chains"), F.count("*").alias("atoms"))
+    rows = t.lineitem.select("l_returnflag", F.col("l_linestatus").alias("chain"), F.col("l_linenumber").cast("string").alias("resid"), F.lit("C").alias("element"))
+    return relational.composition(rows, "l_returnflag").select("l_returnflag", "residues", "chains", "atoms")
 
 
 @query("SELECT count_if(event_type <> 'error')::BIGINT AS heavy, count(*) AS atoms, count(DISTINCT (event_type, user_id)) AS residues, count(DISTINCT event_type) AS chains FROM events")
@@ -88,7 +89,7 @@ def heavy_by_residue(t):
 @query("SELECT c_custkey, coalesce(n, 0)::BIGINT AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(n, 0) <> 9")
 def per_key_count_left_join_default(t):
     counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return t.customer.join(counts, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders")).where("n_orders <> 9")
+    return relational.unlike(t.customer.select("c_custkey"), counts, "c_custkey", "n", F.lit(9)).withColumnRenamed("n", "n_orders")
 
 
 @query("SELECT 'click:' || u AS key, coalesce(n, 0)::BIGINT AS heavy FROM (SELECT DISTINCT user_id AS u FROM events) LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) ON user_id = u WHERE coalesce(n, 0) <> 13")
@@ -113,9 +114,10 @@ def contract_resolution(t):
     return relational.resolve_contract(contract, atoms(t))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'purchase' AND value > 100)")
 def missing_keys_anti(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    contract = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("resid"), F.lit("pu").alias("atom_name"))
+    return relational.missing_contract(contract, atoms(t).where("x > 100")).select("k")
 
 
 @query("SELECT o_custkey AS job, o_orderpriority AS node_type, max(o_orderkey::VARCHAR) AS node FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2")
@@ -157,13 +159,13 @@ def parameter_lookup(t):
 
 @query("SELECT user_id, bool_and(value < 480) AS all_passed FROM events GROUP BY 1")
 def all_verdicts(t):
-    return t.events.groupBy("user_id").agg(F.bool_and(F.col("value") < 480).alias("all_passed"))
+    return relational.verdicts(t.events.select("user_id", (F.col("value") < 480).alias("ok")), "ok", "user_id")
 
 
 @query("SELECT l_suppkey, round(sum(l_quantity * (CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END)), 4) AS charge, abs(sum(l_quantity * (CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END))) < 100.5 AS neutral FROM lineitem GROUP BY 1")
 def neutrality_sum(t):
-    q = F.sum(F.col("l_quantity") * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1))
-    return t.lineitem.groupBy("l_suppkey").agg(F.round(q, 4).alias("charge"), (F.abs(q) < 100.5).alias("neutral"))
+    charge = F.col("l_quantity") * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)
+    return relational.net_charge(t.lineitem, charge, 100.5, "l_suppkey").withColumn("charge", F.round("charge", 4))
 
 
 # --- predicates and scalars --------------------------------------------------------------------
@@ -201,11 +203,7 @@ def pdb_parse(t):
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))")
 def leak_scan(t):
-    items = sorted((r.item_id, r.text) for r in t.benchmark.select("item_id", "text").collect())  # a stated query set
-    known = F.array(*[F.struct(F.lit(i).cast("long").alias("item_id"), F.lower(F.lit(x)).alias("low")) for i, x in items])
-    docs = t.documents.select("doc_id", F.lower("text").alias("low"))
-    hits = F.filter(known, lambda k: F.contains(F.col("low"), k["low"]))
-    return docs.select("doc_id", F.explode(hits).alias("h")).select("doc_id", F.col("h.item_id").alias("item_id"))
+    return relational.containing(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("token")), "item_id")
 
 
 @query("SELECT doc_id, sha256(text) AS digest, strlen(text)::BIGINT AS length, strlen(text)::BIGINT // 48 AS frames FROM documents")
@@ -377,8 +375,8 @@ def argmax_cutoff(t):
 
 @query("SELECT user_id, rank, value FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) - 1 AS rank FROM events) WHERE rank < 10")
 def top_modes(t):
-    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return t.events.select("user_id", (F.row_number().over(w) - 1).cast("long").alias("rank"), "value").where("rank < 10")
+    got = relational.first_of(t.events.select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.col("event_id")], 10)
+    return got.select("user_id", F.col("rank").cast("long").alias("rank"), "value")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10 OFFSET 6")
@@ -388,7 +386,8 @@ def offset_modes(t):
 
 @query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey)[1:4] AS first_four FROM orders GROUP BY 1")
 def first_missing(t):
-    return t.orders.groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 4).alias("first_four"))
+    four = relational.first_of(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")], 4)
+    return four.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("first_four"))
 
 
 @query("SELECT 'a' AS replica_id, c_custkey AS id, c_acctbal AS v FROM customer UNION ALL SELECT 'b', s_suppkey, s_acctbal FROM supplier")

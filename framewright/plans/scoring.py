@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 import os
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -71,27 +72,30 @@ class Contract:
         return [(r.k, r.resid, r.atom_name, r.own_ordinal) for r in relational.resolve_contract(self.keys, topology).orderBy("k").collect()]
 
 
-def trajectory(spark: SparkSession, prod: dict, topology: DataFrame, interval_ps: float) -> tuple[DataFrame, list[int], list[int]]:
-    """The production frames with columns tracer_nm and protein_nm, and the ordinals of both."""
+def trajectory(spark: SparkSession, prod: dict, topology: DataFrame, interval_ps: float) -> tuple[Callable[[list[int]], DataFrame], list[int], list[int]]:
+    """A reader of given atoms of the production frames, and the ordinals of the tracers and of the protein."""
     rows = topology.select("ordinal", is_water_oxygen(F.col("resname"), F.col("atom_name")).alias("w"), is_protein(F.col("resname")).alias("p")).where("w or p").orderBy("ordinal").collect()
     tracers = series.sample_tracers([r.ordinal for r in rows if r.w])
-    return frames.read_dcd(spark, _one(spark, f"{prod['node']}/artifacts/*.dcd").removeprefix("file:"), None, interval_ps, "submission"), tracers, [r.ordinal for r in rows if r.p]
+    path = _one(spark, f"{prod['node']}/artifacts/*.dcd").removeprefix("file:")
+    return lambda atoms: frames.read_dcd(spark, path, atoms, interval_ps, "submission"), tracers, [r.ordinal for r in rows if r.p]
 
 
-def gathered(traj: DataFrame, **atoms: list[int]) -> DataFrame:
-    """traj with, for each name, the flat coordinates of its atoms."""
-    spark = traj.sparkSession
+def gathered(read: Callable[[list[int]], DataFrame], **atoms: list[int]) -> DataFrame:
+    """The trajectory with, for each name, the flat coordinates of its atoms; no other atom leaves the source."""
+    every = np.unique(np.concatenate([np.asarray(a, dtype=np.int64) for a in atoms.values()]))
+    traj = read(every.tolist())
     names = list(atoms)
-    sent = spark.sparkContext.broadcast({n: (np.asarray(a, dtype=np.int64)[:, None] * 3 + np.arange(3)).ravel() for n, a in atoms.items()})
+    sent = traj.sparkSession.sparkContext.broadcast({n: (np.searchsorted(every, np.asarray(a, dtype=np.int64))[:, None] * 3 + np.arange(3)).ravel() for n, a in atoms.items()})
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for i in range(b.num_rows):
-                xyz = b.column(4).slice(i, 1).flatten().to_numpy()
-                cols = [pa.array([xyz[sent.value[n]].tolist()], pa.list_(pa.float32())) for n in names]
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(4)), *cols], ["traj_id", "frame", "time_ps", "box", *names])
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                xyz = part.column(4).flatten().to_numpy().reshape(part.num_rows, -1)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), *(lists(xyz[:, sent.value[n]]) for n in names)], ["traj_id", "frame", "time_ps", "box", *names])
 
     kinds = ", ".join(f"{n} array<float>" for n in names)
     return traj.select("traj_id", "frame", "time_ps", F.col("box_nm")[0].alias("box"), "xyz_nm").mapInArrow(run, f"traj_id string, frame int, time_ps double, box double, {kinds}")

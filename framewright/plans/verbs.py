@@ -18,7 +18,7 @@ def _session():
     return spark
 
 
-def list_benchmark_tasks(dataset_dir: str = "benchmarks") -> dict:
+def list_benchmark_tasks(dataset_dir: str) -> dict:
     """List a dataset's tasks with their reference accessions and numbers of checks."""
     from framewright.operators.relational import checks_by_task
     from framewright.sources.jobs import checks_of, read_tasks
@@ -33,7 +33,7 @@ def list_benchmark_tasks(dataset_dir: str = "benchmarks") -> dict:
     return {"success": True, "version": __version__, "total": len(found), "tasks": found}
 
 
-def fetch_benchmark_reference(accession: str, out: str, n_frames: int = 500, frames: str = None, api: str = "") -> dict:
+def fetch_benchmark_reference(accession: str, out: str, api: str, n_frames: int = 500, frames: str | None = None) -> dict:
     """Download one reference bundle from a project API and record its provenance."""
     from framewright.sources.bundles import fetch_bundle
 
@@ -41,23 +41,30 @@ def fetch_benchmark_reference(accession: str, out: str, n_frames: int = 500, fra
     return {"success": True, "out": out} | {k: record[k] for k in ("accession", "license", "n_frames", "frame_bytes", "sha256")}
 
 
-def score_benchmark_submission(job_dir: str, bundle: str, task_file: str, out: str = None, strict: bool = False) -> dict:
-    """Score one submission against its task contract."""
-    from framewright.plans.scoring import score
-    from framewright.sources.bundles import write_report
+def _contract(spark, task_file: str) -> dict:
+    """A task's contract, from anywhere that Spark reads."""
+    return json.loads(spark.read.text(task_file, wholetext=True).first().value)
 
-    _, report = score(_session(), job_dir, bundle, json.loads(Path(task_file).read_text()), strict)
-    if out:
-        write_report(report, out)
-    return {"success": True} | report
+
+def score_benchmark_submission(job_dir: str, bundle: str, task_file: str, out: str | None = None, strict: bool = False) -> dict:
+    """All checks of a job directory, their totals by category and the test's figures; `out` also gets them as a file."""
+    from framewright.plans import scoring
+    from framewright.sources import bundles
+
+    spark = _session()
+    report = scoring.score(spark, job_dir, bundle, _contract(spark, task_file), strict)[1]
+    if out is not None:
+        bundles.write_report(report, out)
+    return {**report, "success": True}
 
 
 def run_benchmark_negative_controls(job_dir: str, bundle: str, task_file: str) -> dict:
-    """Run the baselines that must fail, and the real run that must pass."""
-    from framewright.plans.negative_controls import run
+    """The verdict on each baseline; a success if all are as they must be."""
+    from framewright.plans import negative_controls
 
-    report = run(_session(), job_dir, bundle, json.loads(Path(task_file).read_text()))
-    return {"success": report["all_correct"]} | report
+    spark = _session()
+    report = negative_controls.run(spark, job_dir, bundle, _contract(spark, task_file))
+    return {**report, "success": report["all_correct"]}
 
 
 TOOLS = {f.__name__: f for f in (list_benchmark_tasks, fetch_benchmark_reference, score_benchmark_submission, run_benchmark_negative_controls)}

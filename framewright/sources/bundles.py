@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
+import shutil
+import time
 from pathlib import Path
+from typing import BinaryIO
+from urllib.error import HTTPError, URLError
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +40,27 @@ def frame_count(length: int, frame_bytes: int) -> int:
 
 
 def _load(url: str, seconds: int) -> bytes:
-    with urlopen(url, timeout=seconds) as answer:
-        return answer.read()
+    buffer = io.BytesIO()
+    _copy(url, seconds, buffer)
+    return buffer.getvalue()
+
+
+def _copy(url: str, seconds: int, to: BinaryIO, tries: int = 3) -> None:
+    """Writes an answer's body to a file, a megabyte at a time; a broken connection is tried again."""
+    for left in reversed(range(tries)):
+        try:
+            to.seek(0)
+            to.truncate()
+            with urlopen(url, timeout=seconds) as answer:
+                shutil.copyfileobj(answer, to, 1 << 20)
+            return
+        except HTTPError as error:
+            if error.code < 500 or not left:
+                raise
+        except (URLError, ConnectionError, TimeoutError) as error:
+            if not left or isinstance(getattr(error, "reason", None), FileNotFoundError):
+                raise
+        time.sleep(2 ** (tries - left - 1))
 
 
 def fetch_bundle(spark: SparkSession, api: str, accession: str, out: str, n_frames: int = 500, frames: str | None = None, database: str = "") -> dict:
@@ -52,8 +76,9 @@ def fetch_bundle(spark: SparkSession, api: str, accession: str, out: str, n_fram
     about = project.get("metadata", {})
     selector = frames or stride(int(project.get("totalFrames") or about.get("SNAPSHOTS")), n_frames)
     modes = json.loads(_load(f"{root}/pca.json" if local else f"{root}/analyses/pca", 120))["data"]
-    (target / "reference.pdb").write_bytes(_load(f"{root}/structure", 1800))
-    (target / "reference_frames.f32").write_bytes(_load(f"{root}/trajectory" if local else f"{root}/trajectory?frames={selector}", 1800))
+    for name, part in (("reference.pdb", "structure"), ("reference_frames.f32", "trajectory" if local else f"trajectory?frames={selector}")):
+        with (target / name).open("wb+") as f:
+            _copy(f"{root}/{part}", 1800, f)
     (target / "pca_atom_indices.json").write_text(json.dumps({"atom_indices": modes["atoms"], "published_eigenvalues": modes["eigenvalues"][:20]}, indent=2))
     width = 3 * about["SYSTATS"] * 4
     files = {r.name: r for r in digests(spark, str(target)).where("name <> 'provenance.json'").collect()}

@@ -69,36 +69,54 @@ def write_dcd(path: str, xyz_angstrom: np.ndarray, box_angstrom: np.ndarray | No
 
 
 class DcdLayout:
-    """Where a DCD file's frames lie: fixed-size records after three header blocks."""
+    """Where a DCD file's frames lie: records of fixed size after three header blocks.
+
+    Either byte order and record marks of 32 or 64 bits are read; files with fixed atoms, whose
+    frames differ in size, raise.
+    """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            size = struct.unpack("<i", f.read(4))[0]
-            head = f.read(size)
-            if size != 84 or head[:4] != b"CORD":
-                raise ValueError(f"{path} is no little-endian DCD file")
-            f.read(4)
-            self.has_box = struct.unpack_from("<20i", head, 4)[10] == 1
-            for _ in range(2):
-                size = struct.unpack("<i", f.read(4))[0]
-                body = f.read(size)
-                f.read(4)
-            self.n_atoms = struct.unpack("<i", body[:4])[0]
+            start = f.read(12)
+            kinds = [(order, mark) for order in "<>" for mark in "iq" if start[: struct.calcsize(mark)] == struct.pack(order + mark, 84) and start[struct.calcsize(mark) :][:4] == b"CORD"]
+            if not kinds:
+                raise ValueError(f"{path} is no DCD file")
+            self.order, mark = kinds[0]
+            self.mark = struct.calcsize(mark)
+            f.seek(0)
+            head, _, count = (self._block(f, mark) for _ in range(3))
+            flags = struct.unpack_from(self.order + "20i", head, 4)
+            self.has_box = flags[10] == 1
+            if flags[8]:
+                raise ValueError(f"{path} has {flags[8]} fixed atoms")
+            self.n_atoms = struct.unpack(self.order + "i", count[:4])[0]
             self.first = f.tell()
             f.seek(0, 2)
             end = f.tell()
-        self.frame_bytes = 56 * self.has_box + 3 * (4 * self.n_atoms + 8)
+        self.box_bytes = (48 + 2 * self.mark) * self.has_box
+        self.axis = 4 * self.n_atoms + 2 * self.mark
+        self.frame_bytes = self.box_bytes + 3 * self.axis
         self.n_frames = (end - self.first) // self.frame_bytes
 
-    def frames(self, path: str, start: int, stop: int) -> Iterator[tuple[int, np.ndarray | None, np.ndarray]]:
-        """(frame, box, xyz) in the file's angstrom."""
+    def _block(self, f, mark: str) -> bytes:
+        body = f.read(struct.unpack(self.order + mark, f.read(self.mark))[0])
+        f.read(self.mark)
+        return body
+
+    def frames(self, path: str, start: int, stop: int, atoms: np.ndarray | None = None, at_once: int = 64) -> Iterator[tuple[int, np.ndarray | None, np.ndarray]]:
+        """(first frame, boxes, xyz) of some frames at a time, in the file's angstrom; xyz is (frames, atoms, 3)."""
         with open(path, "rb") as f:
             f.seek(self.first + start * self.frame_bytes)
-            for k in range(start, stop):
-                raw = f.read(self.frame_bytes)
-                box = np.array(struct.unpack_from("<6d", raw, 4))[[0, 2, 5]] if self.has_box else None
-                body = np.frombuffer(raw, dtype="<f4", offset=56 * self.has_box).reshape(3, self.n_atoms + 2)
-                yield k, box, body[:, 1:-1].T
+            for k in range(start, stop, at_once):
+                n = min(at_once, stop - k)
+                raw = np.frombuffer(f.read(n * self.frame_bytes), dtype=np.uint8).reshape(n, self.frame_bytes)
+                box = np.ascontiguousarray(raw[:, self.mark : self.mark + 48]).view(self.order + "f8")[:, [0, 2, 5]] if self.has_box else None
+                xyz = np.empty((n, self.n_atoms if atoms is None else len(atoms), 3), dtype=np.float32)
+                for a in range(3):
+                    at = self.box_bytes + a * self.axis + self.mark
+                    one = np.ascontiguousarray(raw[:, at : at + 4 * self.n_atoms]).view(self.order + "f4")
+                    xyz[:, :, a] = one if atoms is None else one[:, atoms]
+                yield k, box, xyz
 
 
 class FrameRange(InputPartition):
@@ -109,7 +127,7 @@ class FrameRange(InputPartition):
 class DcdReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = sorted(x for x in options["path"].split(",") if x)
-        self.atoms = [int(x) for x in options.get("atoms", "").split(",") if x]
+        self.atoms = [int(x) for x in options.get("atoms", "").split(",") if x]  # none: all
         self.each = int(options.get("framesPerPartition", 256))
         self.step = float(options.get("frameIntervalPs", 1.0))
         self.ids = options.get("trajId", "")
@@ -117,12 +135,17 @@ class DcdReader(DataSourceReader):
     def partitions(self) -> list[FrameRange]:
         return [FrameRange(p, s, min(s + self.each, n)) for p in self.paths for n in [DcdLayout(p).n_frames] for s in range(0, n, self.each)]
 
-    def read(self, partition: FrameRange) -> Iterator[tuple]:
+    def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
         layout = DcdLayout(partition.path)
         name = self.ids or Path(partition.path).stem
-        for k, box, xyz in layout.frames(partition.path, partition.start, partition.stop):
-            xyz = xyz[self.atoms] if self.atoms else xyz
-            yield name, k, k * self.step, None if box is None else (box / 10).tolist(), (xyz.astype(np.float64) / 10).astype(np.float32).ravel().tolist()
+        atoms = np.array(self.atoms, dtype=np.int64) if self.atoms else None
+        for k, box, xyz in layout.frames(partition.path, partition.start, partition.stop, atoms):
+            n = len(xyz)
+            frame = np.arange(k, k + n, dtype=np.int32)
+            flat = (xyz.astype(np.float64) / 10).astype(np.float32).reshape(n, -1)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            boxes = pa.nulls(n, pa.list_(pa.float64())) if box is None else lists(box.astype(np.float64) / 10)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(frame), pa.array(frame * self.step), boxes, lists(flat)], ["traj_id", "frame", "time_ps", "box_nm", "xyz_nm"])
 
 
 class DcdDataSource(DataSource):

@@ -236,3 +236,45 @@ def test_synthetic_baselines():
     spread = ((made["anm_ensemble"] - x).reshape(500, -1) @ first).std()
     assert 1.35 < spread < 1.65
     assert abs((made["isotropic_noise"] - x).std() - 0.5) < 0.01 and (made["duplicated_minimum"] - x).std() < 2e-4
+
+
+def test_containing_and_first_of(spark):
+    from framewright.operators import relational
+
+    docs = spark.createDataFrame([(1, "Ab bc CD"), (2, None), (3, ""), (4, "xbcx abcd"), (4, "xbcx abcd")], "doc_id int, text string")
+    tokens = spark.createDataFrame([("p", "BC"), ("q", "ab"), ("r", "ab"), ("s", None), ("t", "zz"), ("u", "xbcx abcd!")], "name string, token string")
+    want = [(1, "p"), (1, "q"), (1, "r"), *[(4, x) for x in "ppqqrr"]]
+    for n in (8_000_000, 4):
+        assert sorted(map(tuple, relational.containing(docs, tokens, "name", max_chars=n).collect())) == want
+    assert relational.containing(docs, spark.createDataFrame([("e", "")], tokens.schema), "name").count() == 4
+    assert relational.containing(docs, tokens.limit(0), "name").collect() == relational.containing(docs.limit(0), tokens, "name").collect() == []
+    rows = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 5)], "k string, v int")
+    assert sorted((r.k, r.v, r["rank"]) for r in relational.first_of(rows, ["k"], [F.col("v")], 1, 1).collect()) == [("a", 2, 1)]
+
+
+def test_block_bootstrap_keeps_the_mean_and_narrows_with_the_series(spark):
+    from framewright.plans import catalog
+
+    rows = spark.range(4000).select("id", F.sin(F.col("id") * 0.7).alias("v"))
+    mean = rows.agg(F.avg("v")).first()[0]
+    got = catalog.block_bootstrap(rows, "id", "v", 50, 200, 7)
+    means = [r[got.columns[-1]] for r in got.collect()]
+    assert len(means) == 200 and abs(np.mean(means) - mean) < 0.01 and 0 < np.std(means) < 0.05
+    assert sorted(means) == sorted(r[got.columns[-1]] for r in catalog.block_bootstrap(rows, "id", "v", 50, 200, 7).collect())
+
+
+def test_window_subspaces_of_a_steady_motion_agree_with_the_whole(spark):
+    from framewright.operators import linalg
+
+    rng = np.random.default_rng(2)
+    coords = rng.normal(0, 8, (12, 3))
+    basis, _ = np.linalg.qr(rng.normal(0, 1, (36, 10)))
+    xyz = coords.ravel() + (rng.normal(0, 1, (120, 10)) * np.linspace(3, 1, 10)) @ basis.T
+    frames = spark.createDataFrame([("t", k, x.tolist()) for k, x in enumerate(xyz)], "traj_id string, frame int, xyz array<double>")
+    got = linalg.window_subspaces(frames, {"t": coords}, 40).cache()
+    assert {r.traj_id for r in got.select("traj_id").distinct().collect()} == {"t#0", "t#1", "t#2"}
+    alone = linalg.essential_subspaces(frames.where("frame between 40 and 79"), {"t": coords})
+    whole = linalg.essential_subspaces(frames, {"t": coords})
+    mine = linalg.frame_of(got, "t#1")
+    assert abs(linalg.rmsip(mine, linalg.frame_of(alone, "t")) - 1) < 1e-6
+    assert 0.9 < linalg.rmsip(mine, linalg.frame_of(whole, "t")) <= 1 + 1e-9

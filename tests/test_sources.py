@@ -113,3 +113,31 @@ def test_strict_types_of_digests(spark):
 
     df = spark.createDataFrame([("a" * 64, "cc by 4.0"), ("A" * 64, "CC0"), ("a" * 65, "MIT"), (None, None)], "d string, l string")
     assert [tuple(r) for r in df.select(is_digest(F.col("d")), is_licensed(F.col("l"))).collect()] == [(True, True), (False, True), (False, False), (False, False)]
+
+
+def test_dcd_of_either_byte_order_and_mark_size(spark, tmp_path):
+    import struct
+
+    rng = np.random.default_rng(3)
+    xyz, box = rng.normal(0, 9, (5, 7, 3)).astype(np.float32), np.full((5, 3), 30.0)
+
+    def write(path, order, mark, fixed=0):
+        block = lambda b: struct.pack(order + mark, len(b)) + b + struct.pack(order + mark, len(b))
+        head = [5, 0, 1, 5, 0, 0, 0, 0, fixed, 0, 1, *[0] * 8, 24]
+        out = block(b"CORD" + struct.pack(order + "20i", *head)) + block(struct.pack(order + "i", 1) + b" " * 80) + block(struct.pack(order + "i", 7))
+        for k in range(5):
+            out += block(struct.pack(order + "6d", box[k, 0], 90, box[k, 1], 90, 90, box[k, 2]))
+            for a in range(3):
+                out += block(xyz[k, :, a].astype(order + "f4").tobytes())
+        path.write_bytes(out)
+
+    for order in "<>":
+        for mark in "iq":
+            path = tmp_path / f"t{'lb'[order == '>']}{mark}.dcd"
+            write(path, order, mark)
+            got = frames.read_dcd(spark, str(path), [6, 2], 2.0, "t").orderBy("frame").collect()
+            assert [r.time_ps for r in got] == [0.0, 2.0, 4.0, 6.0, 8.0] and got[0].box_nm == [3.0, 3.0, 3.0]
+            assert np.allclose([r.xyz_nm for r in got], xyz[:, [6, 2]].reshape(5, -1) / 10, atol=1e-6)
+    write(tmp_path / "fixed.dcd", "<", "i", 2)
+    with pytest.raises(ValueError, match="fixed"):
+        frames.DcdLayout(str(tmp_path / "fixed.dcd"))

@@ -21,16 +21,34 @@ def test_list_flag(capsys):
     assert {t["name"] for t in json.loads(capsys.readouterr().out)["tools"]} == VERBS
 
 
-def test_flags_follow_signatures():
-    from framewright.__main__ import parser
+def test_flags_are_those_of_the_verbs():
+    import inspect
+
     from framewright import tools
+    from framewright.__main__ import REQUIRED, VERBS, parser
 
-    args = parser(tools()).parse_args(["score_benchmark_submission", "--job-dir", "j", "--bundle", "b", "--task-file", "t", "--strict", "yes"])
+    args = parser().parse_args(["score_benchmark_submission", "--job-dir", "j", "--bundle", "b", "--task-file", "t", "--strict"])
     assert args.strict is True and args.out is None
-    args = parser(tools()).parse_args(["fetch_benchmark_reference", "--accession", "A", "--out", "o", "--n-frames", "7"])
+    args = parser().parse_args(["fetch_benchmark_reference", "--accession", "A", "--out", "o", "--api", "file:///x", "--n-frames", "7"])
     assert args.n_frames == 7
     with pytest.raises(SystemExit):
-        parser(tools()).parse_args(["score_benchmark_submission"])
+        parser().parse_args(["score_benchmark_submission"])
+    for verb in VERBS:
+        own = inspect.signature(tools()[verb.name]).parameters
+        assert {f.name: f.default for f in verb.flags} == {k: REQUIRED if p.default is p.empty else p.default for k, p in own.items()}
+
+
+def test_bad_inputs_are_told_and_fail(capsys, tmp_path):
+    from framewright.__main__ import main
+
+    assert main(["fetch_benchmark_reference", "--accession", "A", "--out", str(tmp_path / "o"), "--api", f"file://{tmp_path}"]) == 1
+    got = json.loads(capsys.readouterr().out)
+    assert got["success"] is False and "URLError" in got["error"]
+
+
+def test_thread_guard_is_set_before_numpy_loads():
+    code = "import os; [os.environ.pop(k, None) for k in ('OMP_NUM_THREADS', 'OPENBLAS_NUM_THREADS', 'MKL_NUM_THREADS')]; import framewright, sys; assert int(os.environ['OPENBLAS_NUM_THREADS']) <= 8 and 'numpy' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True)
 
 
 def test_list_tasks_and_score_through_the_command_line(spark, tmp_path, capsys):
