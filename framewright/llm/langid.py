@@ -39,6 +39,8 @@ from .common import slices, written
 
 BITS = 15
 MAX_TRAIN = 4_000
+#: Up to so many languages, by count, their sizes are broadcast.
+BROADCAST_NAMES = 100_000
 EVIDENCE = 40.0
 WEIGHT = 5.0
 _TAGS = re.compile(r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)")
@@ -63,7 +65,10 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, text: str = "text", lang:
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit("langid"), doc_id, text).alias("h"))
     # Languages come from all rows and each is sampled at a rate of its own, so a rare one is learnt at any size.
     sizes = known.groupBy("l").agg(F.count("*").alias("n"))
-    each = max(1, max_train // max(1, sizes.count()))
+    names = sizes.count()
+    each = max(1, max_train // max(1, names))
+    if names <= BROADCAST_NAMES:  # texts stay where they are; otherwise they are joined by language
+        sizes = F.broadcast(sizes)
     sample = known.join(sizes, "l").where(F.pmod("h", F.lit(1 << 40)) < F.least(F.lit(1.0), each / F.col("n")) * float(1 << 40))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
