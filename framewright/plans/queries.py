@@ -303,10 +303,8 @@ _COV = "SELECT i::INTEGER AS i, j::INTEGER AS j, round(covar_pop(embedding[i]::D
 
 @query(_COV)
 def covariance_matrix(t):
-    frames = vectors(t)
-    total, n = linalg._tree_sum(linalg._partial(frames, lambda x: x.sum(axis=0)))
-    c = linalg.covariance(frames, (total / n).reshape(-1, 3))
-    rows = [(i + 1, j + 1, float(c[i, j])) for i in range(63) for j in range(63)]
+    c = linalg.covariance(vectors(t))
+    rows = [(i + 1, j + 1, float(x)) for (i, j), x in np.ndenumerate(c)]
     return t.spark.createDataFrame(rows, "i int, j int, c double").select("i", "j", (F.round("c", 9) + F.lit(0.0)).alias("c"))
 
 
@@ -575,10 +573,11 @@ def negative_controls(t):
     name = F.concat_ws("/", "structure", "baseline").alias("traj_id")
     names = [f"{k}/{b}" for k in targets for b, _ in controls.BASELINES]
     spaces = linalg.essential_subspaces(cases.select(name, "frame", "xyz"), {n: targets[n.rsplit("/", 1)[0]] for n in names}).cache()
+    part = lambda c, i: F.element_at(F.split(c, "/"), i)
+    spaces = spaces.withColumn("structure", part("traj_id", 1))
     own = spaces.where(F.endswith("traj_id", F.lit("/real_full_run")))
     null = nulls.network_null(t.spark, {k.rsplit("/", 1)[0]: (targets[k.rsplit("/", 1)[0]], modes) for k, modes in _modes(own).items()}, REACH)
-    part = lambda c, i: F.element_at(F.split(c, "/"), i)
-    agreed = linalg.overlaps(spaces, own).where(part("left", 1) == part("right", 1))
+    agreed = linalg.overlaps(spaces, own, on="structure")
     observed = agreed.select(part("left", 1).alias("structure"), part("left", 2).alias("baseline"), F.col("rmsip").alias("observed"))
     tests = nulls.compared(null.select("structure", "rmsip"), observed, ["structure"]).withColumnRenamed("observed", "rmsip")
     timed = real.join(tracers(t), "frame", "left").select(name, "frame", F.col("frame").cast("double").alias("time_ps"), F.lit(100.0).alias("box"), "tracer_nm")

@@ -62,6 +62,43 @@ def test_subspaces_whole_and_distributed_agree(spark):
     assert math.isclose(linalg.overlaps(whole, spread).first().rmsip, 1.0, abs_tol=1e-9)
 
 
+def test_long_trajectories_share_their_passes(spark):
+    """Interleaved trajectories of several sizes, more than a task holds sums of, over more tasks than one round adds up."""
+    rng = np.random.default_rng(11)
+    targets, rows, sizes = {}, [], {}
+    for k in range(linalg.HELD + 4):
+        name, base = f"t{k}", chain(4 + k % 3, rng)
+        targets[name], sizes[name] = base, 8 if k == 0 else 20 + k
+        rows += [(name, i, turned(base + rng.normal(0, 0.3, base.shape), rng).ravel().tolist()) for i in range(sizes[name])]
+    df = spark.createDataFrame(rows, "traj_id string, frame int, xyz array<double>")
+    whole = linalg.essential_subspaces(df, targets).collect()
+    for parts in (3, 70):
+        spread = linalg.essential_subspaces(df.repartition(parts, F.rand(5)), targets, whole=10).collect()
+        key = lambda r: (r.traj_id, r.mode)
+        for a, b in zip(sorted(whole, key=key), sorted(spread, key=key), strict=True):
+            assert key(a) == key(b) and math.isclose(a.eigenvalue, b.eigenvalue, abs_tol=1e-9)
+            if a.vector and a.mode < 3:
+                assert math.isclose(abs(np.dot(a.vector, b.vector)), 1.0, abs_tol=1e-6)
+
+
+def test_covariance_of_frames_and_of_none(spark):
+    rng = np.random.default_rng(12)
+    _, x, df = made_frames(spark, rng)
+    assert np.allclose(linalg.covariance(df.repartition(5)), np.cov(x.reshape(len(x), -1).T, bias=True), atol=1e-10)
+    assert linalg.covariance(df.where("false")).size == 0
+    fitted, mean = linalg.superposed(df.where("false"), x[0])
+    assert fitted.count() == 0 and mean.shape == (0, 3)
+
+
+def test_overlaps_on_a_column_leave_out_other_pairs(spark):
+    rows = [(t, g, m, [float(i == m + shift) for i in range(4)]) for t, g, shift in (("a", "x", 0), ("b", "x", 1), ("c", "y", 0)) for m in range(2)]
+    d = spark.createDataFrame(rows, "traj_id string, g string, mode int, vector array<double>")
+    got = {(r.left, r.right): r.rmsip for r in linalg.overlaps(d, d, 2, on="g").collect()}
+    every = {(r.left, r.right): r.rmsip for r in linalg.overlaps(d, d, 2).collect()}
+    assert set(got) == {(a, b) for a in "ab" for b in "ab"} | {("c", "c")}
+    assert all(math.isclose(every[k], v) for k, v in got.items()) and math.isclose(got["a", "b"], math.sqrt(0.5)) and math.isclose(every["a", "c"], 1.0)
+
+
 def test_rmsip_forms_and_basis_invariance():
     rng = np.random.default_rng(2)
     u, v = (np.linalg.qr(rng.normal(size=(30, 4)))[0] for _ in range(2))
