@@ -41,6 +41,8 @@ MAGIC = b"FW8B"
 END = 2
 BLOCK_IDS = 1 << 15
 SEGMENT_IDS = 1 << 18
+#: A file set has at most so many parts; of larger tables each part takes more documents, a batch at a time.
+MAX_PARTS = 50_000
 #: Fixed selector table of Simple-8b: ids in a word; 60 // ids bits each. Selectors 0 and 1 are runs of zeros.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
@@ -190,13 +192,16 @@ def write(docs: DataFrame, out: str, path: str, end: int = END, text: str = "tex
             yield flush()
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    n = partitions_for(spark, src.count(), 20_000)
+    n = min(MAX_PARTS, partitions_for(spark, src.count(), 20_000))
     dealt = src.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     dealt.mapInArrow(run, "part int, seq long, start long, n_ids long, payload binary").write.option("compression", "zstd").parquet(out)
 
 
 def read(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the files at `path`."""
+    """doc_id, start, n_tokens and ids_crc32 of every document in the files at `path`.
+
+    The parts' places are broadcast: at most MAX_PARTS rows of two numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
