@@ -69,35 +69,36 @@ class Numbered:
     while its rows, long texts included, stay where they are.
 
     `row` is monotonically_increasing_id() at the time of writing; its upper bits, `part`, tell the task that
-    wrote the row. The copy is bucketed by `part`: each task writes one file, and a join on `part` shuffles
-    only the other side, at every size. The results of one part, at most as many as its rows, are gathered
-    into one row for that join, in groups of GROUP row numbers that are looked up by `row`.
+    wrote the row. The copy is bucketed by `part`: each task writes one file, and results, dealt out by `part`
+    into as many buckets, meet it row by row in a hash join of which only the other side is shuffled, at every size.
+    A task's hash table holds one entry for each result of its bucket; time is linear in rows and results. For this
+    join on (part, row) to keep the texts' places, the session's requireAllClusterKeysForCoPartition is set to false:
+    Spark may then use a partitioning by some of a join's keys.
     """
 
-    GROUP = 256
     MAX_BUCKETS = 100_000
 
     def __init__(self, docs: DataFrame, name: str):
         spark = docs.sparkSession
         self.columns, self.row, self.part = docs.columns, free_name(docs, "_row"), free_name(docs, "_part")
         self.buckets = min(self.MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         unique = uuid.uuid4().hex
         copy = docs.withColumn(self.row, F.monotonically_increasing_id()).withColumn(self.part, F.shiftright(self.row, 33))
         at = copy.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/framewright-{name}-{unique}").bucketBy(self.buckets, self.part)
-        at.saveAsTable(f"framewright_{unique}")
-        self.df = spark.table(f"framewright_{unique}")
-        spark.sql(f"DROP TABLE framewright_{unique}")  # the catalogue's entry only: the files are read on
+        try:
+            at.saveAsTable(f"framewright_{unique}")
+            self.df = spark.table(f"framewright_{unique}")
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS framewright_{unique}")  # the catalogue's entry only: the files are read on
 
     def joined(self, found: DataFrame, value: str) -> DataFrame:
         """The copy with column `value` of `found` (`row`, `value`; a row at most once), null where found has no such row."""
         row, part = self.row, self.part
-        group, items, groups = "_group", "_items", free_name(self.df, "_groups")
-        some = found.select(F.col(row).alias("_r"), F.col(value).alias("_v")).withColumn(part, F.shiftright("_r", 33)).withColumn(group, F.floor(F.col("_r") / self.GROUP))
-        some = some.repartition(self.buckets, part).groupBy(part, group).agg(F.collect_list(F.struct("_r", "_v")).alias(items))
-        some = some.groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct(group, items))).alias(groups))
-        at = self.df.join(some.hint("shuffle_hash"), part, "left")
-        mine = F.filter(F.element_at(groups, F.floor(F.col(row) / self.GROUP)), lambda x: x["_r"] == F.col(row))
-        return at.select(*self.columns, row, F.get(mine, F.lit(0))["_v"].alias(value))
+        mine, of = free_name(self.df, "_found_row"), free_name(self.df, "_found_part")
+        some = found.select(F.col(row).alias(mine), F.col(value).alias(value)).withColumn(of, F.shiftright(mine, 33)).repartition(self.buckets, of)
+        at = self.df.join(some.hint("shuffle_hash"), (F.col(part) == F.col(of)) & (F.col(row) == F.col(mine)), "left")
+        return at.select(*self.columns, row, value)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -51,13 +51,38 @@ SPAN = "array<struct<kind:string,s:bigint,e:bigint,m:string>>"
 _NONE = F.array
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: what a lambda's body names from outside is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, step) -> Column:
+    """step(v0, v1), step(that, v2), ... of an array of longs, itself first: running sums or maxima.
+
+    Within blocks of the root of the array's size and then over the blocks, so that extending an array copies
+    a block at most, not all that stands before.
+    """
+    grow = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, step(F.element_at(acc, -1), x)).otherwise(x)))
+    scan = lambda some: F.aggregate(some, F.array().cast("array<bigint>"), grow)
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: scan(F.slice(v, b * width + 1, width)))
+
+    def over(own: Column) -> Column:
+        ends = scan(F.transform(own, lambda b: F.element_at(b, -1)))
+        pairs = F.filter(F.arrays_zip(own.alias("own"), F.concat(F.array(F.lit(None).cast("bigint")), ends).alias("before")), lambda p: p["own"].isNotNull())
+        return F.flatten(F.transform(pairs, lambda p: F.when(p["before"].isNull(), p["own"]).otherwise(F.transform(p["own"], lambda x: step(p["before"], x)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), over)).otherwise(F.array().cast("array<bigint>")))
+
+
 def _located(text: Column, found: Column, pattern: Column, kind: str) -> Column:
     """Spans of the matches `found` of `pattern`."""
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    one = lambda acc, x: F.struct(F.lit(kind).alias("kind"), (acc["pos"] + F.length(x["g"])).alias("s"), (acc["pos"] + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["m"].alias("m"))
-    step = lambda acc, x: F.struct((acc["pos"] + F.length(x["g"]) + F.length(x["m"])).alias("pos"), F.concat(acc["out"], F.array(one(acc, x))).alias("out"))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(F.arrays_zip(gaps.alias("g"), found.alias("m")), start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    ends = running(F.zip_with(gaps, found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint")), lambda a, b: a + b)
+    span = lambda e, m: F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).alias("s"), e.alias("e"), m.alias("m"))
+    return F.when(F.size(found) > 0, F.zip_with(ends, found, span)).otherwise(F.array().cast(SPAN))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -99,23 +124,49 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+#: Characters of a text's pieces from which spans are cut, so that a cut costs a piece at most.
+PIECE = 2048
+
+
 def replaced(text: Column, spans: Column, by) -> Column:
     """text with its spans, overlapping ones together, replaced by by(kind)."""
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
-    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    at = lambda x: F.floor(x / PIECE).cast("int")
+
+    def whole(t: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            some = F.array_join(F.slice(t["pieces"], at(a) + 1, at(b - 1) - at(a) + 1), "")
+            return F.when(b > a, F.substring(some, (a % PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+        before = F.concat(F.array(F.lit(0).cast("bigint")), t["reach"])
+        heads = F.filter(F.arrays_zip(t["order"].alias("x"), before.alias("before")), lambda p: p["x"].isNotNull() & (p["x"]["s"] >= p["before"]))
+        body = F.transform(heads, lambda p: F.concat(cut(p["before"], p["x"]["s"]), by(p["x"]["kind"])))
+        return F.concat(F.array_join(body, ""), cut(F.element_at(t["reach"], -1), t["n"]))
 
-    def step(acc, x):
-        apart = F.struct((-x["e"]).alias("pos"), F.concat(acc["out"], cut(acc["pos"], x["s"]), by(x["kind"])).alias("out"))
-        return F.when(x["s"] >= acc["pos"], apart).otherwise(F.struct(F.greatest(acc["pos"], -x["e"]).alias("pos"), acc["out"].alias("out")))
+    reach = lambda o: running(F.transform(o, lambda x: -x["e"]), lambda a, b: F.greatest(a, b))
+    laid = lambda o: F.struct(pieces.alias("pieces"), o.alias("order"), reach(o).alias("reach"), F.length(text).cast("bigint").alias("n"))
+    return F.when(F.size(spans) > 0, let(let(order, laid), whole)).otherwise(text)
 
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    whole = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], cut(acc["pos"], F.length(text).cast("long"))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+def lowered(text: Column) -> Column:
+    """Lower-case with as many characters as before: of all, only the dotted capital I would become two."""
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "\u03c2", "\u03c3")
 
 
 def terms(text: Column) -> Column:
     """The different terms of a text."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) > 0)
+    return F.filter(F.array_distinct(F.split(lowered(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) > 0)
+
+
+def _is_in(words: Column, of: Column) -> Column:
+    """Those of `words`, spans with text m, of which m is in the array `of`; by hash groups, as many as the root of its size."""
+    def picked(t: Column) -> Column:
+        return F.filter(t["words"], lambda x: F.array_contains(F.get(t["groups"], F.pmod(F.hash(x["m"]), F.size(t["groups"]))), x["m"]))
+
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(of))).cast("int"))
+    groups = F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.filter(of, lambda t: F.pmod(F.hash(t), n) == g))
+    return let(F.struct(words.alias("words"), groups.alias("groups")), picked)
 
 
 def evidence(spans: Column, support: int) -> Column:
@@ -166,18 +217,18 @@ def detected(docs: DataFrame, text: str = "text", generalise: float = GENERALISE
     size = telling.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
     mine = held.select("row", F.array_distinct("base.kind").alias("kinds"), F.explode(terms(masked)).alias("term")).select("row", "term", F.explode("kinds").alias("kind"))
     mine = mine.join(telling.hint("broadcast" if size <= BROADCAST_BYTES else "merge"), ["term", "kind"]).groupBy("row", "term").agg(F.max("share").alias("share"))
-    word = lambda over: F.array_join(F.array_sort(F.collect_set(F.when(over, F.col("term")))), "|")
+    word = lambda over: F.collect_set(F.when(over, F.col("term")))
     mine = mine.groupBy("row").agg(F.struct(word(F.col("share") < remove).alias("soft"), word(F.col("share") >= remove).alias("hard")).alias("words"))
     words = free_name(rows.df, "_words")
     mine = written(mine.select(F.col("row").alias(rows.row), F.col("words").alias(words)), "terms-by-row")
     discard(docs.sparkSession, work)
     out = rows.joined(mine, words)
-    alone = lambda w: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col(words)[w], F.lit(r")(?![\p{L}\p{N}])"))
+    low, token = lowered(plain), F.lit(r"[\p{L}\p{N}]+")
 
     def spans(kind: str, w: str) -> Column:
-        some = F.coalesce(F.length(F.col(words)[w]), F.lit(0)) > 0
-        located = _located(plain, F.regexp_extract_all(plain, alone(w), F.lit(0)), alone(w), kind)
-        return F.when(some, located).otherwise(F.array().cast(SPAN))
+        of = F.col(words)[w]
+        some = F.coalesce(F.size(of), F.lit(0)) > 0
+        return F.when(some, _is_in(_located(low, F.regexp_extract_all(low, token, F.lit(0)), token, kind), of)).otherwise(F.array().cast(SPAN))
 
     added = F.concat(spans("generalised", "soft"), spans("removed", "hard"))
     out = out.withColumn(added_name, F.filter(added, lambda x: ~F.exists(base_name, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
