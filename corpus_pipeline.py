@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, packing, pii, quality, simhash_dedup
-from framewright.llm.common import shared_dir, table
+from framewright.llm.common import free_name, shared_dir, table
 from framewright.llm.registry import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality 1."""
     weights = quality.train(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
-    got = quality.scored(docs, weights, out="_score")
-    return got.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "_score")
+    got = quality.scored(docs, weights, out=score)
+    return got.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
