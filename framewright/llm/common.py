@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separator bytes of `[^\x20\x09-\x0D]+` words.
@@ -21,6 +21,8 @@ SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 NON_WORD = bytes(b for b in range(128) if not chr(b).isalnum())
 PUNCTUATION = bytes(b for b in NON_WORD if b not in SPACES)
 BLOCK = 1 << 20
+#: Rows of a range of `in_order`, and the most ranges.
+RANGE_ROWS, MAX_RANGES = 1 << 20, 50_000
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -114,6 +116,28 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
+def in_order(rows: DataFrame, group: list[str], order: list[Column], out: str, name: str, first: int | None = None) -> DataFrame:
+    """rows with each one's number, from 0, in its group by `order`; with `first`, only each group's first so many rows.
+
+    Ranges of (group, order) are written sorted, so a large group lies in many tasks; a group's number in a range is
+    what stands in the ranges before plus the place in its own. A range and group give one row of counts.
+    """
+    spark = rows.sparkSession
+    part, at = free_name(rows, "_range"), free_name(rows, "_at")
+    n = min(MAX_RANGES, partitions_for(spark, rows.count(), RANGE_ROWS))
+    keys = [*map(F.col, group), *order]
+    laid = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(at))
+    laid = written(laid, name)
+    counts = laid.groupBy(*group, part).agg(F.count("*").alias("_n"), F.min(at).alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy(part)) - F.col("_n")
+    places = counts.withColumn("_before", before).where(F.lit(first is None) | (F.col("_before") < F.lit(first or 0)))
+    places = places.select(F.struct(*group).alias("_of"), F.col(part).alias("_part"), (F.col("_before") - F.col("_first")).alias("_shift"))
+    # at most MAX_RANGES rows more than there are groups
+    got = laid.join(places, F.struct(*group).eqNullSafe(F.col("_of")) & (F.col(part) == F.col("_part"))).withColumn(out, F.col(at) + F.col("_shift"))
+    got = got if first is None else got.where(F.col(out) < first)
+    return got.select(*rows.columns, out)
+
+
 def slices(texts: pa.Array, limit: int = 2 * BLOCK) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of ranges of about `limit` bytes each (one text may be longer)."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

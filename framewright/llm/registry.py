@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, packing, pii, quality, rules, simhash_dedup, simple8b, warc
+from . import collocations, decontaminate, hard_negatives, langid, licences, packing, pii, quality, rules, sharding, simhash_dedup, simple8b, warc
 from .common import table
 
 
@@ -62,6 +62,22 @@ def op10_simple8b_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+#: Shards of the query's cluster, which the grown one has one more than.
+SHARDS = 24
+
+
+def op12_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents"), sharding.topology(SHARDS), sharding.topology(SHARDS + 1))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
@@ -73,5 +89,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simple8b_token_ids": op10_simple8b_token_ids,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_hash_tree_shards": op12_hash_tree_shards,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+ORACLES: dict[str, str] = {
+    "op4_warc_revisits": warc.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
+    "op12_hash_tree_shards": sharding.oracle(sharding.topology(SHARDS), sharding.topology(SHARDS + 1)),
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
-ORACLES: dict[str, str] = {"op4_warc_revisits": warc.ORACLE}
