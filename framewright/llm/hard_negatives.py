@@ -148,7 +148,9 @@ class Search:
         upper, lower = np.floor(middle + reach + slack), np.ceil(middle - reach - slack)
         kth, last_id = self.score[at, -1], self.found[at, -1]
         better = (upper > kth) | ((upper == kth) & (tree.least[node] < last_id))
-        return at[better & (upper >= self.low[at]) & (lower <= self.high[at])]
+        # an open window leaves scores beyond 64 bits to the leaf, which raises
+        over, under = (upper >= self.low[at]) | (self.low[at] == _LEAST), (lower <= self.high[at]) | (self.high[at] == -(_LEAST + 1))
+        return at[better & over & under]
 
     def _leaf(self, tree: Tree, lo: int, hi: int, at: np.ndarray, exact: bool) -> None:
         if exact:
