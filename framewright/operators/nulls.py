@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,41 +36,207 @@ def hessian(coords: np.ndarray, cutoff: float) -> np.ndarray:
     return out.reshape(3 * n, 3 * n)
 
 
+#: Up to so many sites the network's Hessian is diagonalised as a dense matrix.
+DENSE_SITES = 1000
+
+
+def touching(coords: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sites (i < j) with 0 < distance <= cutoff, from cells of the cutoff's width; memory follows the pairs."""
+    cell = np.floor((coords - coords.min(axis=0)) / cutoff).astype(np.int64) + 1
+    wide = cell.max(axis=0) + 2
+    key = (cell[:, 0] * wide[1] + cell[:, 1]) * wide[2] + cell[:, 2]
+    order = np.argsort(key, kind="stable")
+    ranked, left, right = key[order], [], []
+    half = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    for x, y, z in half:
+        near = key + (x * wide[1] + y) * wide[2] + z
+        lo, hi = np.searchsorted(ranked, near, "left"), np.searchsorted(ranked, near, "right")
+        n = hi - lo
+        i = np.repeat(np.arange(len(coords)), n)
+        j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        keep = (i < j) if (x, y, z) == (0, 0, 0) else np.ones(len(i), dtype=bool)
+        square = np.square(coords[i[keep]] - coords[j[keep]]).sum(axis=1)
+        close = (square > 0) & (square <= cutoff * cutoff)
+        left.append(np.minimum(i[keep][close], j[keep][close]))
+        right.append(np.maximum(i[keep][close], j[keep][close]))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def levels(n: int, i: np.ndarray, j: np.ndarray) -> list[list[np.ndarray]]:
+    """For each connected piece its sites by distance (in contacts) from one end; only neighbouring levels touch."""
+    every = np.concatenate([i, j])
+    order = np.argsort(every, kind="stable")
+    ends, first = np.concatenate([j, i])[order], np.searchsorted(every[order], np.arange(n + 1))
+    seen, pieces = np.zeros(n, dtype=bool), []
+
+    def spread(start: int, fresh: np.ndarray) -> list[np.ndarray]:
+        front, out = np.array([start]), []
+        fresh[start] = False
+        while len(front):
+            out.append(front)
+            near = np.unique(np.concatenate([ends[first[s] : first[s + 1]] for s in front.tolist()]))
+            front = near[fresh[near]]
+            fresh[front] = False
+        return out
+
+    for start in range(n):
+        if not seen[start]:
+            far = spread(start, ~seen)[-1][-1]  # an end of the piece gives more and smaller levels
+            pieces.append(spread(int(far), ~seen))
+            seen[np.concatenate(pieces[-1])] = True
+    return pieces
+
+
+class SparseNetwork:
+    """The network's Hessian as pairs and unit vectors, and its shifted inverse by block elimination along levels."""
+
+    def __init__(self, coords: np.ndarray, cutoff: float, shift: float = 1e-6):
+        self.n = len(coords)
+        self.i, self.j = touching(coords, cutoff)
+        gap = coords[self.i] - coords[self.j]
+        self.unit = gap / np.sqrt(np.square(gap).sum(axis=1))[:, None]
+        self.pieces = levels(self.n, self.i, self.j)
+        self.shift = shift
+        self.sites = [level for piece in self.pieces for level in piece]
+        order = np.concatenate(self.sites)
+        self.level, self.place = np.empty(self.n, dtype=np.int64), np.empty(self.n, dtype=np.int64)
+        self.level[order] = np.repeat(np.arange(len(self.sites)), [len(s) for s in self.sites])
+        self.place[order] = np.concatenate([np.arange(len(s)) for s in self.sites])
+        self._eliminate()
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """H x for x (3n, k)."""
+        y = x.reshape(self.n, 3, -1)
+        out = np.zeros_like(y)
+        for k in range(y.shape[2]):
+            f = ((y[self.i, :, k] - y[self.j, :, k]) * self.unit).sum(axis=1)[:, None] * self.unit
+            for a in range(3):
+                out[:, a, k] = np.bincount(self.i, f[:, a], self.n) - np.bincount(self.j, f[:, a], self.n)
+        return out.reshape(x.shape)
+
+    def _eliminate(self) -> None:
+        """Inverse of each level's block once the levels before it are eliminated, and the coupling to the level before."""
+        blocks = np.einsum("pi,pj->pij", self.unit, self.unit)
+        same = self.level[self.i] == self.level[self.j]
+        self.inverse, self.below = [], []
+        diagonal = np.zeros((self.n, 3, 3))
+        for a in range(3):
+            for b in range(3):
+                diagonal[:, a, b] = np.bincount(self.i, blocks[:, a, b], self.n) + np.bincount(self.j, blocks[:, a, b], self.n)
+        of = np.minimum(self.level[self.i], self.level[self.j])
+        order = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[order], np.arange(len(self.sites) + 1))
+        coupling = None
+        for k, sites in enumerate(self.sites):
+            m = len(sites)
+            d = np.zeros((m, 3, m, 3))
+            at = np.arange(m)
+            d[at, :, at, :] = diagonal[sites] + np.eye(3) * self.shift
+            pairs = order[first[k] : first[k + 1]]
+            own = pairs[same[pairs]]
+            d[self.place[self.i[own]], :, self.place[self.j[own]], :] = -blocks[own]
+            d[self.place[self.j[own]], :, self.place[self.i[own]], :] = -blocks[own]
+            d = d.reshape(3 * m, 3 * m)
+            if coupling is not None:
+                d -= coupling @ self.inverse[-1] @ coupling.T
+            self.below.append(coupling)
+            self.inverse.append(np.linalg.inv((d + d.T) / 2))
+            cross = pairs[~same[pairs]]
+            coupling = None
+            if len(cross):  # none after a piece's last level
+                up = np.where(self.level[self.i[cross]] > self.level[self.j[cross]], self.i[cross], self.j[cross])
+                down = self.i[cross] + self.j[cross] - up
+                c = np.zeros((len(self.sites[k + 1]), 3, m, 3))
+                c[self.place[up], :, self.place[down], :] = -blocks[cross]
+                coupling = c.reshape(-1, 3 * m)
+
+    def solve(self, x: np.ndarray) -> np.ndarray:
+        """(H + shift)^-1 x for x (3n, k)."""
+        y = x.reshape(self.n, 3, -1)
+        parts = [y[s].reshape(3 * len(s), -1).copy() for s in self.sites]
+        for k in range(1, len(parts)):
+            if self.below[k] is not None:
+                parts[k] -= self.below[k] @ (self.inverse[k - 1] @ parts[k - 1])
+        for k in reversed(range(len(parts))):
+            right = parts[k]
+            if k + 1 < len(parts) and self.below[k + 1] is not None:
+                right = right - self.below[k + 1].T @ parts[k + 1]
+            parts[k] = self.inverse[k] @ right
+        out = np.empty_like(y)
+        for s, part in zip(self.sites, parts, strict=True):
+            out[s] = part.reshape(len(s), 3, -1)
+        return out.reshape(x.shape)
+
+
+def _rigid(coords: np.ndarray) -> np.ndarray:
+    """Orthonormal translations and rotations (3n, 6)."""
+    x = coords - coords.mean(axis=0)
+    moves = [np.tile(np.eye(3)[a], (len(x), 1)) for a in range(3)] + [np.cross(np.eye(3)[a], x) for a in range(3)]
+    return np.linalg.qr(np.stack([m.ravel() for m in moves], axis=1))[0]
+
+
+def sparse_modes(coords: np.ndarray, cutoff: float, n_modes: int = MODES, tolerance: float = 1e-10, most: int = 60) -> np.ndarray:
+    """The lowest modes beyond the six rigid ones, by block Lanczos on the shifted inverse without its rigid part.
+
+    Memory follows contacts and the squares of level sizes. Rayleigh-Ritz steps end when all residuals are below
+    tolerance times the largest diagonal.
+    """
+    net, rigid = SparseNetwork(coords, cutoff), _rigid(coords)
+    width = n_modes + 8
+    clean = lambda x: x - rigid @ (rigid.T @ x)
+    basis = np.linalg.qr(clean(np.random.default_rng(1).standard_normal((3 * net.n, width))))[0]
+    block, whole, scale = basis, basis, 2.0 * max(1, len(net.i) // max(1, net.n))
+    for _ in range(most):
+        block = clean(net.solve(block))
+        for _ in range(2):  # twice is enough
+            block = clean(block - whole @ (whole.T @ block))
+        block = np.linalg.qr(block)[0]
+        whole = np.concatenate([whole, block], axis=1)
+        image = net.times(whole)
+        values, turn = np.linalg.eigh(whole.T @ image)
+        best = whole @ turn[:, :n_modes]
+        if np.sqrt(np.square(image @ turn[:, :n_modes] - best * values[:n_modes]).sum(axis=0)).max() <= tolerance * scale:
+            return best
+        if whole.shape[1] > 12 * width:  # starts again from what has been found
+            whole = np.linalg.qr(whole @ turn[:, : 2 * width])[0]
+            block = whole
+    raise ArithmeticError(f"the lowest modes at cutoff {cutoff} did not settle in {most} steps")
+
+
 def network_modes(coords: np.ndarray, cutoff: float, n_modes: int = MODES) -> np.ndarray:
     """The lowest modes beyond the six rigid ones."""
+    if len(coords) > DENSE_SITES:
+        return sparse_modes(coords, cutoff, n_modes)
     return np.linalg.eigh(hessian(coords, cutoff))[1][:, 6 : 6 + n_modes]
 
 
 def network_components(coords: np.ndarray, cutoff: float) -> int:
     """Connected pieces of the network: beyond one, more than six modes are rigid."""
-    square = np.square(coords[:, None] - coords[None]).sum(axis=-1)
-    touch, seen, pieces = (square > 0) & (square <= cutoff * cutoff), np.zeros(len(coords), dtype=bool), 0
-    for i in range(len(coords)):
-        if not seen[i]:
-            pieces, front = pieces + 1, np.arange(len(coords)) == i
-            while front.any():
-                seen |= front
-                front = touch[front].any(axis=0) & ~seen
-    return pieces
+    return len(levels(len(coords), *touching(coords, cutoff)))
 
 
-def network_null(spark: SparkSession, structures: dict[str, tuple[np.ndarray, np.ndarray]], cutoffs=CUTOFFS) -> DataFrame:
-    """structure, cutoff, rmsip, pieces: one task for each structure and cutoff.
+def network_null(spark: SparkSession, structures: DataFrame | dict[str, tuple[np.ndarray, np.ndarray]], cutoffs=CUTOFFS) -> DataFrame:
+    """structure, at, cutoff, rmsip, pieces: each structure and cutoff is one row of work, dealt out evenly.
 
-    structures: coordinates (M, 3) and reference modes (3M, D) by name.
+    structures: a table (structure, coords: flat, modes: array of modes), or coordinates (M, 3) and modes (3M, D) by name.
     """
-    sent = spark.sparkContext.broadcast(structures)
-    jobs = [(name, i, float(c)) for name in sorted(structures) for i, c in enumerate(cutoffs)]
+    if isinstance(structures, dict):
+        rows = [(k, np.asarray(x, dtype=np.float64).ravel().tolist(), np.asarray(m).T.tolist()) for k, (x, m) in structures.items()]
+        structures = spark.createDataFrame(rows, "structure string, coords array<double>, modes array<array<double>>")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for name, i, cutoff in part.itertuples(index=False):
-            coords, modes = sent.value[name]
-            rows.append((name, i, cutoff, rmsip(network_modes(coords, cutoff, modes.shape[1]), modes), network_components(coords, cutoff)))
-        return pd.DataFrame(rows, columns=["structure", "at", "cutoff", "rmsip", "pieces"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, flat, modes, i, cutoff in zip(*(b.column(k) for k in range(5)), strict=True):
+                coords = flat.values.to_numpy(zero_copy_only=False).reshape(-1, 3)
+                reference = modes.values.flatten().to_numpy(zero_copy_only=False).reshape(len(modes.values), -1).T
+                value = rmsip(network_modes(coords, cutoff.as_py(), reference.shape[1]), reference)
+                row = [pa.array([name.as_py()]), pa.array([i.as_py()], pa.int32()), pa.array([cutoff.as_py()]), pa.array([value]), pa.array([network_components(coords, cutoff.as_py())], pa.int32())]
+                yield pa.RecordBatch.from_arrays(row, ["structure", "at", "cutoff", "rmsip", "pieces"])
 
-    table = spark.createDataFrame(jobs, "structure string, at int, cutoff double").repartition(min(len(jobs), 4096))
-    return table.mapInPandas(lambda parts: (run(p) for p in parts if len(p)), "structure string, at int, cutoff double, rmsip double, pieces int")
+    jobs = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(float(c)).alias("cutoff")) for i, c in enumerate(cutoffs)])
+    each = structures.select("structure", "coords", "modes", F.explode(jobs).alias("job")).select("structure", "coords", "modes", "job.at", "job.cutoff")
+    tasks = max(len(cutoffs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return each.repartition(tasks).mapInArrow(run, "structure string, at int, cutoff double, rmsip double, pieces int")
 
 
 def null_floor(null: DataFrame) -> DataFrame:
@@ -102,13 +267,24 @@ def random_null(spark: SparkSession, dim: int, n_modes: int, draws: int = DRAWS,
     return spark.range(0, len(starts), 1, min(len(starts), 256)).mapInArrow(run, "draw long, rmsip double, correlations array<double>")
 
 
-def compared(null: DataFrame, observed: DataFrame, keys: list[str], value: str = "rmsip") -> DataFrame:
-    """observed (keys, observed) with the null's mean, population deviation, maximum, z, p bound and verdict (strictly beyond every draw)."""
-    both = null.join(F.broadcast(observed), keys) if keys else null.crossJoin(observed)
-    cols = [c for c in observed.columns if c not in keys]
-    x = F.col(value)
-    got = both.groupBy(*keys, *cols).agg(F.avg(x).alias("null_mean"), F.stddev_pop(x).alias("null_sd"), F.max(x).alias("null_max"), F.count_if(x >= F.col("observed")).alias("exceed"), F.count("*").alias("draws"))
+def compared(null: DataFrame, observed: DataFrame, keys: list[str], value: str = "rmsip", draws_fit: bool = False) -> DataFrame:
+    """observed (keys, observed) with the null's mean, population deviation, maximum, z, p bound and verdict (strictly beyond every draw).
+
+    The null is summed up first, a row for each key, which meets the observed values. draws_fit: a key's draws (a
+    sweep's cutoffs, or at most DRAWS) also go along in that row, to be counted against each observed value; otherwise draws and
+    observed values are joined for the count.
+    """
+    x, cols = F.col(value), [c for c in observed.columns if c not in keys]
+    facts = [F.avg(x).alias("null_mean"), F.stddev_pop(x).alias("null_sd"), F.max(x).alias("null_max"), F.count("*").alias("draws")]
+    if draws_fit or not keys:
+        summed = null.groupBy(*keys).agg(*facts, F.collect_list(x).alias("_draws"))
+        got = observed.join(summed, keys) if keys else observed.crossJoin(summed)  # one row
+        got = got.withColumn("exceed", F.size(F.filter("_draws", lambda d: d >= F.col("observed"))).cast("long"))
+    else:
+        counted = null.select(*keys, x).join(observed, keys).groupBy(*keys, *cols).agg(F.count_if(x >= F.col("observed")).alias("exceed"))
+        got = counted.join(null.groupBy(*keys).agg(*facts), keys)
     z = F.try_divide(F.col("observed") - F.col("null_mean"), F.col("null_sd"))
+    got = got.select(*keys, *cols, "null_mean", "null_sd", "null_max", "exceed", "draws")
     return got.withColumns({"z_score": z, "p_value_upper_bound": (F.col("exceed") + 1) / (F.col("draws") + 1), "h0_rejected": F.col("observed") > F.col("null_max")})
 
 

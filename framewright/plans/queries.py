@@ -467,15 +467,15 @@ def block_bootstrap(t):
 # --- beyond SQL: superposition, spectra, random draws --------------------------------------------
 
 
-def _targets(t: Tables) -> dict[str, np.ndarray]:
-    first = relational.keep_first(vectors(t), ["traj_id"], "frame").collect()
-    return {r.traj_id: np.array(r.xyz).reshape(-1, 3) for r in first}
+def _targets(t: Tables) -> DataFrame:
+    """(traj_id, aim): the first frame of each label."""
+    return relational.keep_first(vectors(t), ["traj_id"], "frame").select("traj_id", F.col("xyz").alias("aim"))
 
 
 @query()
 def kabsch_superpose(t):
-    aim = _targets(t)["label0"]
-    return linalg.superposed(vectors(t), aim)[0]
+    aim = _targets(t).where("traj_id = 'label0'").first()
+    return linalg.superposed(vectors(t), np.array(aim.aim).reshape(-1, 3))[0]
 
 
 @query()
@@ -490,27 +490,26 @@ def window_subspaces(t):
     return linalg.window_subspaces(frames, _targets(t), 25)
 
 
-REACH = [0.35 + 0.01 * i for i in range(27)]
+@query()
+def sliding_subspaces(t):
+    w = Window.partitionBy("traj_id").orderBy("frame")
+    frames = vectors(t).withColumn("frame", (F.row_number().over(w) - 1).cast("int"))
+    return linalg.sliding_subspaces(frames, _targets(t), 20, 5).where("mode < 10")
 
 
-def _modes(spaces: DataFrame) -> dict[str, np.ndarray]:
-    """The leading modes of every trajectory as columns, in one job."""
-    found: dict[str, dict[int, list[float]]] = {}
-    for r in spaces.where(F.col("mode") < linalg.MODES).select("traj_id", "mode", "vector").collect():
-        found.setdefault(r.traj_id, {})[r.mode] = r.vector
-    return {k: np.array([v[i] for i in sorted(v)]).T for k, v in found.items()}
+REACH = [0.35 + 0.01 * i for i in range(27)]
 
 
-def _sweep(t: Tables, targets: dict[str, np.ndarray], spaces: DataFrame) -> DataFrame:
+def _sweep(t: Tables, targets: DataFrame, spaces: DataFrame) -> DataFrame:
     """The structure-only null of every label."""
-    modes = _modes(spaces)
-    return nulls.network_null(t.spark, {k: (x, modes[k]) for k, x in targets.items()}, REACH)
+    known = linalg.mode_table(spaces).join(targets, "traj_id").select(F.col("traj_id").alias("structure"), F.col("aim").alias("coords"), "modes")
+    return nulls.network_null(t.spark, known, REACH)
 
 
 @query()
 def anm_null(t):
     targets = _targets(t)
-    return _sweep(t, targets, linalg.essential_subspaces(vectors(t), targets).cache())
+    return _sweep(t, targets, linalg.essential_subspaces(vectors(t), targets))
 
 
 @query()
@@ -526,7 +525,7 @@ def beyond_structure_test(t):
     null = _sweep(t, targets, spaces)
     agreed = linalg.overlaps(spaces, spaces).where(F.col("left") != F.col("right"))
     observed = agreed.select(F.col("right").alias("structure"), F.col("left").alias("traj_id"), F.col("rmsip").alias("observed"))
-    return nulls.compared(null.select("structure", "rmsip"), observed, ["structure"])
+    return nulls.compared(null.select("structure", "rmsip"), observed, ["structure"], draws_fit=True)
 
 
 @query()
@@ -548,7 +547,7 @@ def tracers(t: Tables) -> DataFrame:
     return places.where(F.size("p") == n).select("frame", F.flatten(F.transform("p", lambda p: F.array(p["x"], p["x"] * 2, p["x"] * 3))).alias("tracer_nm"))
 
 
-def _generated(t: Tables, targets: dict[str, np.ndarray]) -> DataFrame:
+def _generated(targets: DataFrame) -> DataFrame:
     """The synthetic baselines of each label's first structure: structure, baseline, frame, xyz."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,8 +557,7 @@ def _generated(t: Tables, targets: dict[str, np.ndarray]) -> DataFrame:
                     n = len(xyz)
                     yield pa.RecordBatch.from_arrays([pa.array([label] * n), pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(xyz.reshape(n, -1).tolist(), pa.list_(pa.float64()))], ["structure", "baseline", "frame", "xyz"])
 
-    rows = t.spark.createDataFrame([(k, x.ravel().tolist()) for k, x in sorted(targets.items())], "structure string, xyz array<double>")
-    return rows.repartition(min(len(targets), 4096)).mapInArrow(run, "structure string, baseline string, frame int, xyz array<double>")
+    return targets.select("traj_id", "aim").mapInArrow(run, "structure string, baseline string, frame int, xyz array<double>")
 
 
 @query()
@@ -569,17 +567,18 @@ def negative_controls(t):
     w = Window.partitionBy("traj_id").orderBy("frame")
     ranked = vectors(t).withColumn("frame", (F.row_number().over(w) - 1).cast("int")).withColumn("structure", F.col("traj_id"))
     real = controls.truncated(ranked, {"real_full_run": 2**31 - 1, "truncated_100ps": 100, "truncated_10ps": 10}).withColumnRenamed("traj_id", "baseline")
-    cases = real.select("structure", "baseline", "frame", "xyz").unionByName(_generated(t, targets))
+    cases = real.select("structure", "baseline", "frame", "xyz").unionByName(_generated(targets))
     name = F.concat_ws("/", "structure", "baseline").alias("traj_id")
-    names = [f"{k}/{b}" for k in targets for b, _ in controls.BASELINES]
-    spaces = linalg.essential_subspaces(cases.select(name, "frame", "xyz"), {n: targets[n.rsplit("/", 1)[0]] for n in names}).cache()
+    names = F.explode(F.array(*[F.lit(n) for n, _ in controls.BASELINES])).alias("baseline")
+    aims = targets.select(F.col("traj_id").alias("structure"), "aim", names).select(name, "aim")
+    spaces = linalg.essential_subspaces(cases.select(name, "frame", "xyz"), aims).cache()
     part = lambda c, i: F.element_at(F.split(c, "/"), i)
     spaces = spaces.withColumn("structure", part("traj_id", 1))
     own = spaces.where(F.endswith("traj_id", F.lit("/real_full_run")))
-    null = nulls.network_null(t.spark, {k.rsplit("/", 1)[0]: (targets[k.rsplit("/", 1)[0]], modes) for k, modes in _modes(own).items()}, REACH)
+    null = _sweep(t, targets, own.withColumn("traj_id", F.col("structure")))
     agreed = linalg.overlaps(spaces, own, on="structure")
     observed = agreed.select(part("left", 1).alias("structure"), part("left", 2).alias("baseline"), F.col("rmsip").alias("observed"))
-    tests = nulls.compared(null.select("structure", "rmsip"), observed, ["structure"]).withColumnRenamed("observed", "rmsip")
+    tests = nulls.compared(null.select("structure", "rmsip"), observed, ["structure"], draws_fit=True).withColumnRenamed("observed", "rmsip")
     timed = real.join(tracers(t), "frame", "left").select(name, "frame", F.col("frame").cast("double").alias("time_ps"), F.lit(100.0).alias("box"), "tracer_nm")
     clocks = series.clocks(timed).withColumns({"structure": part("traj_id", 1), "baseline": part("traj_id", 2)})
     return controls.judged(tests, clocks, 0.5, keys=("structure",))

@@ -315,3 +315,99 @@ def test_window_subspaces_of_a_steady_motion_agree_with_the_whole(spark):
     mine = linalg.frame_of(got, "t#1")
     assert abs(linalg.rmsip(mine, linalg.frame_of(alone, "t")) - 1) < 1e-6
     assert 0.9 < linalg.rmsip(mine, linalg.frame_of(whole, "t")) <= 1 + 1e-9
+
+
+def test_sliding_windows_equal_each_windows_own_moments(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 5, (6, 3))
+    frames = {f"t{k}": base + rng.normal(0, 0.4, (47, 6, 3)) for k in range(3)}
+    rows = [(t, i, f.ravel().tolist()) for t, x in frames.items() for i, f in enumerate(x)]
+    df = spark.createDataFrame(rows, "traj_id string, frame int, xyz array<double>").repartition(5)
+    got = {}
+    for r in linalg.sliding_subspaces(df, dict.fromkeys(frames, base), 20, 5, 4).collect():
+        got.setdefault(r.traj_id, {})[r["mode"]] = (r.eigenvalue, r.vector)
+    assert set(got) == {f"{t}#{s}" for t in frames for s in range(0, 26, 5)}
+    for name, modes in got.items():
+        t, s = name.split("#")
+        fitted = linalg.fit_iteratively(frames[t], base).reshape(47, -1)[int(s) : int(s) + 20]
+        values, vectors = linalg.modes_of(np.cov(fitted.T, bias=True), 4)
+        assert np.allclose([modes[i][0] for i in range(18)], values, atol=1e-9)
+        assert math.isclose(linalg.rmsip(np.array([modes[i][1] for i in range(4)]).T, vectors), 1.0, abs_tol=1e-9)
+
+
+def test_subspaces_of_20000_structures_pass_through_no_driver(spark):
+    n = 20_000
+    x = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.sin(F.col("t") * 0.37 + i * 1.7) * 5 + F.sin(F.col("f") * (i + 2) * 1.3 + F.col("t")) * 0.2)
+    frames = spark.range(n * 3).select(F.floor(F.col("id") / 3).alias("t"), (F.col("id") % 3).cast("int").alias("f")).select(F.col("t").cast("string").alias("traj_id"), F.col("f").alias("frame"), x.alias("xyz"))
+    aims = frames.where("frame = 0").select("traj_id", F.col("xyz").alias("aim"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spaces = linalg.essential_subspaces(frames, aims, 2)
+        plan = spaces._jdf.queryExecution().toString()
+        assert "FlatMapCoGroupsInPandas" in plan and "Broadcast" not in plan
+        row = spaces.agg(F.count("*").alias("rows"), F.count_distinct("traj_id").alias("trajectories")).first()
+        assert (row.rows, row.trajectories) == (9 * n, n)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_trajectory_without_a_structure_raises(spark):
+    df = spark.createDataFrame([("a", 0, [0.0] * 9), ("b", 0, [1.0] * 9)], "traj_id string, frame int, xyz array<double>")
+    with pytest.raises(Exception, match="no structure"):
+        linalg.essential_subspaces(df, {"a": np.zeros((3, 3))}, 1).collect()
+
+
+def test_overlaps_in_blocks_of_references(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    frames = {f"s{k}": np.linalg.qr(rng.normal(size=(12, 3)))[0] for k in range(7)}
+    df = spark.createDataFrame([(k, i, v[:, i].tolist()) for k, v in frames.items() for i in range(3)], "traj_id string, mode int, vector array<double>")
+    monkeypatch.setattr(linalg, "REFERENCE_BYTES", 700)
+    got = {(r.left, r.right): r.rmsip for r in linalg.overlaps(df, df.where("traj_id < 's5'"), 3).collect()}
+    assert set(got) == {(a, b) for a in frames for b in frames if b < "s5"}
+    assert all(math.isclose(x, linalg.rmsip(frames[a], frames[b]), abs_tol=1e-12) for (a, b), x in got.items())
+
+
+def helix(n, rng):
+    """A compact chain of n sites."""
+    i = np.arange(n)
+    radius = 4.0 * np.cbrt(i + 8.0) / 2
+    return np.stack([radius * np.cos(i * 2.4), radius * np.sin(i * 2.4), radius * np.cos(i * 0.7)], axis=1) * 1.2 + rng.normal(0, 0.6, (n, 3))
+
+
+def test_sparse_network_equals_the_dense_one():
+    rng = np.random.default_rng(11)
+    x = helix(228, rng)
+    for cutoff in (9.0, 13.0, 20.0):
+        assert nulls.network_components(x, cutoff) == 1
+        i, j = nulls.touching(x, cutoff)
+        square = np.square(x[:, None] - x[None]).sum(axis=-1)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(228) for b in range(a + 1, 228) if 0 < square[a, b] <= cutoff**2}
+        dense = nulls.network_modes(x, cutoff)
+        sparse = nulls.sparse_modes(x, cutoff)
+        assert abs(linalg.rmsip(dense, sparse) - 1) < 1e-8
+        assert np.abs(np.abs(dense.T @ sparse) - np.eye(10)).max() < 1e-6
+        net, h, v = nulls.SparseNetwork(x, cutoff), nulls.hessian(x, cutoff), rng.normal(size=(684, 2))
+        assert np.allclose(net.times(v), h @ v) and np.allclose(h @ net.solve(v) + net.shift * net.solve(v), v, atol=1e-8)
+    far = np.concatenate([x[:20], x[:20] + 500])
+    assert nulls.network_components(far, 25.0) == 2
+
+
+def test_network_of_5000_sites_in_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from framewright.operators import nulls
+from tests.test_operators import helix
+x = helix(5000, np.random.default_rng(2))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+modes = nulls.sparse_modes(x, 10.0)
+net = nulls.SparseNetwork(x, 10.0)
+image = net.times(modes)
+values = (modes * image).sum(axis=0)
+assert np.abs(image - modes * values).max() < 1e-7 and (values > 1e-6).all() and (np.diff(values) > -1e-9).all()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=True)
+    assert int(got.stdout) < 1200  # one dense Hessian is 1,717 MB, its spectrum twice that
