@@ -1,7 +1,7 @@
 """Ordered series: unwrapping, walks, mean squared displacement, the diffusive clock, radius of gyration.
 
-Positions are rows (traj_id, tracer, frame, time_ps, box, x, y, z). Windows run over one
-tracer's frames; lag sums are combined before they are shuffled.
+Positions are rows (traj_id, tracer, frame, time_ps, box, x, y, z), or frames with the flat places of all tracers.
+Lag sums run on blocks of tracers and, for long trajectories, time ranges; only (lag, count, sum) rows leave them.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.functions.scalars import lag_grid, minimum_image
+from framewright.functions.scalars import minimum_image
 
 AXES = ("x", "y", "z")
 MOST_TRACERS, MOST_LAGS, SEED = 1000, 40, 20260819
@@ -25,12 +26,6 @@ def sample_tracers(atoms: list[int], most: int = MOST_TRACERS, seed: int = SEED)
     return list(atoms) if len(atoms) <= most else sorted(np.random.default_rng(seed).choice(np.asarray(atoms), most, replace=False).tolist())
 
 
-def sample_tracers_distributed(atoms: DataFrame, most: int = MOST_TRACERS, seed: int = SEED) -> DataFrame:
-    """A choice by hash, for atom tables beyond the driver: (traj_id, atom), `most` of each trajectory."""
-    rank = F.row_number().over(Window.partitionBy("traj_id").orderBy(F.xxhash64("atom", F.lit(seed)), "atom"))
-    return atoms.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
-
-
 def steps(positions: DataFrame, keys: tuple[str, ...] = ("traj_id", "tracer")) -> DataFrame:
     """Minimum-image steps dx, dy, dz from the frame before; a tracer's first frame has none.
 
@@ -47,58 +42,214 @@ def walks(positions: DataFrame, keys: tuple[str, ...] = ("traj_id", "tracer")) -
     return steps(positions, keys).withColumns({f"w{a}": F.sum(f"d{a}").over(w) for a in AXES})
 
 
-def squared_displacement(left: str, right: str) -> Column:
-    return sum(F.pow(F.col(f"{left}.w{a}") - F.col(f"{right}.w{a}"), F.lit(2)) for a in AXES)
+#: Tracers of a block, and frames of a time range: what one task holds is 24 bytes times both.
+BLOCK, RANGE = 64, 16_384
+_DEALT = "traj_id string, b long, frame long, box double, at array<int>, xyz array<double>, width int"
+_SUMS = "traj_id string, lag int, n long, total double"
+
 
+def lags_for(n: int, most: int = MOST_LAGS) -> list[int]:
+    """The lag grid of a trajectory of n frames, ascending; none for fewer than three."""
+    if n < 3:
+        return []
+    top = max(2, (n - 1) // 5)
+    points = min(most, top)
+    return sorted({*(1 + np.arange(points) * ((top - 1) / (points - 1))).astype(int).clip(max=top).tolist(), top})
 
-def msd_by_join(walk: DataFrame, lags: DataFrame, keys: tuple[str, ...] = ("traj_id",)) -> DataFrame:
-    """keys, lag, msd: mean over origins and tracers. lags: keys, lag."""
-    early = walk.join(F.broadcast(lags), list(keys)).withColumn("_at", F.col("frame") + F.col("lag")).alias("a")
-    late = walk.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "tracer")]
-    joined = early.join(late, [*same, F.col("a._at") == F.col("b.frame")])
-    return joined.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.lag").alias("lag")).agg(F.avg(squared_displacement("b", "a")).alias("msd"))
 
+def dealt_frames(frames: DataFrame, tracers: str = "tracer_nm") -> DataFrame:
+    """Frame rows (traj_id, frame, box, tracers: flat xyz) as one row for each block of tracers."""
+    size = F.size(tracers)
+    spans = F.transform(F.sequence(F.lit(0), ((size - 1) / (3 * BLOCK)).cast("int")), lambda b: F.struct(b.cast("long").alias("b"), F.slice(tracers, b * 3 * BLOCK + 1, F.lit(3 * BLOCK)).cast("array<double>").alias("xyz")))
+    rows = frames.where(size > 0).select("traj_id", F.col("frame").cast("long").alias("frame"), F.col("box").cast("double").alias("box"), F.explode(spans).alias("s"))
+    return rows.select("traj_id", "s.b", "frame", "box", F.lit(None).cast("array<int>").alias("at"), "s.xyz", (F.size("s.xyz") / 3).cast("int").alias("width"))
 
-def lags_of(walk: DataFrame, keys: tuple[str, ...] = ("traj_id",), most: int = MOST_LAGS) -> DataFrame:
-    """keys, lag: the lag grid for each trajectory (its walk has one frame less than it)."""
-    n = walk.groupBy(*keys).agg((F.count_distinct("frame") + 1).cast("int").alias("n"))
-    return n.select(*keys, F.explode(lag_grid(F.col("n"), most)).alias("lag"))
 
+def dealt_positions(positions: DataFrame) -> DataFrame:
+    """The same from rows (traj_id, tracer, frame, box, x, y, z); tracers may be missing in frames."""
+    each = positions.select("traj_id", "tracer").distinct()
+    most = each.groupBy("traj_id").count().agg(F.max("count")).first()[0] or 0
+    blocked = each.withColumn("b", F.pmod(F.xxhash64("tracer"), F.lit(max(1, -(-most // BLOCK)))))
+    w = Window.partitionBy("traj_id", "b")
+    placed = blocked.select("traj_id", "tracer", "b", (F.row_number().over(w.orderBy("tracer")) - 1).cast("int").alias("i"), F.count("*").over(w).cast("int").alias("width"))
+    rows = positions.join(placed, ["traj_id", "tracer"]).groupBy("traj_id", "b", "frame").agg(F.first("box").alias("box"), F.array_sort(F.collect_list(F.struct("i", "x", "y", "z"))).alias("p"), F.first("width").alias("width"))
+    flat = F.flatten(F.transform("p", lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"), p["z"].cast("double"))))
+    return rows.select("traj_id", "b", F.col("frame").cast("long").alias("frame"), F.col("box").cast("double").alias("box"), F.col("p.i").alias("at"), flat.alias("xyz"), "width")
 
-def walk_sums(frames: DataFrame, tracers: str = "tracer_nm", most: int = MOST_LAGS) -> DataFrame:
-    """The same sums from frame rows (traj_id, frame, box, tracer_nm), tracers in blocks, one task a block.
 
-    A row for each block and lag: traj_id, lag (0: the whole walk), n, total.
-    """
-    block = 128
+def _places(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes (frames) and positions (frames, tracers, 3) in frame order, NaN where a tracer is missing."""
+    part = part.sort_by("frame").combine_chunks()
+    width, rows = part["width"][0].as_py(), part.num_rows
+    flat = part["xyz"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    if flat.size == 3 * width * rows and part["at"].null_count == rows:
+        return part["box"].to_numpy(), flat.reshape(rows, width, 3)
+    out = np.full((rows, width, 3), np.nan)
+    at, n = part["at"].combine_chunks(), pc.list_value_length(part["xyz"]).to_numpy() // 3
+    columns = at.flatten().to_numpy() if at.null_count == 0 else np.concatenate([np.arange(k) for k in n.tolist()])
+    out[np.repeat(np.arange(rows), n), columns] = flat.reshape(-1, 3)
+    return part["box"].to_numpy(), out
+
+
+def _near(gap: np.ndarray, box: np.ndarray) -> np.ndarray:
+    return gap - box * np.rint(gap / box)
+
+
+def _pair_sum(early: np.ndarray, late: np.ndarray) -> tuple[int, float]:
+    """Pairs of tracers that are there both times, and the sum of their squared displacements."""
+    square = np.square(late - early).sum(axis=2)
+    there = np.isfinite(square)
+    return int(there.sum()), float(square[there].sum())
+
+
+def _ends(walk: np.ndarray, closing: np.ndarray) -> tuple[int, float]:
+    """Tracers whose walk ends here and their squared displacements: where it breaks off, or at the last place if `closing`."""
+    there = np.isfinite(walk[:, :, 0])
+    last = len(walk) - 1 - np.argmax(there[::-1], axis=0)
+    done = there.any(axis=0) & (~there[-1] | closing)
+    square = np.square(walk[last, np.arange(walk.shape[1])]).sum(axis=1)[done]
+    return len(square), float(square.sum())
+
+
+def _sum_rows(traj: str, rows: list[tuple[int, int, float]]) -> pa.Table:
+    lag, n, total = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"traj_id": pa.array([traj] * len(rows), pa.string()), "lag": pa.array(lag, pa.int32()), "n": pa.array(n, pa.int64()), "total": pa.array(total, pa.float64())})
+
+
+def _whole(dealt: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Lag sums with all frames of a block of tracers in one task."""
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.sort_by("frame")
-        xyz = np.stack([np.asarray(x) for x in part["xyz"].to_pylist()]).reshape(part.num_rows, -1, 3)
-        box = part["box"].to_numpy()[1:, None, None]
-        step = np.diff(xyz, axis=0)
-        walk = np.cumsum(step - box * np.rint(step / box), axis=0)
-        n = part.num_rows
-        top = max(2, (n - 1) // 5)
-        points = min(most, top)
-        lags = np.unique((1 + np.arange(points) * ((top - 1) / (points - 1))).astype(int).clip(max=top)) if n > 2 else []
-        lags = sorted({*map(int, lags), *([top] if n > 2 else [])})
-        rows = [(0, xyz.shape[1], float(np.square(walk[-1]).sum()))] if len(walk) else []
-        for k in lags:
-            gap = walk[k:] - walk[:-k]
-            if gap.size:
-                rows.append((k, gap.shape[0] * gap.shape[1], float(np.square(gap).sum())))
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"traj_id": [key[0].as_py()] * len(rows), "lag": pa.array(cols[0], pa.int32()), "n": pa.array(cols[1], pa.int64()), "total": pa.array(cols[2], pa.float64())})
+        traj, n = key[0].as_py(), part["n_frames"][0].as_py()
+        box, xyz = _places(part)
+        walk = np.cumsum(_near(np.diff(xyz, axis=0), box[1:, None, None]), axis=0)
+        rows = [(0, *_ends(walk, np.ones(walk.shape[1], dtype=bool)))] if len(walk) else []
+        return _sum_rows(traj, rows + [(k, *_pair_sum(walk[:-k], walk[k:])) for k in lags_for(n, most) if k < len(walk)])
+
+    return dealt.join(sizes, "traj_id").groupBy("traj_id", "b").applyInArrow(run, _SUMS)
+
+
+def _edges(key: tuple, part: pa.Table) -> pa.Table:
+    """A range's first and last places, the box of its first frame and its net displacement."""
+    box, xyz = _places(part)
+    net = _near(np.diff(xyz, axis=0), box[1:, None, None]).sum(axis=0)
+    cells = {"traj_id": key[0].as_py(), "b": key[1].as_py(), "part": key[2].as_py(), "n": len(xyz), "n_frames": part["n_frames"][0].as_py(), "box": float(box[0]), "first": xyz[0].tobytes(), "last": xyz[-1].tobytes(), "net": net.tobytes()}
+    return pa.Table.from_pylist([cells])
+
+
+def _carried(most: int):
+    """For each range: the walk at its first frame, its frames' numbers, whose walks end with it, and the earlier ranges that need it."""
+    schema = pa.schema([("traj_id", pa.string()), ("b", pa.int64()), ("part", pa.int64()), ("g", pa.int64()), ("n_frames", pa.int64()), ("start", pa.binary()), ("closing", pa.binary()), ("needs", pa.list_(pa.int64()))])
+
+    def run(part: pa.Table) -> pa.Table:
+        rows = part.sort_by("part").to_pylist()
+        read = lambda r, c: np.frombuffer(r[c]).reshape(-1, 3)
+        lags, out = lags_for(rows[0]["n_frames"], most) if rows else [], []
+        g = np.concatenate([[0], np.cumsum([r["n"] for r in rows])])
+        at = None
+        for i, r in enumerate(rows):
+            start = np.where(np.isfinite(read(r, "first")), 0.0, np.nan) if at is None else at + _near(read(r, "first") - read(rows[i - 1], "last"), r["box"])
+            at = start + read(r, "net")
+            closing = ~np.isfinite(read(rows[i + 1], "first")[:, 0]) if i + 1 < len(rows) else np.ones(len(at), dtype=bool)
+            needs = {i}
+            for k in lags:  # frame 0 has made no step: pairs are of frames from 1 on
+                lo, hi = max(1, g[i] - k), g[i + 1] - k
+                if lo < hi:
+                    needs.update(range(int(np.searchsorted(g, lo, "right")) - 1, int(np.searchsorted(g, hi - 1, "right"))))
+            out.append({"traj_id": r["traj_id"], "b": r["b"], "part": r["part"], "g": int(g[i]), "n_frames": r["n_frames"], "start": start.tobytes(), "closing": closing.tobytes(), "needs": [rows[e]["part"] for e in sorted(needs)]})
+        return pa.Table.from_pylist(out, schema)
+
+    return run
+
+
+def _walked(part: pa.Table, carry: pa.Table) -> pa.Table:
+    """A range's walk for itself and for each earlier range that needs it."""
+    schema = pa.schema([("traj_id", pa.string()), ("b", pa.int64()), ("early", pa.int64()), ("own", pa.int64()), ("g", pa.int64()), ("n_frames", pa.int64()), ("width", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("walk", pa.binary())])
+    if not part.num_rows or not carry.num_rows:
+        return schema.empty_table()
+    c = carry.to_pylist()[0]
+    box, xyz = _places(part)
+    steps = _near(np.diff(xyz, axis=0), box[1:, None, None])
+    walk = np.concatenate([np.frombuffer(c["start"]).reshape(1, -1, 3), steps]).cumsum(axis=0)
+    g = c["g"]
+    if not g:
+        walk, g = walk[1:], 1
+    n, total = _ends(walk, np.frombuffer(c["closing"], dtype=bool)) if len(walk) else (0, 0.0)
+    body, m = np.ascontiguousarray(walk).tobytes(), len(c["needs"])
+    own = [e == c["part"] for e in c["needs"]]
+    cells = [[c["traj_id"]] * m, [c["b"]] * m, c["needs"], [c["part"]] * m, [g] * m, [c["n_frames"]] * m, [xyz.shape[1]] * m, [n * o for o in own], [total * o for o in own], [body] * m]
+    return pa.table([pa.array(x, f.type) for x, f in zip(cells, schema, strict=True)], schema=schema)
+
+
+def _met(most: int):
+    """Lag sums of ranges against the ranges that hold their frames a lag later; rows come by (traj_id, b, early), the range itself first."""
 
-    size = F.size(tracers)
-    spans = F.transform(F.sequence(F.lit(0), ((size - 1) / (3 * block)).cast("int")), lambda b: F.struct(b.alias("b"), F.slice(tracers, b * 3 * block + 1, F.lit(3 * block)).alias("xyz")))
-    dealt = frames.where(size > 0).select("traj_id", "frame", "box", F.explode(spans).alias("s")).select("traj_id", "frame", "box", F.col("s.b").alias("b"), F.col("s.xyz").cast("array<double>").alias("xyz"))
-    return dealt.groupBy("traj_id", "b").applyInArrow(lambda key, part: run(key, part.drop_columns(["traj_id", "b"])), "traj_id string, lag int, n long, total double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        early, base, lags = np.zeros((0, 0, 3)), 0, []
+        for batch in batches:
+            for traj, e, own, g, n_frames, width, n, total, body in zip(*(batch.column(k) for k in (0, 2, 3, 4, 5, 6, 7, 8, 9)), strict=True):
+                late, at = np.frombuffer(body.as_buffer()).reshape(-1, width.as_py(), 3), g.as_py()
+                rows = []
+                if own.as_py() == e.as_py():
+                    early, base, lags = late.copy(), at, lags_for(n_frames.as_py(), most)
+                    rows.append((0, n.as_py(), total.as_py()))
+                for k in lags:
+                    lo, hi = max(base, at - k), min(base + len(early), at + len(late) - k)
+                    if lo < hi:
+                        rows.append((k, *_pair_sum(early[lo - base : hi - base], late[lo + k - at : hi + k - at])))
+                if rows:
+                    yield _sum_rows(traj.as_py(), rows).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _ranged(dealt: DataFrame, sizes: DataFrame, most: int, length: int) -> DataFrame:
+    """Lag sums over time ranges of `length` frame numbers: a scan over the ranges' edges carries the walk on, then ranges meet those a lag later."""
+    rows = dealt.join(sizes, "traj_id").withColumn("part", F.floor(F.col("frame") / length))
+    edges = rows.groupBy("traj_id", "b", "part").applyInArrow(_edges, "traj_id string, b long, part long, n long, n_frames long, box double, first binary, last binary, net binary")
+    carry = edges.groupBy("traj_id", "b").applyInArrow(_carried(most), "traj_id string, b long, part long, g long, n_frames long, start binary, closing binary, needs array<long>")
+    keys = ("traj_id", "b", "part")
+    fresh = carry.select(*[F.col(c).alias(f"_{c}") for c in keys], *[c for c in carry.columns if c not in keys])
+
+    def walked(part: pa.Table, carry: pa.Table) -> pa.Table:
+        return _walked(part, carry.rename_columns([c.removeprefix("_") for c in carry.column_names]))
+
+    walks_ = rows.groupBy(*keys).cogroup(fresh.groupBy(*[f"_{c}" for c in keys])).applyInArrow(walked, "traj_id string, b long, early long, own long, g long, n_frames long, width int, n long, total double, walk binary")
+    laid = walks_.repartition("traj_id", "b", "early").sortWithinPartitions("traj_id", "b", "early", F.col("own") != F.col("early"), "own")
+    return laid.mapInArrow(_met(most), _SUMS)
+
+
+def lag_sums(dealt: DataFrame, most: int = MOST_LAGS, length: int = RANGE, longest: int | None = None) -> DataFrame:
+    """traj_id, lag (0: the whole walk), n, total of dealt frames: parts of the sums of squared displacements.
+
+    A tracer counts from frame 0 until it is first missing. Trajectories of up to `length` frames go through one task for
+    each block of tracers; longer ones through time ranges, so a task's memory is set by the range. longest: frames of
+    the longest trajectory, if known.
+    """
+    sizes = dealt.groupBy("traj_id").agg(F.count_distinct("frame").alias("n_frames"))
+    if longest is not None and longest <= length or longest is None and not sizes.where(F.col("n_frames") > length).take(1):
+        return _whole(dealt, sizes, most)
+    long = sizes.where(F.col("n_frames") > length)
+    return _whole(dealt, sizes.where(F.col("n_frames") <= length), most).union(_ranged(dealt, long, most, length))
+
+
+def walk_sums(frames: DataFrame, tracers: str = "tracer_nm", most: int = MOST_LAGS, longest: int | None = None) -> DataFrame:
+    """lag_sums of frame rows (traj_id, frame, box, tracers: flat xyz)."""
+    return lag_sums(dealt_frames(frames, tracers), most, longest=longest)
+
+
+def msd_of(sums: DataFrame) -> DataFrame:
+    """traj_id, lag, msd: mean over origins and tracers; lag 0 is the whole walk's."""
+    return sums.groupBy("traj_id", "lag").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("msd"))
+
+
+def fitted_clock(msd: DataFrame, dt: DataFrame) -> DataFrame:
+    """traj_id, slope, total, elapsed_ps: the time that diffusion at the fitted rate takes for the whole walk. dt: traj_id, dt."""
+    fits = dt.join(msd, "traj_id").groupBy("traj_id").agg(F.regr_slope(F.when(F.col("lag") > 0, F.col("msd")), F.col("lag") * F.col("dt")).alias("slope"), F.max(F.when(F.col("lag") == 0, F.col("msd"))).alias("total"))
+    return fits.withColumn("elapsed_ps", F.when(F.col("slope") > 0, F.col("total") / F.col("slope")).otherwise(0.0))
 
 
-def clocks(frames: DataFrame, tracers: str = "tracer_nm", most: int = MOST_LAGS) -> DataFrame:
+def clocks(frames: DataFrame, tracers: str = "tracer_nm", most: int = MOST_LAGS, longest: int | None = None) -> DataFrame:
     """Elapsed time by diffusion for each trajectory (traj_id, frame, time_ps, box, tracer_nm: flat xyz).
 
     measurable, reason, elapsed_ps, total_msd_nm2, diffusion_1e5_cm2_s, frame_interval_ps, n_tracers.
@@ -109,8 +260,7 @@ def clocks(frames: DataFrame, tracers: str = "tracer_nm", most: int = MOST_LAGS)
         F.array_sort(F.array_agg(F.when(F.col("frame") < 2, F.struct("frame", "time_ps")))).alias("t"),
     )
     dt = F.col("t")[1]["time_ps"] - F.col("t")[0]["time_ps"]
-    sums = walk_sums(frames, tracers, most).groupBy("traj_id", "lag").agg((F.sum("total") / F.sum("n")).alias("msd"))
-    fits = facts.select("traj_id", dt.alias("dt")).join(sums, "traj_id").groupBy("traj_id").agg(F.regr_slope(F.when(F.col("lag") > 0, F.col("msd")), F.col("lag") * F.col("dt")).alias("slope"), F.max(F.when(F.col("lag") == 0, F.col("msd"))).alias("total"))
+    fits = fitted_clock(msd_of(walk_sums(frames, tracers, most, longest)), facts.select("traj_id", dt.alias("dt")))
     reason = F.when(F.col("n_tracers") < FEWEST_TRACERS, F.format_string("only %d solvent atoms", "n_tracers")).when(F.col("n_frames") < FEWEST_FRAMES, F.format_string("only %d frames", "n_frames"))
     out = facts.join(fits, "traj_id", "left").withColumn("reason", reason)
     ok = F.col("reason").isNull()
@@ -118,7 +268,7 @@ def clocks(frames: DataFrame, tracers: str = "tracer_nm", most: int = MOST_LAGS)
         "traj_id",
         ok.alias("measurable"),
         "reason",
-        F.when(ok, F.when(F.col("slope") > 0, F.col("total") / F.col("slope")).otherwise(0.0)).alias("elapsed_ps"),
+        F.when(ok, F.col("elapsed_ps")).alias("elapsed_ps"),
         F.when(ok, F.col("total")).alias("total_msd_nm2"),
         F.when(ok, F.col("slope") / 6 * 1e3).alias("diffusion_1e5_cm2_s"),
         F.when(ok, dt).alias("frame_interval_ps"),

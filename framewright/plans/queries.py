@@ -250,18 +250,16 @@ _MSD = "msd AS (SELECT lag, avg(power(b.w1 - a.w1, 2) + power(b.w2 - a.w2, 2) +
 
 @query(f"WITH {_STEP}, {_LAGS}, {_MSD} SELECT lag::INTEGER AS lag, round(msd, 3) AS msd FROM msd")
 def msd_by_lag(t):
-    walk = series.walks(positions(t))
-    return series.msd_by_join(walk, series.lags_of(walk)).select("lag", F.round("msd", 3).alias("msd"))
+    msd = series.msd_of(series.lag_sums(series.dealt_positions(positions(t))))
+    return msd.where("lag > 0").select("lag", F.round("msd", 3).alias("msd"))
 
 
 @query(f"WITH {_STEP}, {_LAGS}, {_MSD}, total AS (SELECT avg(s) AS total FROM (SELECT arg_max(power(w1, 2) + power(w2, 2) + power(w3, 2), frame) AS s FROM walk GROUP BY tracer)) SELECT round(regr_slope(msd, lag * 1.0), 3) AS slope, round(any_value(total), 3) AS total_msd, round(CASE WHEN regr_slope(msd, lag * 1.0) > 0 THEN any_value(total) / regr_slope(msd, lag * 1.0) ELSE 0 END, 4) AS elapsed FROM msd, total")
 def clock_elapsed(t):
-    walk = series.walks(positions(t))
-    msd = series.msd_by_join(walk, series.lags_of(walk))
-    last = walk.groupBy("tracer").agg(F.max_by(F.pow("wx", F.lit(2)) + F.pow("wy", F.lit(2)) + F.pow("wz", F.lit(2)), "frame").alias("s")).agg(F.avg("s").alias("total"))
-    fit = msd.agg(F.regr_slope("msd", F.col("lag") * 1.0).alias("slope")).crossJoin(last)  # one row each
-    elapsed = F.when(F.col("slope") > 0, F.col("total") / F.col("slope")).otherwise(0.0)
-    return fit.select(F.round("slope", 3).alias("slope"), F.round("total", 3).alias("total_msd"), F.round(elapsed, 4).alias("elapsed"))
+    """In time ranges of 16 frames, which the walks of some 60 frames fill four times."""
+    msd = series.msd_of(series.lag_sums(series.dealt_positions(positions(t)), length=16))
+    fit = series.fitted_clock(msd, msd.select("traj_id").distinct().withColumn("dt", F.lit(1.0)))
+    return fit.select(F.round("slope", 3).alias("slope"), F.round("total", 3).alias("total_msd"), F.round("elapsed_ps", 4).alias("elapsed"))
 
 
 @query("SELECT vec_id::INTEGER AS frame, round(sqrt(var_pop(embedding[3*i+1]::DOUBLE) + var_pop(embedding[3*i+2]::DOUBLE) + var_pop(embedding[3*i+3]::DOUBLE)), 8) AS rg FROM embeddings, range(0, 21) r(i) GROUP BY vec_id")

@@ -148,7 +148,7 @@ def score(spark: SparkSession, job_dir: str, bundle: str, task: dict, strict: bo
         traj, tracers, protein = picked.result()
         data = gathered(traj, tracer_nm=tracers, contract_nm=own, protein_nm=protein).cache()
         n_frames = data.count()
-        timed = later(lambda: series.clocks(data).first())
+        timed = later(lambda: series.clocks(data, longest=n_frames).first())
         radius = later(lambda: series.radii_of_gyration(data).agg(F.avg("rg")).first()[0])
         finite = True
         if strict and specs.get("production_ran_for_one_nanosecond", {}).get("require_finite_coordinates"):

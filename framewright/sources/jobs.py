@@ -25,7 +25,6 @@ TASK = (
     "bundle:struct<fetch:string,sha256:map<string,string>,policy:string>>, "
     f"scoring struct<deterministic_checks:array<{CHECK}>>"
 )
-MANIFEST = "dataset_id string, description string, tasks array<struct<task_id:string,accession:string,pdb:string,companion:string>>"
 
 
 def read_documents(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:

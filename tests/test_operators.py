@@ -196,10 +196,40 @@ def test_clock_recovers_elapsed_time(spark):
     assert math.isclose(r.total_msd_nm2, total, rel_tol=1e-6) and math.isclose(r.elapsed_ps, total / slope, rel_tol=1e-6)
     assert 500 < r.elapsed_ps < 1200 and r.frame_interval_ps == 2.0 and r.n_tracers == 300
     long = frame_rows(spark, x, 3.0, 2.0).select("traj_id", "frame", "box", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.struct(*[F.col("tracer_nm")[i * 3 + k].cast("double").alias(a) for k, a in enumerate("xyz")]))).alias("tracer", "p")).select("traj_id", "frame", "box", "tracer", "p.*")
-    walk = series.walks(long)
-    msd = {m.lag: m.msd for m in series.msd_by_join(walk, series.lags_of(walk)).collect()}
-    sums = {m.lag: m.msd for m in series.walk_sums(frame_rows(spark, x, 3.0, 2.0)).groupBy("lag").agg((F.sum("total") / F.sum("n")).alias("msd")).collect()}
-    assert set(msd) == set(sums) - {0} and all(math.isclose(msd[k], sums[k], rel_tol=1e-6) for k in msd)
+    msd = joined_msd(long)
+    for length, feed in ((series.RANGE, series.dealt_positions(long)), (64, series.dealt_frames(frame_rows(spark, x, 3.0, 2.0)))):
+        sums = {m.lag: m.msd for m in series.msd_of(series.lag_sums(feed, length=length)).collect()}
+        assert set(msd) == set(sums) - {0} and all(math.isclose(msd[k], sums[k], rel_tol=1e-6) for k in msd)
+        assert math.isclose(sums[0], total, rel_tol=1e-6)
+
+
+def joined_msd(positions):
+    """lag: msd by joining the windowed walk with itself."""
+    walk = series.walks(positions).cache()
+    n = walk.select("frame").distinct().count() + 1
+    out = {}
+    for k in series.lags_for(n):
+        late = walk.select("tracer", (F.col("frame") - k).alias("frame"), *[F.col(f"w{a}").alias(f"l{a}") for a in "xyz"])
+        out[k] = walk.join(late, ["tracer", "frame"]).agg(F.avg(sum((F.col(f"w{a}") - F.col(f"l{a}")) ** 2 for a in "xyz"))).first()[0]
+    return out
+
+
+@pytest.mark.parametrize("length", [7, 16, 50, 1000])
+def test_ranges_of_any_length_give_the_same_sums(spark, length):
+    rng = np.random.default_rng(13)
+    rows = []
+    for traj, n, tracers in (("a", 90, 70), ("b", 41, 3), ("c", 2, 2), ("d", 1, 2)):
+        for k in range(tracers):
+            stops = n - int(rng.integers(0, n // 2 + 1)) * (k % 3 == 0)  # some leave early
+            x = np.cumsum(rng.normal(0, 2.5, (n, 3)), axis=0) % 10
+            rows += [(traj, f"w{k}", f, 10.0, *map(float, x[f])) for f in range(stops)]
+    df = spark.createDataFrame(rows, "traj_id string, tracer string, frame int, box double, x double, y double, z double").repartition(5)
+    want = {(r.traj_id, r.lag): (r.n, r.total) for r in series.lag_sums(series.dealt_positions(df)).groupBy("traj_id", "lag").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    got = {(r.traj_id, r.lag): (r.n, r.total) for r in series.lag_sums(series.dealt_positions(df), length=length).groupBy("traj_id", "lag").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    assert set(want) == set(got) and {k[0] for k in want} >= {"a", "b"}
+    assert all(want[k][0] == got[k][0] and math.isclose(want[k][1], got[k][1], rel_tol=1e-9) for k in want)
+    alone = joined_msd(df.where("traj_id = 'a'"))
+    assert all(math.isclose(got["a", k][1] / got["a", k][0], v, rel_tol=1e-9) for k, v in alone.items())
 
 
 @pytest.mark.parametrize(("frames", "tracers", "reason"), [(10, 99, "only 99 solvent atoms"), (4, 100, "only 4 frames"), (4, 99, "only 99 solvent atoms"), (5, 100, None), (3, 0, "only 0 solvent atoms")])
