@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import shutil
 import time
+from collections.abc import Iterator
 from pathlib import Path
 from typing import BinaryIO
 from urllib.error import HTTPError, URLError
 from urllib.request import urlopen
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.scalars import stride
 
+from .files import CHUNK, all_seekable, listed, seekable, spread
+
 #: Project fields kept in the provenance record.
 CONDITIONS = ("FF", "WAT", "TEMP", "ENSEMBLE", "BOXTYPE", "TIMESTEP", "LENGTH", "PROGRAM", "METHOD")
 SYSTEM = ("PROTRES", "PROTATS", "SYSTATS", "SOL", "NA", "CL")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """name, length and sha256 of files (2 GiB at most each)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    """name, length and sha256 of files, each streamed through its digest a megabyte at a time.
+
+    Files in a store that only Spark can open are read whole (2 GiB at most each).
+    """
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    found = listed(spark, path)
+    if not all_seekable(found):
+        return spark.read.format("binaryFile").load(path).select(name, "length", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, base, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([base]), pa.array([size], pa.int64()), pa.array([streamed_sha256(file)])], ["name", "length", "sha256"])
+
+    return spread(found.select("path", name, "length"), found.count()).mapInArrow(run, "name string, length long, sha256 string")
+
+
+def streamed_sha256(path: str) -> str:
+    """The digest of one file, read in chunks."""
+    digest = hashlib.sha256()
+    with seekable(path) as f:
+        while part := f.read(CHUNK):
+            digest.update(part)
+    return digest.hexdigest()
 
 
 def verified(found: DataFrame, expected: dict[str, str]) -> DataFrame:

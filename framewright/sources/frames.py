@@ -10,34 +10,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from .files import CHUNK, all_seekable, listed, read_exactly, seekable, spread
 
 F32_SCHEMA = "file string, frame int, xyz array<float>"
 DCD_SCHEMA = "traj_id string, frame int, time_ps double, box_nm array<double>, xyz_nm array<float>"
 
 
-def read_f32(spark: SparkSession, path: str, n_atoms: int, atoms: list[int] | None = None) -> DataFrame:
+#: Bytes of frames that one task reads.
+TASK_BYTES = 64 << 20
+
+
+def read_f32(spark: SparkSession, path: str, n_atoms: int, atoms: list[int] | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """file, frame, xyz of little-endian float32 files with n_atoms * 3 numbers a frame.
 
     A size that is no multiple of a frame raises. `atoms` gathers those atoms, in that order, at the
-    source. Files are read whole (2 GiB at most each); larger ones are stored as several.
+    source. Files of any size are read by ranges of frames, a task each; files in a store that only Spark
+    can open are read whole (2 GiB at most each).
     """
     width = 3 * n_atoms
     columns = None if atoms is None else (np.asarray(atoms)[:, None] * 3 + np.arange(3)).ravel()
+    at_once = max(1, min(256, CHUNK * 8 // (4 * width)))
+
+    def checked(file: str, size: int) -> None:
+        if size % (4 * width):
+            raise ValueError(f"{file}: {size} bytes are no whole number of frames of {n_atoms} atoms")
+
+    def rows(file: str, first: int, every: np.ndarray) -> pa.RecordBatch:
+        part = every if columns is None else every[:, columns]
+        xyz = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1], pa.array(part.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(first, first + len(part), dtype=np.int32)), xyz], ["file", "frame", "xyz"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, size, start, stop in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                checked(file, size)
+                with seekable(file) as f:
+                    f.seek(start * 4 * width)
+                    for at in range(start, stop, at_once):
+                        n = min(at_once, stop - at)
+                        yield rows(file, at, np.frombuffer(read_exactly(f, n * 4 * width), dtype="<f4").reshape(n, width))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = content.as_buffer()
-                if raw.size % (4 * width):
-                    raise ValueError(f"{file}: {raw.size} bytes are no whole number of frames of {n_atoms} atoms")
+                checked(file, raw.size)
                 every = np.frombuffer(raw, dtype="<f4").reshape(-1, width)
-                for at in range(0, len(every), 256):
-                    part = every[at : at + 256] if columns is None else every[at : at + 256][:, columns]
-                    xyz = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1], pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), xyz], ["file", "frame", "xyz"])
+                for at in range(0, len(every), at_once):
+                    yield rows(file, at, every[at : at + at_once])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, F32_SCHEMA)
+    files = listed(spark, path)
+    if not all_seekable(files):
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(whole, F32_SCHEMA)
+    each = max(1, task_bytes // (4 * width))
+    n = F.ceil(F.col("length") / (4 * width))  # a broken frame at the end makes its task raise
+    parts = F.ceil(n / each)
+    tasks = files.agg(F.sum(parts)).first()[0] or 1
+    spans = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("k"))
+    spans = spans.select("path", "length", (F.col("k") * each).alias("start"), F.least((F.col("k") + 1) * each, n).alias("stop"))
+    return spread(spans, tasks).mapInArrow(ranges, F32_SCHEMA)
 
 
 def write_f32(path: str, frames: np.ndarray) -> None:
@@ -76,8 +109,8 @@ class DcdLayout:
     """
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            start = f.read(12)
+        with seekable(path) as f:
+            start = read_exactly(f, 12)
             kinds = [(order, mark) for order in "<>" for mark in "iq" if start[: struct.calcsize(mark)] == struct.pack(order + mark, 84) and start[struct.calcsize(mark) :][:4] == b"CORD"]
             if not kinds:
                 raise ValueError(f"{path} is no DCD file")
@@ -99,29 +132,55 @@ class DcdLayout:
         self.n_frames = (end - self.first) // self.frame_bytes
 
     def _block(self, f, mark: str) -> bytes:
-        body = f.read(struct.unpack(self.order + mark, f.read(self.mark))[0])
-        f.read(self.mark)
+        body = read_exactly(f, struct.unpack(self.order + mark, read_exactly(f, self.mark))[0])
+        read_exactly(f, self.mark)
         return body
 
-    def frames(self, path: str, start: int, stop: int, atoms: np.ndarray | None = None, at_once: int = 64) -> Iterator[tuple[int, np.ndarray | None, np.ndarray]]:
-        """(first frame, boxes, xyz) of some frames at a time, in the file's angstrom; xyz is (frames, atoms, 3)."""
-        with open(path, "rb") as f:
-            f.seek(self.first + start * self.frame_bytes)
-            for k in range(start, stop, at_once):
-                n = min(at_once, stop - k)
-                raw = np.frombuffer(f.read(n * self.frame_bytes), dtype=np.uint8).reshape(n, self.frame_bytes)
-                box = np.ascontiguousarray(raw[:, self.mark : self.mark + 48]).view(self.order + "f8")[:, [0, 2, 5]] if self.has_box else None
-                xyz = np.empty((n, self.n_atoms if atoms is None else len(atoms), 3), dtype=np.float32)
+    def frames(self, path: str, wanted: range, atoms: np.ndarray | None = None, at_once: int = 64) -> Iterator[tuple[range, np.ndarray | None, np.ndarray]]:
+        """(frames, boxes, xyz) of some frames at a time, in the file's angstrom; xyz is (frames, atoms, 3).
+
+        Only wanted frames are read and, of each axis, only the stretch from the first to the last wanted atom,
+        where that leaves out more than half.
+        """
+        lo, hi = (0, self.n_atoms) if atoms is None or not len(atoms) else (int(atoms.min()), int(atoms.max()) + 1)
+        narrow = 2 * (hi - lo) < self.n_atoms
+        lo, hi = (lo, hi) if narrow else (0, self.n_atoms)
+        with seekable(path) as f:
+            for k in range(0, len(wanted), at_once):
+                some = wanted[k : k + at_once]
+                box, xyz = np.empty((len(some), 3)), np.empty((len(some), 3, hi - lo), dtype=np.float32)
+                for i, raw in enumerate(self._raw(f, some, narrow, lo, hi)):
+                    if self.has_box:
+                        box[i] = np.frombuffer(raw[0], dtype=self.order + "f8")[[0, 2, 5]]
+                    for a in range(3):
+                        xyz[i, a] = np.frombuffer(raw[1 + a], dtype=self.order + "f4")
+                picked = xyz if atoms is None else xyz[:, :, np.asarray(atoms, dtype=np.int64) - lo]
+                yield some, box if self.has_box else None, np.ascontiguousarray(picked.transpose(0, 2, 1))
+
+    def _raw(self, f, some: range, narrow: bool, lo: int, hi: int) -> Iterator[tuple[bytes, ...]]:
+        """Of each frame the bytes of the cell's edges and of the three axes' atoms lo to hi."""
+        at = lambda a: self.box_bytes + a * self.axis + self.mark
+        if narrow:
+            for k in some:
+                base, parts = self.first + k * self.frame_bytes, [b""]
+                if self.has_box:
+                    f.seek(base + self.mark)
+                    parts = [read_exactly(f, 48)]
                 for a in range(3):
-                    at = self.box_bytes + a * self.axis + self.mark
-                    one = np.ascontiguousarray(raw[:, at : at + 4 * self.n_atoms]).view(self.order + "f4")
-                    xyz[:, :, a] = one if atoms is None else one[:, atoms]
-                yield k, box, xyz
+                    f.seek(base + at(a) + 4 * lo)
+                    parts.append(read_exactly(f, 4 * (hi - lo)))
+                yield tuple(parts)
+            return
+        for k in some:
+            if k == some[0] or some.step > 1:
+                f.seek(self.first + k * self.frame_bytes)
+            raw = read_exactly(f, self.frame_bytes)
+            yield raw[self.mark : self.mark + 48], *(raw[at(a) : at(a) + 4 * self.n_atoms] for a in range(3))
 
 
 class FrameRange(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, path: str, start: int, stop: int, step: int = 1):
+        self.path, self.start, self.stop, self.step = path, start, stop, step
 
 
 class DcdReader(DataSourceReader):
@@ -129,30 +188,75 @@ class DcdReader(DataSourceReader):
         self.paths = sorted(x for x in options["path"].split(",") if x)
         self.atoms = [int(x) for x in options.get("atoms", "").split(",") if x]  # none: all
         self.each = int(options.get("framesPerPartition", 256))
-        self.step = float(options.get("frameIntervalPs", 1.0))
+        self.interval = float(options.get("frameIntervalPs", 1.0))
         self.ids = options.get("trajId", "")
+        part = [int(x) if x else None for x in options.get("frames", "").split(":")] + [None, None]
+        self.chosen = slice(*part[:3])
+        if (self.chosen.step or 1) < 1:
+            raise ValueError("frames go forward: the step is at least 1")
+        self.low, self.high = 0, None
+
+    def _bound(self, low: int, high: int | None) -> None:
+        self.low = max(self.low, low)
+        self.high = high if self.high is None else self.high if high is None else min(self.high, high)
+
+    def wanted(self, n_frames: int) -> range:
+        """The chosen frames of a file within the bounds."""
+        every = range(n_frames)[self.chosen]
+        end = n_frames if self.high is None else max(0, min(self.high, n_frames))
+        skip = max(0, -(-(self.low - every.start) // every.step))
+        return range(every.start + skip * every.step, min(every.stop, end), every.step)
 
     def partitions(self) -> list[FrameRange]:
-        return [FrameRange(p, s, min(s + self.each, n)) for p in self.paths for n in [DcdLayout(p).n_frames] for s in range(0, n, self.each)]
+        out = []
+        for path in self.paths:
+            every = self.wanted(DcdLayout(path).n_frames)
+            parts = [every[k : k + self.each] for k in range(0, len(every), self.each)]
+            out += [FrameRange(path, p.start, p.stop, p.step) for p in parts]
+        return out or [FrameRange("", 0, 0)]
 
     def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         layout = DcdLayout(partition.path)
         name = self.ids or Path(partition.path).stem
         atoms = np.array(self.atoms, dtype=np.int64) if self.atoms else None
-        for k, box, xyz in layout.frames(partition.path, partition.start, partition.stop, atoms):
+        for some, box, xyz in layout.frames(partition.path, range(partition.start, partition.stop, partition.step), atoms):
             n = len(xyz)
-            frame = np.arange(k, k + n, dtype=np.int32)
+            frame = np.array(some, dtype=np.int32)
             flat = (xyz.astype(np.float64) / 10).astype(np.float32).reshape(n, -1)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            boxes = pa.nulls(n, pa.list_(pa.float64())) if box is None else lists(box.astype(np.float64) / 10)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(frame), pa.array(frame * self.step), boxes, lists(flat)], ["traj_id", "frame", "time_ps", "box_nm", "xyz_nm"])
+            boxes = pa.nulls(n, pa.list_(pa.float64())) if box is None else lists(box / 10)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(frame), pa.array(frame * self.interval), boxes, lists(flat)], ["traj_id", "frame", "time_ps", "box_nm", "xyz_nm"])
+
+
+class PushingDcdReader(DcdReader):
+    """A reader that takes comparisons of `frame` with numbers into the ranges it reads; Spark must allow it for the session."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds of the frame number are taken into the ranges that are read; all other filters are Spark's."""
+        for x in filters:
+            value = getattr(x, "value", None)
+            if getattr(x, "attribute", None) != ("frame",) or isinstance(value, bool) or not isinstance(value, int):
+                yield x
+            elif isinstance(x, EqualTo):
+                self._bound(value, value + 1)
+            elif isinstance(x, (GreaterThan, GreaterThanOrEqual)):
+                self._bound(value + isinstance(x, GreaterThan), None)
+            elif isinstance(x, (LessThan, LessThanOrEqual)):
+                self._bound(0, value + isinstance(x, LessThanOrEqual))
+            else:
+                yield x
 
 
 class DcdDataSource(DataSource):
-    """spark.read.format("dcd"): options path (comma-separated), atoms (ordinals kept at the source, in that order), frameIntervalPs, framesPerPartition, trajId.
+    """spark.read.format("dcd"): options path (comma-separated), atoms (ordinals kept at the source, in that order), frames
+    (start:stop:step), frameIntervalPs, framesPerPartition, trajId, pushdown.
 
     DCD stores angstrom; rows are in nanometres. A DCD file's own times are not trusted:
-    time is the frame number times frameIntervalPs (1 ps unless given).
+    time is the frame number times frameIntervalPs (1 ps unless given). With pushdown=true comparisons of `frame` with
+    numbers narrow the ranges that are read, which needs spark.sql.python.filterPushdown.enabled (`read_dcd` sets both).
+    Paths may name remote stores that Arrow opens.
     """
 
     @classmethod
@@ -163,12 +267,14 @@ class DcdDataSource(DataSource):
         return DCD_SCHEMA
 
     def reader(self, schema) -> DcdReader:
-        return DcdReader(self.options)
+        return (PushingDcdReader if self.options.get("pushdown") == "true" else DcdReader)(self.options)
 
 
-def read_dcd(spark: SparkSession, path: str, atoms: list[int] | None = None, interval_ps: float = 1.0, traj_id: str = "") -> DataFrame:
+def read_dcd(spark: SparkSession, path: str, atoms: list[int] | None = None, interval_ps: float = 1.0, traj_id: str = "", frames: str = "") -> DataFrame:
+    """Rows of DCD_SCHEMA; frames: start:stop:step of each file."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DcdDataSource)
-    options = {"path": path, "frameIntervalPs": str(interval_ps), "trajId": traj_id}
+    options = {"path": path, "frameIntervalPs": str(interval_ps), "trajId": traj_id, "frames": frames, "pushdown": "true"}
     if atoms is not None:
         options["atoms"] = ",".join(map(str, atoms))
     return spark.read.format("dcd").options(**options).load()

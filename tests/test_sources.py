@@ -141,3 +141,124 @@ def test_dcd_of_either_byte_order_and_mark_size(spark, tmp_path):
     write(tmp_path / "fixed.dcd", "<", "i", 2)
     with pytest.raises(ValueError, match="fixed"):
         frames.DcdLayout(str(tmp_path / "fixed.dcd"))
+
+
+def counted(monkeypatch):
+    """The bytes that sources read from files they open."""
+    from framewright.sources import files
+
+    total = [0]
+
+    class Stream:
+        def __init__(self, path):
+            self.f = open(files.local_path(path), "rb", buffering=0)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def read(self, n=-1):
+            got = self.f.read(n)
+            total[0] += len(got)
+            return got
+
+        def seek(self, *a):
+            return self.f.seek(*a)
+
+        def tell(self):
+            return self.f.tell()
+
+    monkeypatch.setattr(frames, "seekable", Stream)
+    return total
+
+
+def test_float32_file_over_2_gib_in_many_tasks(spark, tmp_path):
+    n_atoms, n = 40_000, 4700  # 2.1 GiB
+    path = tmp_path / "large.f32"
+    marks = {0: 1.5, 1234: 2.5, n - 1: 3.5}
+    with open(path, "wb") as f:
+        f.truncate(12 * n_atoms * n)  # a sparse file: zeros but for the marks
+        for k, v in marks.items():
+            f.seek(12 * (n_atoms * k + 7))
+            f.write(np.array([v, v, v], dtype="<f4").tobytes())
+    assert path.stat().st_size > 2 << 30
+    df = frames.read_f32(spark, str(path), n_atoms, [7, 3])
+    assert df.rdd.getNumPartitions() >= 30
+    got = df.agg(F.count("*").alias("n"), F.count_distinct("frame").alias("d"), F.max("frame").alias("last")).first()
+    assert (got.n, got.d, got["last"]) == (n, n, n - 1)
+    some = {r.frame: r.xyz for r in df.where(F.exists("xyz", lambda x: x != 0)).collect()}
+    assert some == {k: [v, v, v, 0, 0, 0] for k, v in marks.items()}
+
+
+@pytest.mark.parametrize("each", [1, 100, 1 << 20])
+def test_float32_ranges_hold_every_frame_once(spark, tmp_path, each):
+    x = np.random.default_rng(1).normal(size=(23, 4, 3)).astype("<f4")
+    frames.write_f32(str(tmp_path / "a.f32"), x)
+    frames.write_f32(str(tmp_path / "b.f32"), x[:1])
+    (tmp_path / "c.f32").write_bytes(b"")
+    rows = frames.read_f32(spark, f"{tmp_path}/*.f32", 4, task_bytes=each).collect()
+    got = sorted((r.file.rsplit("/", 1)[1], r.frame, tuple(r.xyz)) for r in rows)
+    assert got == sorted([("a.f32", i, tuple(f.ravel().tolist())) for i, f in enumerate(x)] + [("b.f32", 0, tuple(x[0].ravel().tolist()))])
+    (tmp_path / "broken.f32").write_bytes(b"x" * 50)
+    with pytest.raises(Exception, match="no whole number"):
+        frames.read_f32(spark, f"{tmp_path}/broken.f32", 4).collect()
+
+
+def test_dcd_reads_only_wanted_frames_and_atoms(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    x = np.random.default_rng(2).normal(0, 10, (200, 500, 3)).astype(np.float32)
+    path = str(tmp_path / "t.dcd")
+    frames.write_dcd(path, x, np.full((200, 3), 30.0))
+    total = counted(monkeypatch)
+    frames.DcdLayout(path)
+    head = total[0]
+
+    def read(filters, **options):
+        reader = frames.PushingDcdReader({"path": path, "framesPerPartition": "16", **options})
+        left = list(reader.pushFilters(filters))
+        parts = reader.partitions()
+        total[0] = 0
+        got = [(f, np.array(v).reshape(-1, 3)) for p in parts for b in reader.read(p) for f, v in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True)]
+        return got, total[0] - head * len(parts) * bool(parts[0].path), left
+
+    frame_bytes = 56 + 3 * (4 * 500 + 8)
+    every, size, _ = read([])
+    assert len(every) == 200 and size >= 200 * frame_bytes
+    some, size, left = read([GreaterThanOrEqual(("frame",), 50), LessThan(("frame",), 60), In(("frame",), (1, 2)), EqualTo(("traj_id",), "t")])
+    assert [f for f, _ in some] == list(range(50, 60)) and size < 11 * frame_bytes and [type(f) for f in left] == [In, EqualTo]
+    strided, size, _ = read([GreaterThanOrEqual(("frame",), 30)], frames="5:150:25")
+    assert [f for f, _ in strided] == [30, 55, 80, 105, 130] and size < 6 * frame_bytes
+    few, size, _ = read([], frames="::40", atoms="12,10")
+    assert [f for f, _ in few] == [0, 40, 80, 120, 160] and size < 5 * frame_bytes / 10
+    assert all(np.allclose(v, x[f][[12, 10]] / 10, atol=1e-5) for f, v in few)
+    assert read([EqualTo(("frame",), 900)])[0] == [] and read([LessThan(("frame",), 0)])[0] == []
+    monkeypatch.undo()
+    df = frames.read_dcd(spark, path, [3], traj_id="t").where("frame >= 190 and frame <= 191 and time_ps > 190")
+    assert [r.frame for r in df.collect()] == [191]
+    assert frames.read_dcd(spark, "file:" + path, [3], frames="::50").where("frame <> 50").count() == 3
+
+
+def test_digest_of_a_3_gib_file_in_little_memory(spark, tmp_path):
+    import hashlib
+    import subprocess
+    import sys
+
+    from framewright.sources import bundles
+
+    path = tmp_path / "large.bin"
+    with open(path, "wb") as f:
+        f.write(b"head")
+        f.truncate(3 << 30)
+    code = "import resource, sys; from framewright.sources.bundles import streamed_sha256; a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; print(streamed_sha256(sys.argv[1]), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    digest, grown = subprocess.run([sys.executable, "-c", code, str(path)], capture_output=True, text=True, check=True).stdout.split()
+    want = hashlib.sha256(b"head")
+    for _ in range(3071):
+        want.update(bytes(1 << 20))
+    want.update(bytes((1 << 20) - 4))
+    assert digest == want.hexdigest() and int(grown) < 100
+    (tmp_path / "small.txt").write_bytes(b"abc")
+    got = {r.name: (r.length, r.sha256) for r in bundles.digests(spark, f"{tmp_path}/*").collect()}
+    assert got == {"large.bin": (3 << 30, digest), "small.txt": (3, hashlib.sha256(b"abc").hexdigest())}
