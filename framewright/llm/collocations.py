@@ -4,8 +4,8 @@ A position of a piece opens a window: its word and the up to three words after i
 shard's trie of depth four is its different windows in order with their counts: a node, that is a phrase, is
 a prefix of windows, and its count is the sum of theirs. Shards of about a million words each are sorted,
 cut at the boundaries of prefix ranges and serialised (the words once, then columns of word numbers); a range's
-runs are merged two of about equal length at a time, so a window is merged as often as the logarithm of
-their number. The walk over a merged range gives each phrase that is frequent enough its count and, from the nodes
+runs are merged many at a time, once their windows are as many as what was merged before, so a window is merged
+as often as the logarithm of its range's size. The walk over a merged range gives each phrase that is frequent enough its count and, from the nodes
 above it, its left parts. A boundary may fall into the middle of a node: each shard therefore sends both of
 its neighbour ranges what it has of that node elsewhere (`seeds`), and the range in which the node starts
 reports it. Boundaries are full windows, quantiles of a bounded sample of windows, so a frequent word or
@@ -44,6 +44,8 @@ BLOCK = 1 << 20
 SHARD_TOKENS, SHARD_BYTES = 1 << 21, 16 << 20
 #: Sampled texts and windows of each, for the boundaries; windows of a range, roughly; the most ranges.
 SAMPLE_TEXTS, SAMPLE_WINDOWS, RANGE_WINDOWS, MAX_RANGES = 4096, 32, 4 << 20, 20_000
+#: Windows that wait for a merge, or as many as have been merged.
+MERGE_WINDOWS = 2 << 20
 RUN = "range int, lang string, words binary, windows binary, seeds binary"
 NODES = "lang string, m int, phrase string, f long, lefts array<long>"
 
@@ -110,26 +112,43 @@ class Shard:
         rows[0] = flat[at]
         for k in range(1, DEPTH):
             rows[k] = np.where(rows[k - 1] > 0, flat[at + k], 0)
-        return Run(words, *_counted(rows, np.ones(len(at), dtype=np.int64), len(words)))
+        return Run(words, *_counted(rows, None, len(words)))
 
 
-def _counted(rows: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different windows (columns of rows) in order and the sums of their counts."""
-    bits = max(1, int(words).bit_length())
-    if DEPTH * bits <= 64:
-        key = rows[0].astype(np.uint64)
-        for k in range(1, DEPTH):
-            key = key << np.uint64(bits) | rows[k].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+def _counted(rows: np.ndarray, counts: np.ndarray | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different windows (columns of rows) in order and the sums of their counts (none: one each).
+
+    A window is one 64-bit number, of its four words or of the place of its first two among all such pairs and
+    the other two, so that one sort of numbers orders windows.
+    """
+    n, b = rows.shape[1], max(1, int(words).bit_length())
+    if not n:
+        return rows, np.zeros(0, dtype=np.int64)
+    two = lambda k: rows[k].astype(np.uint64) << np.uint64(b) | rows[k + 1].astype(np.uint64)
+    first, mask = two(0), np.uint64((1 << b) - 1)
+    pairs = None
+    if DEPTH * b > 64:
+        pairs, first = np.unique(first, return_inverse=True)
+        first = first.astype(np.uint64)
+        if 2 * b + len(pairs).bit_length() > 64:  # more words than such numbers hold: sorted word by word
+            order = np.lexsort(rows[::-1])
+            rows, counts = rows[:, order], np.ones(n, dtype=np.int64) if counts is None else counts[order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
+            return rows[:, new], np.add.reduceat(counts, new)
+    key = first << np.uint64(2 * b) | two(2)
+    if counts is None:
+        key = np.sort(key)
     else:
-        order = np.lexsort(rows[::-1])
-        sorted_rows = rows[:, order]
-        new = np.flatnonzero(np.concatenate([[True], (sorted_rows[:, 1:] != sorted_rows[:, :-1]).any(axis=0)])) if rows.shape[1] else np.zeros(0, dtype=np.int64)
-    if not len(new):
-        return rows[:, :0], counts[:0]
-    return rows[:, order[new]], np.add.reduceat(counts[order], new)
+        order = np.argsort(key)
+        key, counts = key[order], counts[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    counts = np.diff(np.append(new, n)) if counts is None else np.add.reduceat(counts, new)
+    key = key[new]
+    first = key >> np.uint64(2 * b)
+    first = first if pairs is None else pairs[first]
+    out = np.empty((DEPTH, len(new)), dtype=np.int32)
+    out[0], out[1], out[2], out[3] = first >> np.uint64(b), first & mask, key >> np.uint64(b) & mask, key & mask
+    return out, counts
 
 
 class Run:
@@ -177,14 +196,15 @@ class Run:
         counts[counts == 255] = np.frombuffer(body[at + n :], dtype=np.int64)
         return Run(words.split(b" ") if words else [], rows, counts)
 
-    def merged(self, other: "Run") -> "Run":
-        words = sorted({*self.words, *other.words})
+    @staticmethod
+    def merged(runs: list["Run"]) -> "Run":
+        """One run of many: their words once, their windows in one order."""
+        if len(runs) == 1:
+            return runs[0]
+        words = sorted({w for run in runs for w in run.words})
         at = {w: i for i, w in enumerate(words, 1)}
-        rows = []
-        for run in (self, other):
-            number = np.array([0, *map(at.__getitem__, run.words)], dtype=np.int32)
-            rows.append(number[run.rows])
-        return Run(words, *_counted(np.concatenate(rows, axis=1), np.concatenate([self.counts, other.counts]), len(words)))
+        rows = [np.array([0, *map(at.__getitem__, run.words)], dtype=np.int32)[run.rows] for run in runs]
+        return Run(words, *_counted(np.concatenate(rows, axis=1), np.concatenate([run.counts for run in runs]), len(words)))
 
 
 def _packed(body: bytes) -> bytes:
@@ -344,13 +364,10 @@ def phrases(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("m", pa.int32()), ("phrase", pa.string()), ("f", pa.int64()), ("lefts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stack, seeds = None, [], {}
+        at, stack, seeds, fresh = None, [], {}, 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            merged = stack.pop()
-            while stack:
-                merged = stack.pop().merged(merged)
-            rows = []
+            merged, rows = Run.merged(stack), []
             for row in nodes(at[1], at[0], merged, seeds, sent.value, support):
                 rows.append(row)
                 if len(rows) == 4096:
@@ -365,11 +382,11 @@ def phrases(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
                 if key != at:
                     if at is not None:
                         yield from done()
-                    at, stack, seeds = key, [], {}
-                one = Run.unpacked(words.as_py(), windows.as_py())
-                while stack and len(stack[-1].counts) <= 2 * len(one.counts):
-                    one = stack.pop().merged(one)
-                stack.append(one)
+                    at, stack, seeds, fresh = key, [], {}, 0
+                stack.append(Run.unpacked(words.as_py(), windows.as_py()))
+                fresh += len(stack[-1].counts)
+                if fresh > MERGE_WINDOWS and fresh > len(stack[0].counts):  # the first is what was merged before
+                    stack, fresh = [Run.merged(stack)], 0
                 for p, n in _seeds(more.as_py()).items():
                     seeds[p] = seeds.get(p, 0) + n
         if at is not None:

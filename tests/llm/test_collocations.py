@@ -42,7 +42,7 @@ def texts(seed, n):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in (("BLOCK", 64), ("SHARD_TOKENS", 150), ("RANGE_WINDOWS", 40)):
+    for name, value in (("BLOCK", 64), ("SHARD_TOKENS", 150), ("RANGE_WINDOWS", 40), ("MERGE_WINDOWS", 100)):
         monkeypatch.setattr(op, name, value)
 
 
@@ -77,7 +77,7 @@ def test_any_boundaries_give_the_same_phrases(small):
         for run in shards:
             for number, _, words, windows, more in op.cut_run("en", run, bounds):
                 one = op.Run.unpacked(words, windows)
-                held[number] = one.merged(held[number]) if number in held else one
+                held[number] = op.Run.merged([held[number], one]) if number in held else one
                 for p, n in op._seeds(more).items():
                     seeds.setdefault(number, Counter())[p] += n
         got = sorted(r for number, run in held.items() for r in op.nodes("en", number, run, seeds.get(number, {}), bounds, 3) if r[1])
@@ -105,3 +105,20 @@ def test_scores_are_exact_beyond_64_bits(spark):
     df = spark.createDataFrame([("x y", 2, big, [big], [big]), ("x y z", 3, big - 1, [big, big], [big, big])], "phrase string, m int, f long, lefts array<long>, rights array<long>")
     got = [r.c for r in df.select(op._best_cut(df.f, df.m).alias("c")).collect()]
     assert [(c.score, c.k) for c in got] == [(op.SCALE * big // (2 * big), 1), (op.SCALE * (big - 1) // (2 * big), 1)]
+
+
+def test_windows_of_many_words_are_ordered_by_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 70_000, size=(4, 3000)).astype(np.int32)
+    rows = np.concatenate([rows, rows[:, :500], rows[:, :200]], axis=1)
+    counts = rng.integers(1, 9, size=rows.shape[1])
+    want, ones = Counter(), Counter()
+    for w, c in zip(map(tuple, rows.T.tolist()), counts.tolist(), strict=True):
+        want[w] += c
+        ones[w] += 1
+    for given, expect in ((counts, want), (None, ones)):
+        for words in (70_000, (1 << 27) - 1):
+            got, n = op._counted(rows, given, words)
+            assert list(zip(map(tuple, got.T.tolist()), n.tolist(), strict=True)) == sorted(expect.items())
