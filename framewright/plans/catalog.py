@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.scalars import is_licensed
+from framewright.operators import order
 
 
 def eligible(projects: DataFrame, licence: str, method: Column, analyses: Column, entry: Column) -> DataFrame:
@@ -45,31 +46,30 @@ def crosscheck(found: DataFrame, published: DataFrame, mode: str = "mode", value
 
 def profile_correlation(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Pearson and Spearman (average ranks) correlation of two profiles."""
-    from pyspark.sql import Window
-
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(*keys)
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(w.partitionBy(*keys, c)) - 1) / 2
-
-    ranked = rows.withColumns({"_a": rank(a), "_b": rank(b)})
-    return ranked.groupBy(*keys).agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"), F.corr("_a", "_b").alias("spearman"))
+    ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    for c in ("_a", "_b"):
+        values = order.numbered(ranked.groupBy(*keys, c).agg(F.count("*").alias("_n")), keys, [F.col(c)], "_before", "_n")
+        rank = values.select(*keys, c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_rank{c}"))
+        ranked = ranked.join(rank, [*keys, c])
+    return ranked.groupBy(*keys).agg(F.corr(F.col("_a").cast("double"), F.col("_b").cast("double")).alias("pearson"), F.corr("_rank_a", "_rank_b").alias("spearman"))
 
 
 def wasserstein(rows: DataFrame, keys: list[str], group: Column, value: str, points: int = 101) -> DataFrame:
     """Mean difference of the quantiles of two groups (group: boolean), at evenly spaced points."""
-    at = [i / (points - 1) for i in range(points)]
-    q = rows.groupBy(*keys).agg(F.percentile(F.when(group, F.col(value)), F.array(*map(F.lit, at))).alias("a"), F.percentile(F.when(~group, F.col(value)), F.array(*map(F.lit, at))).alias("b"))
+    split = rows.select(*keys, F.col(value).alias("_v"), group.alias("_g")).where(F.col("_g").isNotNull())
+    q = order.exact_quantiles(split, [*keys, "_g"], "_v", [i / (points - 1) for i in range(points)])
+    a, b = q.where("_g").select(*keys, F.col("quantiles").alias("a")), q.where("NOT _g").select(*keys, F.col("quantiles").alias("b"))
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / points
-    return q.select(*keys, gap.alias("distance"))
+    return a.join(b, keys, "full").select(*keys, gap.alias("distance"))
 
 
-def block_bootstrap(rows: DataFrame, order: str, value: str, width: int, draws: int, seed: int) -> DataFrame:
-    """draw, mean: means of resampled blocks of consecutive rows (by order // width; a gap in the order is an empty block).
+def block_bootstrap(rows: DataFrame, by: str, value: str, width: int, draws: int, seed: int) -> DataFrame:
+    """draw, mean: means of resampled blocks of consecutive rows (by // width; a gap in it is an empty block).
 
     Block sums are formed once; each draw picks as many blocks as there are, by hash.
     """
-    blocks = rows.groupBy(F.floor(F.col(order) / width).alias("b")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    ends = rows.agg(F.floor(F.min(order) / width).alias("first"), F.floor(F.max(order) / width).alias("last")).first()
+    blocks = rows.groupBy(F.floor(F.col(by) / width).alias("b")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    ends = rows.agg(F.floor(F.min(by) / width).alias("first"), F.floor(F.max(by) / width).alias("last")).first()
     if ends.first is None:
         return blocks.select(F.col("b").alias("draw"), F.lit(0.0).alias("mean"))
     total = ends.last - ends.first + 1
@@ -77,14 +77,6 @@ def block_bootstrap(rows: DataFrame, order: str, value: str, width: int, draws:
     return picks.join(blocks, "b").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
-def autocorrelation(series: DataFrame, keys: list[str], order: str, value: str, lags: int) -> DataFrame:
-    """keys, lag, acf: lag products of the centred series over its population variance."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    centred = series.withColumn("_x", F.col(value) - F.avg(value).over(w))
-    ahead = centred.withColumn("_next", F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("_x", k).over(w.orderBy(order)).alias("y")) for k in range(lags + 1)]))
-    pairs = ahead.select(*keys, "_x", F.explode("_next").alias("p"))
-    got = pairs.groupBy(*keys, F.col("p.lag").alias("lag")).agg(F.avg(F.col("_x") * F.col("p.y")).alias("c"))
-    zero = got.where("lag = 0").select(*keys, F.col("c").alias("c0"))
-    return got.join(zero, keys).select(*keys, "lag", F.try_divide("c", "c0").alias("acf"))
+def autocorrelation(series: DataFrame, keys: list[str], by: str, value: str, lags: int) -> DataFrame:
+    """keys, lag, acf of the series of each key in the order of `by`."""
+    return order.autocorrelation(order.numbered(series.select(*keys, by, value), keys, [F.col(by)], "_i"), keys, "_i", value, lags)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import scalars as fn
-from framewright.operators import controls, linalg, nulls, relational, series
+from framewright.operators import controls, linalg, nulls, order, relational, series
 from framewright.plans import catalog
 from framewright.sources.pdb import parse_atoms
 
@@ -239,9 +239,11 @@ def unwrap_walk(t):
     return series.walks(positions(t)).select("tracer", F.col("frame").cast("long").alias("frame"), r("wx"), r("wy"), r("wz"))
 
 
-@query("SELECT n::INTEGER AS n_frames, list_distinct(list_transform(range(0, least(40, greatest(2, (n - 1) // 5))), lambda i: CASE WHEN i = least(40, greatest(2, (n - 1) // 5)) - 1 THEN greatest(2, (n - 1) // 5)::INTEGER ELSE trunc(1.0::DOUBLE + i * ((greatest(2, (n - 1) // 5) - 1)::DOUBLE / (least(40, greatest(2, (n - 1) // 5)) - 1)))::INTEGER END)).list_sort() AS lags FROM range(5, 1005) r(n)")
+@query("SELECT user_id, n::INTEGER AS n_frames, list_distinct(list_transform(range(0, least(40, greatest(2, (n - 1) // 5))), lambda i: CASE WHEN i = least(40, greatest(2, (n - 1) // 5)) - 1 THEN greatest(2, (n - 1) // 5)::INTEGER ELSE trunc(1.0::DOUBLE + i * ((greatest(2, (n - 1) // 5) - 1)::DOUBLE / (least(40, greatest(2, (n - 1) // 5)) - 1)))::INTEGER END)).list_sort() AS lags FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING n >= 5)")
 def lag_grid(t):
-    return t.spark.range(5, 1005).select(F.col("id").cast("int").alias("n_frames")).withColumn("lags", F.array_sort(fn.lag_grid(F.col("n_frames"))))
+    """The lags of each user's events as frames."""
+    n = t.events.groupBy("user_id").agg(F.count("*").cast("int").alias("n_frames")).where("n_frames >= 5")
+    return n.withColumn("lags", F.array_sort(fn.lag_grid(F.col("n_frames"))))
 
 
 _LAGS = "n AS (SELECT count(DISTINCT frame) + 1 AS n FROM walk), h AS (SELECT greatest(2, (n - 1) // 5) AS h, least(40, greatest(2, (n - 1) // 5)) AS k FROM n), lags AS (SELECT DISTINCT CASE WHEN i = k - 1 THEN h ELSE trunc(1.0::DOUBLE + i * ((h - 1)::DOUBLE / (k - 1)))::BIGINT END AS lag FROM h, range(0, 40) r(i) WHERE i < k)"
@@ -357,7 +359,8 @@ def null_summary(t):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.999), 9) AS cut, round(quantile_cont(value, 0.99), 9) AS per_mode_cut FROM events GROUP BY 1")
 def null_quantile(t):
-    return t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.999), 9).alias("cut"), F.round(F.percentile("value", 0.99), 9).alias("per_mode_cut"))
+    q = order.exact_quantiles(t.events, ["event_type"], "value", [0.999, 0.99])
+    return q.select("event_type", F.round(F.get("quantiles", F.lit(0)), 9).alias("cut"), F.round(F.get("quantiles", F.lit(1)), 9).alias("per_mode_cut"))
 
 
 @query("SELECT user_id::VARCHAR AS structure, max(value) AS floor, arg_max(event_id, (value, -event_id))::DOUBLE AS best_cutoff FROM events GROUP BY 1")
@@ -495,6 +498,15 @@ def sliding_subspaces(t):
     return linalg.sliding_subspaces(frames, _targets(t), 20, 5).where("mode < 10")
 
 
+@query()
+def mode_correlation_times(t):
+    """Integrated autocorrelation times of each label's frames along its first three modes, and the lags that they sum."""
+    w = Window.partitionBy("traj_id").orderBy("frame")
+    frames = vectors(t).withColumn("frame", (F.row_number().over(w) - 1).cast("int"))
+    along = linalg.projections(frames, _targets(t), 3)
+    return order.integrated_times(order.autocorrelation(along, ["traj_id", "mode"], "frame", "value", 20), ["traj_id", "mode"])
+
+
 REACH = [0.35 + 0.01 * i for i in range(27)]
 
 
