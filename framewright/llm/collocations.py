@@ -4,7 +4,7 @@ A position of a piece opens a window: its word and the up to three words after i
 shard's trie of depth four is its different windows in order with their counts: a node, that is a phrase, is
 a prefix of windows, and its count is the sum of theirs. Shards of about a million words each are sorted,
 cut at the boundaries of prefix ranges and serialised (the words once, then columns of word numbers); a range's
-runs are merged many at a time, once their windows are as many as what was merged before, so a window is merged
+runs are merged many at a time, once their windows are half as many as what was merged before, so a window is merged
 as often as the logarithm of its range's size. The walk over a merged range gives each phrase that is frequent enough its count and, from the nodes
 above it, its left parts. A boundary may fall into the middle of a node: each shard therefore sends both of
 its neighbour ranges what it has of that node elsewhere (`seeds`), and the range in which the node starts
@@ -44,8 +44,8 @@ BLOCK = 1 << 20
 SHARD_TOKENS, SHARD_BYTES = 1 << 21, 16 << 20
 #: Sampled texts and windows of each, for the boundaries; windows of a range, roughly; the most ranges.
 SAMPLE_TEXTS, SAMPLE_WINDOWS, RANGE_WINDOWS, MAX_RANGES = 4096, 32, 4 << 20, 20_000
-#: Windows that wait for a merge, or as many as have been merged.
-MERGE_WINDOWS = 2 << 20
+#: Windows that wait for a merge, or half as many as have been merged.
+MERGE_WINDOWS = 1 << 20
 RUN = "range int, lang string, words binary, windows binary, seeds binary"
 NODES = "lang string, m int, phrase string, f long, lefts array<long>"
 
@@ -203,8 +203,13 @@ class Run:
             return runs[0]
         words = sorted({w for run in runs for w in run.words})
         at = {w: i for i, w in enumerate(words, 1)}
-        rows = [np.array([0, *map(at.__getitem__, run.words)], dtype=np.int32)[run.rows] for run in runs]
-        return Run(words, *_counted(np.concatenate(rows, axis=1), np.concatenate([run.counts for run in runs]), len(words)))
+        counts = np.concatenate([run.counts for run in runs])
+        rows, s = np.empty((DEPTH, len(counts)), dtype=np.int32), 0
+        for run in runs:
+            number = np.array([0, *map(at.__getitem__, run.words)], dtype=np.int32)
+            np.take(number, run.rows, out=rows[:, s : s + len(run.counts)])
+            s += len(run.counts)
+        return Run(words, *_counted(rows, counts, len(words)))
 
 
 def _packed(body: bytes) -> bytes:
@@ -385,8 +390,9 @@ def phrases(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
                     at, stack, seeds, fresh = key, [], {}, 0
                 stack.append(Run.unpacked(words.as_py(), windows.as_py()))
                 fresh += len(stack[-1].counts)
-                if fresh > MERGE_WINDOWS and fresh > len(stack[0].counts):  # the first is what was merged before
+                if fresh > MERGE_WINDOWS and 2 * fresh > len(stack[0].counts):  # the first is what was merged before
                     stack, fresh = [Run.merged(stack)], 0
+                    release()
                 for p, n in _seeds(more.as_py()).items():
                     seeds[p] = seeds.get(p, 0) + n
         if at is not None:
