@@ -215,7 +215,7 @@ class WordHasher:
             sums, start, end = self._sums(part)
             if held is not None:
                 if len(start) and not start[0] and self.kind[part[0]] == of:
-                    sums[0] = sums[0] * np.uint64(pow(_P, size, 1 << 64)) + held
+                    sums[:1] = sums[:1] * np.uint64(pow(_P, size, 1 << 64)) + held  # arrays wrap around without a word
                     end[0] += size
                 else:
                     yield mix(np.array([held], dtype=np.uint64))

@@ -16,7 +16,9 @@ Words are runs of ASCII letters and digits and non-ASCII characters, lower-cased
 of fewer than five words are one shingle; a document shorter than an item is one window.
 
 The benchmark is a stated query set. It is sent to the executors in blocks of at most
-`max_chars` characters, each block being one pass over the documents.
+`max_chars` characters (an item that is longer is a block), each block being one pass over the documents. The driver
+holds one block at a time: where there are several, each pass is written before the next block is read. A process
+builds a block's index once.
 
 Nulls and rows: null or empty texts and items without words match nothing; rows with a null
 id still give rows; repeated documents or items each give their rows; ties between windows
@@ -27,16 +29,18 @@ in chunks, so memory grows with a text's words (8 bytes each) and not with windo
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, WordHasher, mix, slices
+from .common import NON_WORD, WordHasher, discard, mix, slices, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -213,27 +217,43 @@ def _fingerprints(region: np.ndarray, starts: np.ndarray, size: int) -> np.ndarr
     return np.packbits((total[rel + size] - total[rel]) * 2 > size, axis=1)
 
 
-def _sent(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, max_chars: int) -> list:
-    """The benchmark as broadcasts of blocks of items."""
+_built: dict[str, Index] = {}
+
+
+def _index(block: tuple[str, list]) -> Index:
+    """The process's index of a block; an earlier block's makes room for it."""
+    if block[0] not in _built:
+        _built.clear()
+        _built[block[0]] = Index(block[1])
+    return _built[block[0]]
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, max_chars: int) -> Iterator[tuple[int, Broadcast]]:
+    """(number of blocks, broadcast) of the benchmark's blocks of items, one after another; each is given up for the next."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     n_blocks = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // max_chars))
-    out = []
     for b in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect()
-        out.append(spark.sparkContext.broadcast(sorted(((r.i, r.t) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
-    return out
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r.i, r.t) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
+        yield n_blocks, sent
+        if n_blocks > 1:
+            sent.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
     """One row for each document and benchmark item that it holds: best window and how many windows match."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return reduce(DataFrame.union, [src.mapInArrow(_scan(sent), SCHEMA) for sent in _sent(docs, benchmark, item_id, item_text, max_chars)])
+    parts = []
+    for n, sent in _sent(docs, benchmark, item_id, item_text, max_chars):
+        found = src.mapInArrow(_scan(sent), SCHEMA)
+        parts.append(written(found, "contaminated") if n > 1 else found)
+    return reduce(DataFrame.union, parts)
 
 
 def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value)
+        index = _index(sent.value)
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
             for s, texts in slices(b.column(1)):
@@ -250,15 +270,20 @@ def _scan(sent):
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
     """docs without those that hold a benchmark item: each row is judged where it stands, whatever its id."""
     out = docs
-    for sent in _sent(docs, benchmark, item_id, item_text, max_chars):
+    work: list[str] = []
+    for n, sent in _sent(docs, benchmark, item_id, item_text, max_chars):
         src = out.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
         out = src.mapInArrow(_keep(sent), src.select("row").schema).select("row.*")
+        if n > 1:
+            before, work = work, []
+            out = written(out, "uncontaminated", work)
+            discard(docs.sparkSession, before)
     return out
 
 
 def _keep(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value)
+        index = _index(sent.value)
         for b in batches:
             good = [next(index.matches(h), None) is None for _, texts in slices(b.column(1)) for h in word_hashes(texts)]
             kept = b.select([0]).filter(pa.array(good, pa.bool_()))

@@ -21,7 +21,9 @@ execution splits for a hot host. Everything but the trigram sums is native.
 Nulls and rows: a null or empty html has no text evidence; a null url has a null host, whose
 pages share the prior of all pages; a missing declaration is a value of its own; repeated
 pages are each returned; ties go to the first language by name; an empty table gives an
-empty result, as does an empty training set; further columns are ignored.
+empty result, as does an empty training set; further columns are ignored; a page of any length is
+read to its end in blocks and gives one row. The model holds at most MAX_LANGS languages (128 KB each);
+a table with more raises.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ from .common import slices, written
 
 BITS = 15
 MAX_TRAIN = 4_000
-#: Up to so many languages, by count, their sizes are broadcast.
-BROADCAST_NAMES = 100_000
+#: Languages of a model, which has a row for each.
+MAX_LANGS = 2_048
 EVIDENCE = 40.0
 WEIGHT = 5.0
 _TAGS = re.compile(r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)")
@@ -66,10 +68,10 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, text: str = "text", lang:
     # Languages come from all rows and each is sampled at a rate of its own, so a rare one is learnt at any size.
     sizes = known.groupBy("l").agg(F.count("*").alias("n"))
     names = sizes.count()
+    if names > MAX_LANGS:
+        raise ValueError(f"{names} languages; a model holds {MAX_LANGS}")
     each = max(1, max_train // max(1, names))
-    if names <= BROADCAST_NAMES:  # texts stay where they are; otherwise they are joined by language
-        sizes = F.broadcast(sizes)
-    sample = known.join(sizes, "l").where(F.pmod("h", F.lit(1 << 40)) < F.least(F.lit(1.0), each / F.col("n")) * float(1 << 40))
+    sample = known.join(F.broadcast(sizes), "l").where(F.pmod("h", F.lit(1 << 40)) < F.least(F.lit(1.0), each / F.col("n")) * float(1 << 40))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

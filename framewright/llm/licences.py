@@ -13,7 +13,8 @@ map to template word numbers by array look-ups; only runs of at least `MIN_MATCH
 consecutive template words enter the automaton, as no shorter run can hold a long match.
 
 Nulls and rows: null and empty texts have no words, no labels and score 0; null ids and
-repeated rows are each returned; overlapping places are all counted; an empty table gives
+repeated rows are each returned; overlapping places are all counted; of chains that cover equally
+much the one that ends first counts; texts of any length are taken in blocks; an empty table gives
 an empty result; further columns are ignored.
 """
 

@@ -13,8 +13,8 @@ its pieces allow, so waste is at most about one sequence in `shard` pieces.
 Only (id, piece, start, length, checksum) rows are dealt, never texts or ids.
 
 Nulls and rows: a null text counts as empty and gives one piece, its end id; null ids and
-repeated rows are packed like any other; ties go to the earlier piece; an empty table
-gives an empty result; further columns are ignored.
+repeated rows are packed like any other; ties go to the earlier piece; a text longer than a sequence is
+cut into pieces, whatever its length; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ broadcast.
 Nulls and rows: null and empty texts have no features and score the bias alone; labels
 that are null or have a null id are ignored, an id labelled repeatedly takes the mean
 label; repeated documents are each scored; with no usable labels every score is 0.5; an
-empty table gives an empty result; further columns pass through `scored`.
+empty table gives an empty result; further columns pass through `scored`; a text of any length is hashed
+whole, a megabyte at a time; a mean label of one half trains as such, and a score that equals the threshold passes.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import PUNCTUATION, SPACES, WordHasher, free_name, mix, slices
 
 BITS = 18
 MAX_TRAIN = 4_000
+#: Bytes of sampled texts' coordinates that the fit takes, at most.
+MAX_FIT_BYTES = 256 << 20
 THRESHOLD = 0.7
 _SCALE = 8.0
 _hasher = WordHasher(SPACES, PUNCTUATION)
@@ -88,7 +91,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: i
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> np.ndarray:
     """Weights learnt from labels (doc_id, label 0/1) of docs (doc_id, text).
 
-    The driver gets each sampled text's different coordinates with their counts: 2 MB a text at most.
+    The driver gets each sampled text's different coordinates with their counts, in the order of a hash of the
+    id, and stops at MAX_FIT_BYTES; a text has 2 MB of them at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +104,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
                 yield pa.RecordBatch.from_arrays(row, ["doc_id", "y", "at", "n"])
 
     sample = labelled_sample(docs, labels, label, max_train).select(F.col("doc_id").cast("long"), "y", "text")
-    rows = sample.mapInArrow(run, "doc_id long, y double, at binary, n binary").collect()
+    found, rows, size = sample.mapInArrow(run, "doc_id long, y double, at binary, n binary"), [], 0
+    for r in found.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id").toLocalIterator():
+        size += len(r.at) + len(r.n)
+        if rows and size > MAX_FIT_BYTES:
+            break
+        rows.append(r)
     rows.sort(key=lambda r: r.doc_id)
     return Ftrl().fit([(np.frombuffer(r.at, dtype=np.int32), np.frombuffer(r.n, dtype=np.int32), r.y) for r in rows])
 

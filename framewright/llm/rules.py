@@ -11,7 +11,8 @@ statistics and the verdicts cover all documents.
 
 Nulls and rows: a null text has no words; null ids and repeated rows are each returned; an
 id labelled repeatedly counts with its mean label, null labels not at all; without labels
-the list is empty and the base rule alone decides; an empty table gives an empty result;
+the list is empty and the base rule alone decides; of equal gains the first statistic and lower threshold win; an
+empty table gives an empty result;
 further columns are ignored; texts over a megabyte are counted by 64-bit hashes of their words
 and lines, in bounded memory.
 """

@@ -16,8 +16,9 @@ all pairs (see `_links`).
 
 Nulls and rows: a null text counts as empty (fingerprint zero, linked like any other); a
 null id is returned with its fingerprint and never names a class while the class has an
-id; repeated rows are each returned; an empty table gives an empty result; further
-columns are ignored.
+id; repeated rows are each returned; texts of any length are hashed whole, in blocks; a bit that just half of
+the shingles set is 0; of equal candidates for a centre or a class's name the smallest number wins; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

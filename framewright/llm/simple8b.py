@@ -19,8 +19,8 @@ table (part, seq, start within the part, ids, payload). Reading decodes each seg
 adds the ids of earlier parts, of which there are as many as partitions.
 
 Nulls and rows: a null text counts as empty and gives its end id; null ids come first;
-repeated rows are each written; an empty table gives an empty result; further columns are
-ignored.
+repeated rows are each written, rows of equal id in the order of their texts' hashes; a text of any length lies
+within one segment; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -91,3 +91,117 @@ def test_empty_table_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c")], "doc_id long, text string")
     assert op.report(docs.limit(0)).collect() == []
     assert [r.n_email for r in op.report(docs).collect()] == [1, 1]
+
+
+def test_results_join_rows_in_linear_time_and_texts_stay(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from framewright.llm.common import Numbered
+
+    took = {}
+    for n in (100_000, 250_000, 500_000, 1_000_000):  # the first warms up
+        base = Numbered(spark.range(0, n, 1, 1).select("id", F.lit("a short text").alias("text")), "linear")
+        found = base.df.where(F.col(base.row) % 2 == 0).select(base.row, F.concat(F.lit("v"), F.col("id")).alias("v"))
+        began = time.perf_counter()
+        got = base.joined(found, "v")
+        row = got.agg(F.count("*").alias("n"), F.count("v").alias("some"), F.count_if(F.col("v") == F.concat(F.lit("v"), F.col("id"))).alias("right")).first()
+        took[n] = time.perf_counter() - began
+        assert (row.n, row.some, row.right) == (n, n // 2, n // 2)
+    assert took[1_000_000] < 30 and took[1_000_000] < 2.5 * took[500_000] + 1
+    plan = got._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan and plan.split("== Physical Plan ==")[1].count("Exchange") == 1
+
+
+def test_many_spans_and_many_terms_in_one_text(spark):
+    import time
+
+    n = 160_000
+    text = " ".join(f"u{i}@x.org" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = op.report(docs).first()
+    assert row.n_email == n and row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in plain(text)).encode()).hexdigest()
+    assert time.perf_counter() - began < 60
+    words = [f"w{i}é" for i in range(3000)]
+    rows = [(i, " ".join(words) + f" v{i}@y.org. " + "Nobody " * i) for i in range(7)] + [(100 + i, f"plain text {i}") for i in range(500)]
+    out = {r.doc_id: r.text for r in op.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(w in out[3] for w in ("w0é", "w2999é")) and "[EMAIL]" in out[3] and out[100] == "plain text 0"
+
+
+def test_dotted_capital_and_sigma_keep_their_places(spark):
+    rows = [(i, f"İz{'x' * i} ΣΟΦΟΣ' ΟΔΟΣ u{i}@x.org") for i in range(8)] + [(100 + i, f"other {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in op.report(df).collect()}
+    for i, text in rows[:8]:
+        spans = [x.split(":") for x in got[i].split(",")]
+        found = {text[int(s) : int(e)] for k, s, e in spans if k in ("removed", "generalised")}
+        assert {"ΣΟΦΟΣ", "ΟΔΟΣ"} <= found, (found, text)
+
+
+def brute(rows, generalise, remove, support):
+    """Spans that the method adds to each of (id, text), word by word."""
+    import math
+    from collections import defaultdict
+
+    low = lambda t: t.replace("İ", "i").lower().replace("ς", "σ")
+    words = lambda t: [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+", low(t))]
+    base = {i: plain(t) for i, t in rows}
+    masked = {}
+    for i, t in rows:
+        for _, s, e in base[i]:
+            t = t[:s] + " " * (e - s) + t[e:]
+        masked[i] = {w for _, _, w in words(t)}
+    n, n_t = len(rows), defaultdict(int)
+    for _, t in rows:
+        for w in {w for _, _, w in words(t)}:
+            n_t[w] += 1
+    telling = {}
+    for kind in PLAIN:
+        held = {i: frozenset(t[s:e] for k, s, e in base[i] if k == kind) for i, t in rows}
+        held = {i: x for i, x in held.items() if x}
+        entities, sets, both = defaultdict(set), defaultdict(set), defaultdict(int)
+        for i, x in held.items():
+            for w in masked[i]:
+                entities[w] |= x
+                sets[w].add(x)
+                both[w] += 1
+        for w, c in both.items():
+            if min(len(entities[w]), len(sets[w])) >= support and len(held) < n:
+                share = math.log2(c * n / (n_t[w] * len(held))) / math.log2(n / len(held))
+                if share >= generalise:
+                    telling[kind, w] = share
+    out = {}
+    for i, t in rows:
+        kinds = {k for k, _, _ in base[i]}
+        best = {}
+        for (k, w), share in telling.items():
+            if k in kinds and w in masked[i]:
+                best[w] = max(best.get(w, 0), share)
+        spans = [("removed" if best[w] >= remove else "generalised", s, e) for s, e, w in words(t) if w in best]
+        out[i] = sorted(x for x in spans if not any(b[1] < x[2] and x[1] < b[2] for b in base[i]))
+    return out
+
+
+def test_added_spans_equal_brute_force_on_random_corpora(spark):
+    added = 0
+    for seed in range(3):
+        rng = random.Random(seed)
+        common, special = [f"c{k}" for k in range(30)], [f"Σec{k}ret" for k in range(12)]
+        rows = []
+        for i in range(260):
+            words = rng.choices(common, k=8)
+            if rng.random() < 0.35:
+                who, kind = rng.randrange(25), rng.randrange(3)
+                words += rng.sample(special[4 * kind : 4 * kind + 4], 3) + [[f"m{who}@x.org", f"10.0.0.{who}", f"+1 555 01{who:02} 999{who % 10}"][kind]]
+            if rng.random() < 0.01:
+                words += [rng.choice(special)]
+            rng.shuffle(words)
+            rows.append((i, " ".join(words)))
+        got = {r.doc_id: r.spans for r in op.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+        for i, want in brute(rows, op.GENERALISE, op.REMOVE, op.SUPPORT).items():
+            mine = sorted((k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].split(",") if x) if k in ("removed", "generalised"))
+            assert mine == want, (seed, i)
+            added += len(want)
+    assert added > 100

@@ -97,3 +97,11 @@ def test_empty_tables_null_and_repeated_ids(spark, tmp_path):
     got = sorted(((r.doc_id or 0, r.text or "", r._row or "") for r in at.collect()), key=str)
     assert got == sorted([(1, text, "x"), (1, rows[2][1], "y"), (0, "null id mail [EMAIL]", "z"), (0, "", "z"), (2, "", "")], key=str)
     assert corpus_pipeline.packing_stage(spark, at, sf).count() == 5
+
+
+def test_the_quality_stage_keeps_columns_of_its_own_names(spark, tmp_path):
+    rows = [(i, f"some plain words number {i} and more of them", f"orig{i}", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _score string, score long")
+    spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()
+    assert got and got[0].asDict().keys() == {"doc_id", "text", "_score", "score"} and all(r._score == f"orig{r.doc_id}" and r.score == r.doc_id for r in got)
