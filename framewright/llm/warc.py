@@ -51,11 +51,19 @@ def canonical_url(url: Column) -> Column:
 
 def folded(headers: Column) -> Column:
     """Headers by lower-case name."""
-    every = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
-    names = F.array_distinct(F.transform(every, lambda e: F.lower(e["key"])))
-    values = lambda n: F.transform(F.filter(every, lambda e: (F.lower(e["key"]) == n) & e["value"].isNotNull()), lambda e: e["value"])
-    one = lambda n: F.when(F.size(values(n)) > 0, F.when(n == "set-cookie", F.array_join(values(n), "\n")).otherwise(F.array_join(values(n), ", ")))
-    return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), one(n).alias("value"))))
+    entry = "struct<key:string,value:string>"
+    every = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    laid = F.array_sort(F.transform(every, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("own"), e["value"].alias("value"))))
+
+    def step(acc: Column, e: Column) -> Column:
+        last = F.element_at(acc, -1)
+        between = F.when(e["key"] == "set-cookie", "\n").otherwise(", ")
+        both = F.when(last["value"].isNull(), e["value"]).when(e["value"].isNull(), last["value"]).otherwise(F.concat(last["value"], between, e["value"]))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(e["key"].alias("key"), both.alias("value")).cast(entry)))
+        fresh = F.concat(acc, F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")).cast(entry)))
+        return F.when(F.size(acc) == 0, fresh).when(last["key"] == e["key"], joined).otherwise(fresh)
+
+    return F.map_from_entries(F.aggregate(laid, F.array().cast(f"array<{entry}>"), step))
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
@@ -77,9 +85,10 @@ def time_range(ts: Column, cuts: list[int]) -> Column:
 
 def resolved(records: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
     """records (record_id, url, ts: long, kind, etag, last_modified, headers) with canonical, status, resolved_id and merged."""
-    every = records.agg(F.count("*").alias("n"), F.percentile_approx("ts", [i / MOST for i in range(1, MOST)], 20_000).alias("c")).first()
-    ranges = max(1, min(MOST, -(-every["n"] // rows_each)))
-    cuts = sorted({every["c"][i * MOST // ranges - 1] for i in range(1, ranges)}) if every["c"] else []
+    ranges = max(1, min(MOST, -(-records.count() // rows_each)))
+    shares = [i / ranges for i in range(1, ranges)]
+    found_cuts = records.agg(F.percentile_approx("ts", shares, 20_000)).first()[0] if shares else None
+    cuts = sorted(set(found_cuts or []))
     canonical = F.when(F.col("ts").isNotNull(), canonical_url(F.col("url")))
     own, span, full, near, last, before = (free_name(records, n) for n in ("_key", "_range", "_full", "_near", "_last", "_carried"))
     # A row that can match nothing gets a key of its own, so that no window gathers such rows.
