@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -267,6 +268,56 @@ def random_null(spark: SparkSession, dim: int, n_modes: int, draws: int = DRAWS,
     return spark.range(0, len(starts), 1, min(len(starts), 256)).mapInArrow(run, "draw long, rmsip double, correlations array<double>")
 
 
+def random_overlaps(structures: DataFrame, draws: int, seed: int = SEED) -> DataFrame:
+    """structure, draw, rmsip: each subspace (structure, modes: array of modes) against random frames of its own size.
+
+    A structure's draws come from a stream of its own, seeded by its name.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, modes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = modes.values.flatten().to_numpy(zero_copy_only=False).reshape(len(modes.values), -1).T
+                rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
+                got = [rmsip(np.linalg.qr(rng.standard_normal(own.shape))[0], own) for _ in range(draws)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * draws), pa.array(range(draws), pa.int64()), pa.array(got)], ["structure", "draw", "rmsip"])
+
+    return structures.select("structure", "modes").mapInArrow(run, "structure string, draw long, rmsip double")
+
+
+def unrelated_tests(pairs: DataFrame, alpha: float = ALPHA, draws: int = DRAWS, block: int | None = 250) -> DataFrame:
+    """left, right, rmsip and the test of each pair (left, right, u, v: arrays of modes) against random frames of their size.
+
+    All subspaces have one size; the null is drawn and summed up once, in a row that holds its `draws` values.
+    """
+    spark = pairs.sparkSession
+    size = pairs.select(F.size("u").alias("n"), F.size(F.get("u", F.lit(0))).alias("dim")).distinct().limit(2).collect()
+    if len(size) > 1:
+        raise ValueError("subspaces of different sizes have different nulls")
+    schema = "left string, right string, rmsip double, cosines array<double>"
+    if not size:
+        pairs, size = pairs.limit(0), [(1, 1)]
+    n, dim = size[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = []
+            for u, v in zip(b.column(2), b.column(3), strict=True):
+                a, c = (m.values.flatten().to_numpy(zero_copy_only=False).reshape(len(m.values), -1) for m in (u, v))
+                cells.append(correlations(a.T, c.T))
+            values = pa.array([float(np.sqrt(np.square(x).sum() / n)) for x in cells], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), values, pa.array([x.tolist() for x in cells], pa.list_(pa.float64()))], ["left", "right", "rmsip", "cosines"])
+
+    observed = pairs.select("left", "right", "u", "v").mapInArrow(run, schema)
+    marks = F.array(*[F.percentile(F.get("correlations", F.lit(i)), 0.99) for i in range(n)])
+    null = random_null(spark, dim, n, draws, block=block).agg(F.avg("rmsip").alias("null_mean"), F.stddev_pop("rmsip").alias("null_sd"), F.percentile("rmsip", 1.0 - alpha).alias("reject_threshold"), F.collect_list("rmsip").alias("_draws"), marks.alias("_marks"))
+    got = observed.crossJoin(null)  # one row
+    exceed = F.size(F.filter("_draws", lambda d: d >= F.col("rmsip")))
+    above = F.size(F.filter(F.zip_with("cosines", "_marks", lambda c, m: c > m), lambda x: x))
+    z = F.try_divide(F.col("rmsip") - F.col("null_mean"), F.col("null_sd"))
+    return got.select("left", "right", F.lit(LEGACY_TEST_ID).alias("test_id"), "rmsip", "null_mean", "null_sd", "reject_threshold", z.alias("z_score"), ((exceed + 1) / (draws + 1)).alias("p_value_upper_bound"), above.alias("modes_above_null_99"), (F.col("rmsip") > F.col("reject_threshold")).alias("h0_rejected"))
+
+
 def compared(null: DataFrame, observed: DataFrame, keys: list[str], value: str = "rmsip", draws_fit: bool = False) -> DataFrame:
     """observed (keys, observed) with the null's mean, population deviation, maximum, z, p bound and verdict (strictly beyond every draw).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -143,23 +144,36 @@ def containing(docs: DataFrame, tokens: DataFrame, token_id: str, doc_id: str =
 
     def block(b: int) -> DataFrame:
         part = [tuple(r) for r in low.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()]
-        return src.mapInArrow(_matcher(spark.sparkContext.broadcast(part), doc_id, token_id, id_type), kinds)
+        return src.mapInArrow(_matcher(spark.sparkContext.broadcast((uuid.uuid4().hex, part)), doc_id, token_id, id_type), kinds)
 
     return reduce(DataFrame.union, map(block, range(blocks)))
 
 
-def _matcher(sent, doc_id: str, token_id: str, id_type):
-    def run(batches):
+_built: dict[str, tuple] = {}
+
+
+def _automaton(name: str, tokens: list[tuple]) -> tuple:
+    """(ids of the empty token, ids by token, automaton) of a block of tokens, built once in a process; an earlier block's makes room."""
+    if name not in _built:
         import ahocorasick
-        import pyarrow as pa
 
         of: dict[str, list] = {}
-        for i, t in sent.value:
+        for i, t in tokens:
             of.setdefault(t, []).append(i)
         always, words = of.pop("", []), ahocorasick.Automaton()
         for t, ids in of.items():
             words.add_word(t, ids)
         words.make_automaton()
+        _built.clear()
+        _built[name] = always, of, words
+    return _built[name]
+
+
+def _matcher(sent, doc_id: str, token_id: str, id_type):
+    def run(batches):
+        import pyarrow as pa
+
+        always, of, words = _automaton(*sent.value)
         for b in batches:
             at, found = [], []
             for k, text in enumerate(b.column(1)):

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.scalars import minimum_image
@@ -249,20 +249,30 @@ def fitted_clock(msd: DataFrame, dt: DataFrame) -> DataFrame:
     return fits.withColumn("elapsed_ps", F.when(F.col("slope") > 0, F.col("total") / F.col("slope")).otherwise(0.0))
 
 
+def facts(frames: DataFrame, tracers: str = "tracer_nm") -> DataFrame:
+    """traj_id, n_frames, n_tracers, dt: the time between the first two frames."""
+    got = frames.groupBy("traj_id").agg(
+        F.count("*").alias("n_frames"),
+        F.max((F.greatest(F.coalesce(F.size(tracers), F.lit(0)), F.lit(0)) / 3).cast("int")).alias("n_tracers"),
+        F.array_sort(F.array_agg(F.when(F.col("frame") < 2, F.struct("frame", "time_ps")))).alias("t"),
+    )
+    time = lambda i: F.get("t", F.lit(i))["time_ps"]
+    return got.select("traj_id", "n_frames", "n_tracers", (time(1) - time(0)).alias("dt"))
+
+
+def guard(n_tracers: Column, n_frames: Column) -> Column:
+    """Why a trajectory's clock can't be read, or null."""
+    return F.when(n_tracers < FEWEST_TRACERS, F.format_string("only %d solvent atoms", n_tracers)).when(n_frames < FEWEST_FRAMES, F.format_string("only %d frames", n_frames))
+
+
 def clocks(frames: DataFrame, tracers: str = "tracer_nm", most: int = MOST_LAGS, longest: int | None = None) -> DataFrame:
     """Elapsed time by diffusion for each trajectory (traj_id, frame, time_ps, box, tracer_nm: flat xyz).
 
     measurable, reason, elapsed_ps, total_msd_nm2, diffusion_1e5_cm2_s, frame_interval_ps, n_tracers.
     """
-    facts = frames.groupBy("traj_id").agg(
-        F.count("*").alias("n_frames"),
-        F.max((F.coalesce(F.size(tracers), F.lit(0)) / 3).cast("int")).alias("n_tracers"),
-        F.array_sort(F.array_agg(F.when(F.col("frame") < 2, F.struct("frame", "time_ps")))).alias("t"),
-    )
-    dt = F.col("t")[1]["time_ps"] - F.col("t")[0]["time_ps"]
-    fits = fitted_clock(msd_of(walk_sums(frames, tracers, most, longest)), facts.select("traj_id", dt.alias("dt")))
-    reason = F.when(F.col("n_tracers") < FEWEST_TRACERS, F.format_string("only %d solvent atoms", "n_tracers")).when(F.col("n_frames") < FEWEST_FRAMES, F.format_string("only %d frames", "n_frames"))
-    out = facts.join(fits, "traj_id", "left").withColumn("reason", reason)
+    known = facts(frames, tracers)
+    fits = fitted_clock(msd_of(walk_sums(frames, tracers, most, longest)), known.select("traj_id", "dt"))
+    out = known.join(fits, "traj_id", "left").withColumn("reason", guard(F.col("n_tracers"), F.col("n_frames")))
     ok = F.col("reason").isNull()
     return out.select(
         "traj_id",
@@ -271,7 +281,7 @@ def clocks(frames: DataFrame, tracers: str = "tracer_nm", most: int = MOST_LAGS,
         F.when(ok, F.col("elapsed_ps")).alias("elapsed_ps"),
         F.when(ok, F.col("total")).alias("total_msd_nm2"),
         F.when(ok, F.col("slope") / 6 * 1e3).alias("diffusion_1e5_cm2_s"),
-        F.when(ok, dt).alias("frame_interval_ps"),
+        F.when(ok, F.col("dt")).alias("frame_interval_ps"),
         "n_tracers",
     )
 

@@ -201,6 +201,30 @@ def pdb_parse(t):
     return parse_atoms(files).select(F.col("file").alias("ordinal_key"), "ordinal", "chain", "resid", "atom_name", "x", "element", "resname")
 
 
+@query("SELECT s_nationkey AS file, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS ordinal, s_suppkey::VARCHAR AS resid, s_acctbal::DECIMAL(18,3)::DOUBLE AS x FROM supplier")
+def pdb_ordinals(t):
+    """A file for each nation, an atom for each supplier, other records between them."""
+    record = F.when(F.col("s_suppkey") % 3 == 0, "HETATM").otherwise("ATOM  ")
+    line = F.concat(record, F.format_string("%5d  CA  ALA A%4d    %8.3f%8.3f%8.3f  1.00  0.00           C\n", F.col("s_suppkey") % 100000, F.col("s_suppkey"), "s_acctbal", F.lit(0.0), F.lit(0.0)), F.when(F.col("s_suppkey") % 4 == 0, "ANISOU x\nTER\n").otherwise(""))
+    files = t.supplier.groupBy(F.col("s_nationkey").alias("file")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))).alias("rows"))
+    return parse_atoms(files.select("file", F.concat(F.lit("REMARK\n"), F.array_join("rows.line", "")).alias("value"))).select("file", F.col("ordinal").cast("long").alias("ordinal"), "resid", "x")
+
+
+@query("SELECT p_partkey, ['HOH', 'TIP3', 'ALA', 'HSE', 'LIG'][p_size % 5 + 1] IN ('HOH', 'TIP3') AND p_partkey % 3 = 0 AS water_oxygen, ['HOH', 'TIP3', 'ALA', 'HSE', 'LIG'][p_size % 5 + 1] IN ('ALA', 'HSE') AS protein FROM part")
+def solvent_and_protein(t):
+    of = lambda names, i: F.get(F.array(*map(F.lit, names)), i)
+    resname, atom = of(("HOH", "TIP3", "ALA", "HSE", "LIG"), F.col("p_size") % 5), of(("O", "OW", "CA"), (F.col("p_partkey") % 3).cast("int"))
+    return t.part.select("p_partkey", fn.is_water_oxygen(resname, atom).alias("water_oxygen"), fn.is_protein(resname).alias("protein"))
+
+
+@query("SELECT user_id, count(*) AS checks, (sum((props->>'k')::INTEGER))::BIGINT AS total, max((props->>'k')::INTEGER) AS most, count_if((props->'missing') IS NOT NULL)::BIGINT AS other FROM events GROUP BY 1")
+def json_parameters(t):
+    """Parameters of checks as a map, by name."""
+    given = F.from_json("props", "map<string,int>")
+    rows = t.events.select("user_id", F.element_at(given, "k").alias("k"), F.map_contains_key(given, F.lit("missing")).alias("m"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("checks"), F.sum("k").alias("total"), F.max("k").alias("most"), F.count_if("m").alias("other"))
+
+
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))")
 def leak_scan(t):
     return relational.containing(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("token")), "item_id")
@@ -264,6 +288,15 @@ def clock_elapsed(t):
     return fit.select(F.round("slope", 3).alias("slope"), F.round("total", 3).alias("total_msd"), F.round("elapsed_ps", 4).alias("elapsed"))
 
 
+@query("WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame FROM events), g AS (SELECT user_id, count(*) AS n_frames, (user_id % 150)::INTEGER AS n_tracers, (max(event_id) FILTER (frame = 1) - max(event_id) FILTER (frame = 0))::DOUBLE AS dt FROM f WHERE event_id % 9 <> 0 OR frame < 2 GROUP BY user_id) SELECT user_id::VARCHAR AS traj_id, n_frames, n_tracers, dt, CASE WHEN n_tracers < 100 THEN 'only ' || n_tracers || ' solvent atoms' WHEN n_frames < 5 THEN 'only ' || n_frames || ' frames' END AS reason FROM g")
+def clock_facts(t):
+    """What a clock needs to know of each user's events as frames, and why it can't be read."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = t.events.withColumn("frame", F.row_number().over(w) - 1).where("event_id % 9 <> 0 OR frame < 2")
+    frames = rows.select(F.col("user_id").cast("string").alias("traj_id"), "frame", F.col("event_id").cast("double").alias("time_ps"), F.array_repeat("value", (F.col("user_id") % 150 * 3).cast("int")).alias("tracer_nm"))
+    return series.facts(frames).withColumn("reason", series.guard(F.col("n_tracers"), F.col("n_frames")))
+
+
 @query("SELECT vec_id::INTEGER AS frame, round(sqrt(var_pop(embedding[3*i+1]::DOUBLE) + var_pop(embedding[3*i+2]::DOUBLE) + var_pop(embedding[3*i+3]::DOUBLE)), 8) AS rg FROM embeddings, range(0, 21) r(i) GROUP BY vec_id")
 def gyration_by_frame(t):
     frames = vectors(t).select("traj_id", "frame", F.col("xyz").alias("protein_nm"))
@@ -524,7 +557,9 @@ def anm_null(t):
 
 @query()
 def random_null(t):
-    return nulls.random_null(t.spark, 63, 10, 2000)
+    """Each label's subspace against 200 random frames."""
+    spaces = linalg.essential_subspaces(vectors(t), _targets(t))
+    return nulls.random_overlaps(linalg.mode_table(spaces).withColumnRenamed("traj_id", "structure"), 200)
 
 
 @query()
@@ -540,10 +575,11 @@ def beyond_structure_test(t):
 
 @query()
 def unrelated_test(t):
-    spaces = linalg.essential_subspaces(vectors(t), _targets(t)).cache()
-    got = nulls.test_unrelated(t.spark, linalg.frame_of(spaces, "label0"), linalg.frame_of(spaces, "label1"))
-    rows = [tuple(got[k] for k in ("test_id", "rmsip", "null_mean", "null_sd", "reject_threshold", "z_score", "p_value_upper_bound", "modes_above_null_99", "h0_rejected"))]
-    return t.spark.createDataFrame(rows, "test_id string, rmsip double, null_mean double, null_sd double, reject_threshold double, z_score double, p_value_upper_bound double, modes_above_null_99 int, h0_rejected boolean")
+    """Each label's subspace against the first label's, tested against random frames."""
+    modes = linalg.mode_table(linalg.essential_subspaces(vectors(t), _targets(t))).cache()
+    first = modes.where("traj_id = 'label0'").select(F.col("traj_id").alias("right"), F.col("modes").alias("v"))
+    pairs = modes.where("traj_id <> 'label0'").select(F.col("traj_id").alias("left"), F.col("modes").alias("u")).crossJoin(first)  # one reference
+    return nulls.unrelated_tests(pairs)
 
 
 def tracers(t: Tables) -> DataFrame:

@@ -84,3 +84,32 @@ def test_completion_stream(spark, tmp_path):
     (d / "node.json").write_text(json.dumps({"node_type": "prod", "status": "completed"}))
     on_completion(spark, str(tmp_path / "job"), str(tmp_path / "cp"), act, once=True).awaitTermination()
     assert seen == ["n0", "n2"]
+
+
+def test_jobs_are_handed_on_once_when_all_their_nodes_are_complete(spark, tmp_path):
+    from framewright.streaming import nodes
+
+    def node(job, name, kind, status="completed"):
+        folder = tmp_path / "jobs" / job / "nodes" / name
+        folder.mkdir(parents=True)
+        (folder / "node.json").write_text(json.dumps({"node_type": kind, "status": status}))
+
+    for job in ("a", "b", "c"):
+        node(job, "prep_1", "prep")
+        node(job, "topo_1", "topo")
+    node("a", "prod_1", "prod")
+    node("b", "prod_1", "prod", "failed")
+    got = []
+
+    def follow():
+        query = nodes.ready_jobs(spark, str(tmp_path / "jobs")).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "at")).foreachBatch(lambda df, _: got.extend(tuple(x.rsplit("/jobs/", 1)[1] for x in r) for r in df.collect())).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    follow()
+    assert got == [("a", "a/nodes/prep_1", "a/nodes/topo_1", "a/nodes/prod_1")]
+    node("a", "prod_2", "prod")
+    node("b", "prod_2", "prod")
+    node("b", "prep_2", "prep")
+    node("d", "prod_1", "prod")
+    follow()
+    assert got[1:] == [("b", "b/nodes/prep_2", "b/nodes/topo_1", "b/nodes/prod_2")]
