@@ -382,6 +382,30 @@ def hessian_blocks(t):
     return p.groupBy("site").agg(h("x", "x").alias("hxx"), h("x", "y").alias("hxy"), h("z", "z").alias("hzz"))
 
 
+_NETWORK = """WITH f AS (SELECT label, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+s AS (SELECT label, i, embedding[3*i+1]::DOUBLE AS x, embedding[3*i+2]::DOUBLE AS y, embedding[3*i+3]::DOUBLE AS z FROM f, range(0, 21) r(i)),
+p AS (SELECT a.label, a.i, b.i AS j, [a.x-b.x, a.y-b.y, a.z-b.z] AS d, power(a.x-b.x, 2) + power(a.y-b.y, 2) + power(a.z-b.z, 2) AS sq FROM s a JOIN s b ON a.label = b.label),
+o AS (SELECT label, i, j, a, b, -d[a+1] * d[b+1] / sq AS v FROM p, range(0, 3) q(a), range(0, 3) w(b) WHERE sq > 0 AND sq <= 0.45 * 0.45),
+e AS (SELECT * FROM o UNION ALL SELECT label, i, i, a, b, -sum(v) FROM o GROUP BY label, i, a, b)
+SELECT 'label' || label AS structure, (3 * i + a)::INTEGER AS i, (3 * j + b)::INTEGER AS j, round(v, 8) AS dense, round(v, 8) AS sparse FROM e WHERE abs(v) > 1e-6"""
+
+
+@query(_NETWORK)
+def network_hessian(t):
+    """The network of each label's first frame, as a dense matrix and by the sparse network's products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, flat in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                coords = flat.values.to_numpy(zero_copy_only=False).reshape(-1, 3)
+                dense, sparse = nulls.hessian(coords, 0.45), nulls.SparseNetwork(coords, 0.45).times(np.eye(coords.size))
+                i, j = np.nonzero(np.maximum(np.abs(dense), np.abs(sparse)) > 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(i)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(dense[i, j]), pa.array(sparse[i, j])], ["structure", "i", "j", "dense", "sparse"])
+
+    got = _targets(t).select("traj_id", "aim").mapInArrow(run, "structure string, i int, j int, dense double, sparse double")
+    return got.withColumns({c: F.round(c, 8) + F.lit(0.0) for c in ("dense", "sparse")})
+
+
 @query("SELECT event_type, observed, round(avg(value), 8) AS null_mean, round(stddev_pop(value), 8) AS null_sd, max(value) AS null_max, round((observed - avg(value)) / stddev_pop(value), 8) AS z_score, round((count_if(value >= observed) + 1) / (count(*) + 1), 10) AS p_value_upper_bound, observed > max(value) AS h0_rejected FROM events JOIN (SELECT event_type, quantile_cont(value, 0.99) AS observed FROM events GROUP BY 1) USING (event_type) GROUP BY 1, 2")
 def null_summary(t):
     observed = t.events.groupBy("event_type").agg(F.percentile("value", 0.99).alias("observed"))
