@@ -116,17 +116,20 @@ def _sum_rows(traj: str, rows: list[tuple[int, int, float]]) -> pa.Table:
     return pa.table({"traj_id": pa.array([traj] * len(rows), pa.string()), "lag": pa.array(lag, pa.int32()), "n": pa.array(n, pa.int64()), "total": pa.array(total, pa.float64())})
 
 
-def _whole(dealt: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """Lag sums with all frames of a block of tracers in one task."""
+def _whole(dealt: DataFrame, sizes: DataFrame | None, most: int) -> DataFrame:
+    """Lag sums with all frames of a block of tracers in one task; without sizes each block has its trajectory's every frame."""
+
+    every = sizes is None
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        traj, n = key[0].as_py(), part["n_frames"][0].as_py()
+        traj, n = key[0].as_py(), part.num_rows if every else part["n_frames"][0].as_py()
         box, xyz = _places(part)
         walk = np.cumsum(_near(np.diff(xyz, axis=0), box[1:, None, None]), axis=0)
         rows = [(0, *_ends(walk, np.ones(walk.shape[1], dtype=bool)))] if len(walk) else []
         return _sum_rows(traj, rows + [(k, *_pair_sum(walk[:-k], walk[k:])) for k in lags_for(n, most) if k < len(walk)])
 
-    return dealt.join(sizes, "traj_id").groupBy("traj_id", "b").applyInArrow(run, _SUMS)
+    rows = dealt if every else dealt.join(sizes, "traj_id")
+    return rows.groupBy("traj_id", "b").applyInArrow(run, _SUMS)
 
 
 def _edges(key: tuple, part: pa.Table) -> pa.Table:
@@ -224,10 +227,12 @@ def lag_sums(dealt: DataFrame, most: int = MOST_LAGS, length: int = RANGE, longe
 
     A tracer counts from frame 0 until it is first missing. Trajectories of up to `length` frames go through one task for
     each block of tracers; longer ones through time ranges, so a task's memory is set by the range. longest: frames of
-    the longest trajectory, if known.
+    the longest trajectory, if known, and then every block of a trajectory has all its frames.
     """
+    if longest is not None and longest <= length:
+        return _whole(dealt, None, most)
     sizes = dealt.groupBy("traj_id").agg(F.count_distinct("frame").alias("n_frames"))
-    if longest is not None and longest <= length or longest is None and not sizes.where(F.col("n_frames") > length).take(1):
+    if not sizes.where(F.col("n_frames") > length).take(1):
         return _whole(dealt, sizes, most)
     long = sizes.where(F.col("n_frames") > length)
     return _whole(dealt, sizes.where(F.col("n_frames") <= length), most).union(_ranged(dealt, long, most, length))
