@@ -42,6 +42,8 @@ _TABLE = bytes(_MARK[0] if c in BREAKS else 0x20 if c == 0x09 else c for c in ra
 BLOCK = 1 << 20
 #: A shard is closed beyond so many tokens or bytes.
 SHARD_TOKENS, SHARD_BYTES = 1 << 21, 16 << 20
+#: Languages whose shards a task fills side by side.
+OPEN_SHARDS = 64
 #: Sampled texts and windows of each, for the boundaries; windows of a range, roughly; the most ranges.
 SAMPLE_TEXTS, SAMPLE_WINDOWS, RANGE_WINDOWS, MAX_RANGES = 4096, 32, 4 << 20, 20_000
 #: Windows that wait for a merge, or half as many as have been merged.
@@ -346,14 +348,17 @@ def runs(texts: DataFrame, bounds: Bounds) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, Shard] = {}
+        size = 0
         for b in batches:
             langs = b.column(0).to_pylist()
             for s, texts_ in slices(b.column(1)):
                 for i, text in enumerate(texts_):
                     shard = shards.setdefault(langs[s + i], Shard())
                     shard.add(text)
-                    if shard.full() or len(shards) > 1 and sum(x.bytes for x in shards.values()) >= 2 * SHARD_BYTES:
+                    size += len(text)
+                    if shard.full() or len(shards) > OPEN_SHARDS or size >= 2 * SHARD_BYTES:
                         full = max(shards, key=lambda k: shards[k].bytes)
+                        size -= shards[full].bytes
                         yield from batch(full, shards.pop(full))
         for lang in list(shards):
             yield from batch(lang, shards.pop(lang))

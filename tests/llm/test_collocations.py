@@ -42,7 +42,7 @@ def texts(seed, n):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in (("BLOCK", 64), ("SHARD_TOKENS", 150), ("RANGE_WINDOWS", 40), ("MERGE_WINDOWS", 100)):
+    for name, value in (("BLOCK", 64), ("SHARD_TOKENS", 150), ("RANGE_WINDOWS", 40), ("MERGE_WINDOWS", 100), ("OPEN_SHARDS", 3)):
         monkeypatch.setattr(op, name, value)
 
 
