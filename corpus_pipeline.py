@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its
 result is written as Parquet and reread as the next stage's docs.
+
+Nulls and rows, in every stage: a null text counts as empty (without features, of fingerprint zero, holding no item
+and no personal data, packed as its end id) and stays null where texts are returned; a row with a null id is
+judged by its own text like any other; repeated rows are each judged, and stage 2 leaves one of equal texts; a score
+that equals the threshold keeps its document, of a near-duplicate class the smallest id stays and then the earliest row;
+texts of any length are taken whole, in blocks; an empty table gives an empty table of the same columns; further
+columns, whatever their names, go along unchanged up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
