@@ -20,8 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or context.getCheckpointDir().get()).rstrip("/")
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table: its lineage ends here, and Spark knows the table's size when it plans a join."""
     path = f"{shared_dir(df.sparkSession)}/framewright-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the work tables that this process has written, which results still read until then; how many there were."""
+    found = len(_made)
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return found

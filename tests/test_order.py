@@ -65,3 +65,12 @@ def test_projections_are_the_fitted_frames_along_their_modes(spark):
     fitted = linalg.fit_iteratively(x, base).reshape(60, -1)
     values = np.linalg.eigvalsh(np.cov(fitted.T, bias=True))[::-1][:4]
     assert len(rows) == 240 and np.allclose(got.var(axis=0), values, rtol=1e-6) and np.allclose(got.mean(axis=0), 0, atol=1e-9)
+
+
+def test_work_tables_are_deleted_on_demand(spark):
+    from framewright.functions import work
+
+    table = work.written(spark.range(5), "cleaned")
+    assert table.count() == 5 and work.clean(spark) >= 1 and work.clean(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        spark.read.parquet(work.shared_dir(spark) + "/framewright-cleaned-*").count()
