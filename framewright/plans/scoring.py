@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import json
 import math
-import os
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.scalars import is_protein, is_water_oxygen
 from framewright.operators import linalg, nulls, relational, series
-from framewright.sources import bundles, frames, jobs, pdb
+from framewright.sources import bundles, files, frames, jobs, pdb
 
 RESULT = "at int, check_id string, status string, passed boolean, detail string"
 
@@ -49,13 +47,16 @@ class Contract:
 
     def __init__(self, spark: SparkSession, bundle: str, task: dict):
         atoms = pdb.read_pdb(spark, f"{bundle}/reference.pdb")
-        self.indices = json.loads(Path(bundle, "pca_atom_indices.json").read_text())["atom_indices"]
+        with files.seekable(f"{bundle}/pca_atom_indices.json") as f:
+            self.indices = json.loads(f.read())["atom_indices"]
         index = spark.createDataFrame([(self.indices,)], "atom_indices array<int>")
         self.keys = relational.contract_keys(atoms, index).orderBy("k").cache()
         self.coords = np.array([(r.x, r.y, r.z) for r in self.keys.collect()])
         n = task["reference"]["reference_system"]["PROTATS"]
         got = frames.read_f32(spark, f"{bundle}/reference_frames.f32", n, self.indices).withColumn("traj_id", F.lit("reference"))
-        size = os.path.getsize(f"{bundle}/reference_frames.f32") // (12 * n)
+        with files.seekable(f"{bundle}/reference_frames.f32") as f:
+            f.seek(0, 2)
+            size = f.tell() // (12 * n)
         self.subspaces = linalg.essential_subspaces(got, {"reference": self.coords}, sizes={"reference": size}).cache()
         self.modes = linalg.frame_of(self.subspaces, "reference")
         self._null = None
