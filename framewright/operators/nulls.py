@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -9,8 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .linalg import MODES, correlations, rmsip
+from framewright.functions.work import written
+
+from .linalg import MODES, correlations, rmsip, summed
 
 TEST_ID = "subspace_beyond_structure@1"
 LEGACY_TEST_ID = "subspace_unrelated@1"
@@ -394,3 +398,163 @@ def contacts(sites: DataFrame, cutoff: float) -> DataFrame:
     right = left.withColumn("d", F.explode(near)).select("structure", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), (F.col("cz") + F.col("d.k")).alias("cz"), F.col("site").alias("other"), *[F.col(a).alias(f"o{a}") for a in "xyz"])
     square = sum(F.pow(F.col(a) - F.col(f"o{a}"), F.lit(2)) for a in "xyz")
     return left.join(right, ["structure", "cx", "cy", "cz"]).withColumn("square", square).where((F.col("square") > 0) & (F.col("square") <= cutoff * cutoff)).select("structure", "site", "other", "square")
+
+
+#: Sites of a block, and pairs of a strip: a task holds two blocks and a few numbers for each pair of a strip.
+SITES, STRIP = 4096, 1 << 15
+_CELL = ["structure", "cx", "cy", "cz"]
+
+
+def site_blocks(sites: DataFrame, width: float, most: int = SITES) -> DataFrame:
+    """block, structure, cx, cy, cz, part, x, y, z, n: the places of a grid cell in parts of about `most`, with the sites at each.
+
+    Sites without a structure or with a coordinate that is missing or not finite touch nothing and are left out. A written table.
+    """
+    finite = [F.abs(F.col(a)) < float("inf") for a in "xyz"]
+    places = sites.where(F.col("structure").isNotNull() & finite[0] & finite[1] & finite[2]).groupBy("structure", "x", "y", "z").agg(F.count("*").alias("n"))
+    cells = places.withColumns({f"c{a}": F.floor(F.col(a) / width) for a in "xyz"})
+    parts = cells.groupBy(*_CELL).agg(F.ceil(F.count("*") / most).alias("parts"))
+    dealt = cells.join(parts, _CELL).withColumn("part", F.pmod(F.xxhash64("x", "y", "z"), "parts"))
+    rows = dealt.groupBy(*_CELL, "part").agg(F.collect_list(F.struct("x", "y", "z", "n")).alias("s"))
+    return written(rows.select(F.monotonically_increasing_id().alias("block"), *_CELL, "part", *[F.col(f"s.{c}").alias(c) for c in "xyzn"]), "site-blocks")
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """a, b, side, structure, x, y, z, n: each pair of blocks in the same or adjoining cells, once, as two rows (a block with itself: one).
+
+    Pairs are named first and dealt out evenly, whatever cells they are of; the rows of a pair come one after the other.
+    """
+    names = blocks.select(*_CELL, "part", "block")
+    half = [d for d in itertools.product((-1, 0, 1), repeat=3) if d >= (0, 0, 0)]
+    near = F.explode(F.array(*[F.struct(*[F.lit(i).alias(f"c{a}") for i, a in zip(d, "xyz", strict=True)]) for d in half]))
+    right = names.withColumn("d", near).select("structure", *[(F.col(f"c{a}") + F.col(f"d.c{a}")).alias(f"c{a}") for a in "xyz"], F.col("block").alias("b"), F.when((F.col("d.cx") == 0) & (F.col("d.cy") == 0) & (F.col("d.cz") == 0), F.col("part")).alias("own"))
+    pairs = names.join(right, _CELL).where(F.col("own").isNull() | (F.col("part") <= F.col("own"))).select(F.col("block").alias("a"), "b")
+    ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    laid = pairs.select("a", "b", F.posexplode(ends).alias("side", "block")).join(blocks.select("block", "structure", *"xyzn"), "block")
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return laid.select("a", "b", "side", "structure", *"xyzn").repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "side")
+
+
+def _facing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """structure, a, b, left, right of each pair of blocks; left and right: places (3, sites) and sites at each, right None for a block with itself."""
+    left = None
+    for batch in batches:
+        for i, (a, b, side, structure) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+            cells = [batch.column(k)[i].values.to_numpy() for k in range(4, 8)]
+            here = np.stack(cells[:3]), cells[3]
+            if a == b:
+                yield structure, a, b, here, None
+            elif side:
+                yield structure, a, b, left, here
+            else:
+                left = here[0].copy(), here[1].copy()
+
+
+def _strips(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of left, gaps (3, rows, right) and their squares for strips of about STRIP pairs."""
+    rows = max(1, STRIP // right.shape[1])
+    for s in range(0, left.shape[1], rows):
+        gap = right[:, None] - left[:, s : s + rows, None]
+        square = np.square(gap[0])
+        square += np.square(gap[1])
+        square += np.square(gap[2])
+        yield slice(s, s + rows), gap, square
+
+
+class Ladder:
+    """How many of ascending limits, the first of them 0, are below a number: by a fine table, and by search where a limit falls in the table's step."""
+
+    def __init__(self, limits: np.ndarray, fineness: int = 1 << 14):
+        self.limits, self.top = limits, fineness
+        self.scale = (fineness - 1) / limits[-1]
+        steps = (limits * self.scale).astype(np.int64)
+        self.below = np.searchsorted(steps, np.arange(fineness + 1), "left")
+        self.split = np.zeros(fineness + 1, dtype=bool)
+        self.split[steps] = True
+
+    def rungs(self, x: np.ndarray) -> np.ndarray:
+        step = np.minimum(x * self.scale, self.top).astype(np.int64)
+        out = self.below[step]
+        unsure = np.flatnonzero(self.split[step])
+        out[unsure] = np.searchsorted(self.limits, x[unsure], "left")
+        return out
+
+
+def contact_counts(sites: DataFrame, cutoffs: list[float], most: int = SITES) -> DataFrame:
+    """structure, cutoff, contacts: ordered pairs of sites (structure, x, y, z) with 0 < distance <= cutoff, where there are any.
+
+    Places in reach are compared block by block within tasks, all cutoffs at once, and only counts leave them. The work is that of
+    the pairs of places in adjoining cells of the largest cutoff: linear for structures of a steady density, else quadratic.
+    """
+    wanted = sorted(set(cutoffs))
+    ladder = np.array([0.0, *(c**2 for c in wanted)])
+    blocks = site_blocks(sites, wanted[-1] * (1 + 1e-9), most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale, found = Ladder(ladder), {}
+        for structure, _, _, (x, n), other in _facing(batches):
+            y, m = (x, n) if other is None else other
+            total, single = np.zeros(len(ladder) + 1, dtype=np.int64), n.max() == m.max() == 1
+            for rows, _, square in _strips(x, y):
+                rungs = scale.rungs(square.ravel())
+                if single:
+                    total += np.bincount(rungs, minlength=len(total))
+                else:
+                    each = np.outer(n[rows], m).ravel()
+                    for k in np.flatnonzero(np.bincount(rungs, minlength=len(total))):
+                        total[k] += each[rungs == k].sum()
+            if structure not in found and len(found) == 1000:
+                yield rows_of(found)
+                found.clear()
+            found[structure] = found.get(structure, 0) + total[1:-1] * (1 if other is None else 2)
+        if found:
+            yield rows_of(found)
+
+    def rows_of(found: dict) -> pa.RecordBatch:
+        counts = np.array([c.cumsum() for c in found.values()])
+        names = pa.array(np.repeat(np.arange(len(found)), len(wanted)))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), kind).take(names), pa.array(np.tile(wanted, len(found))), pa.array(counts.ravel())], ["structure", "cutoff", "contacts"])
+
+    field = blocks.schema["structure"].dataType
+    kind = to_arrow_type(field)
+    got = block_pairs(blocks).mapInArrow(run, f"structure {field.simpleString()}, cutoff double, contacts long")
+    return got.groupBy("structure", "cutoff").agg(F.sum("contacts").alias("contacts")).where("contacts > 0")
+
+
+#: Pairs of axes of a site's own block of the Hessian.
+AXES = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def site_hessians(sites: DataFrame, cutoff: float, most: int = SITES) -> DataFrame:
+    """structure, site, hxx, hxy, hxz, hyy, hyz, hzz: each site's own block of the network's Hessian; sites without contacts have none.
+
+    Blocks of places meet within tasks, and a task returns one sum for each block of a pair; sites at the same place share theirs.
+    """
+    blocks = site_blocks(sites, cutoff * (1 + 1e-9), most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a, b, (x, n), other in _facing(batches):
+            y, m = (x, n) if other is None else other
+            mine, theirs = np.zeros((len(AXES) + 1, len(n))), np.zeros((len(AXES) + 1, len(m)))
+            for rows, gap, square in _strips(x, y):
+                touch = (square > 0) & (square <= cutoff * cutoff)
+                if not touch.any():
+                    continue
+                weight = touch / np.where(touch, square, 1.0)
+                for k, part in enumerate([*(gap["xyz".index(i)] * gap["xyz".index(j)] * weight for i, j in AXES), touch]):
+                    mine[k, rows] = part @ m
+                    if other is not None:
+                        theirs[k] += n[rows] @ part
+            for block, total in ((a, mine), (b, theirs)):
+                if total[-1].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0], pa.int32()), pa.array([1]), pa.array([total.tobytes()])], ["block", "slot", "n", "v"])
+
+    def finish(block: int, n: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([row.tolist()]) for row in total.reshape(len(AXES) + 1, -1))], names)
+
+    names = ["block", *(f"h{c}" for c in AXES), "touching"]
+    parts = block_pairs(blocks).mapInArrow(run, "block long, slot int, n long, v binary")
+    sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(summed(finish), "block long, " + ", ".join(f"{c} array<double>" for c in names[1:]))
+    each = blocks.select("block", "structure", "x", "y", "z").join(sums, "block").select("structure", F.explode(F.arrays_zip("x", "y", "z", *names[1:])).alias("p"))
+    known = each.where("p.touching > 0").select("structure", *[F.col(f"p.{c}").alias(c) for c in ("x", "y", "z", *names[1:-1])])
+    return sites.join(known, ["structure", "x", "y", "z"]).select("structure", "site", *names[1:-1])

@@ -367,19 +367,13 @@ def _sites(t: Tables) -> DataFrame:
 
 @query(f"WITH {_SITES} SELECT label AS structure, round((0.05 + 0.01 * k)::DOUBLE, 2) AS cutoff, count(*) AS contacts FROM p, range(0, 27) r(k) WHERE sq > 0 AND sq <= power(0.05 + 0.01 * k, 2) GROUP BY 1, 2")
 def contact_sweep(t):
-    near = nulls.contacts(_sites(t), 0.31).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(26))))
-    cutoff = F.lit(0.05) + F.lit(0.01) * F.col("k")
-    return near.where(F.col("square") <= F.pow(cutoff, F.lit(2))).groupBy("structure", F.round(cutoff, 2).alias("cutoff")).agg(F.count("*").alias("contacts"))
+    return nulls.contact_counts(_sites(t), [round(0.05 + 0.01 * k, 2) for k in range(27)])
 
 
 @query(f"WITH {_SITES} SELECT site, round(sum(dx*dx/sq), 6) AS hxx, round(sum(dx*dy/sq), 6) AS hxy, round(sum(dz*dz/sq), 6) AS hzz FROM p WHERE sq > 0 AND sq <= 0.04 GROUP BY 1")
 def hessian_blocks(t):
-    sites = _sites(t)
-    at = lambda n: sites.select(F.col("site").alias(n), *[F.col(a).alias(f"{n}_{a}") for a in "xyz"])
-    p = nulls.contacts(sites, 0.2).join(at("site"), "site").join(at("other"), "other")
-    d = lambda a: F.col(f"other_{a}") - F.col(f"site_{a}")
-    h = lambda a, b: F.round(F.sum(d(a) * d(b) / F.col("square")), 6)
-    return p.groupBy("site").agg(h("x", "x").alias("hxx"), h("x", "y").alias("hxy"), h("z", "z").alias("hzz"))
+    h = lambda c: F.round(F.sum(c), 6).alias(c)
+    return nulls.site_hessians(_sites(t), 0.2).groupBy("site").agg(h("hxx"), h("hxy"), h("hzz"))
 
 
 _NETWORK = """WITH f AS (SELECT label, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),

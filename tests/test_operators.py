@@ -174,6 +174,42 @@ def test_contacts_equal_all_pairs(spark):
     assert (40, 42) in got and (40, 41) not in got
 
 
+def test_contact_counts_and_site_hessians_by_blocks_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 2, (150, 3)), [[1, 1, 1]] * 5, [[1, 1, 4], [0.0, 0, 0], [-0.0, 0, 0]]])
+    odd = [("s", 900, 1.0, None, 1.0), ("s", 901, math.nan, 1.0, 1.0), ("s", 902, math.inf, 1.0, 1.0), (None, 903, 1.0, 1.0, 1.1)]
+    rows = [("s", i, *map(float, p)) for i, p in enumerate(x)] + [("t", i, *map(float, p)) for i, p in enumerate(x[:3] * 50)] + odd
+    df = spark.createDataFrame(rows, "structure string, site int, x double, y double, z double")
+    square = np.square(x[:, None] - x[None]).sum(-1)
+    cutoffs = [0.5, 3.0, 1.25]
+    got = {(r.structure, r.cutoff): r.contacts for r in nulls.contact_counts(df, cutoffs, most=16).collect()}
+    assert got == {("s", c): int(((square > 0) & (square <= c * c)).sum()) for c in cutoffs}
+    assert got == {(r.structure, r.cutoff): r.contacts for r in nulls.contact_counts(df, cutoffs).collect()}
+    own = nulls.hessian(x, 3.0).reshape(len(x), 3, len(x), 3)
+    for most in (16, nulls.SITES):
+        sums = {(r.structure, r.site): [r[f"h{c}"] for c in nulls.AXES] for r in nulls.site_hessians(df, 3.0, most).collect()}
+        touching = ((square > 0) & (square <= 9)).any(axis=1)
+        assert set(sums) == {("s", int(i)) for i in np.flatnonzero(touching)}
+        assert all(np.allclose(sums["s", i], own[i, :, i][np.triu_indices(3)], atol=1e-9) for i in np.flatnonzero(touching).tolist())
+
+
+def test_contact_sweep_moves_blocks_not_pairs(spark, tmp_path):
+    """3,000 sites of one label have millions of pairs; two rows go out for each pair of blocks in reach, one for a block with itself."""
+    from framewright.plans import queries
+
+    x = np.random.default_rng(7).normal(0, 0.12, (3000, 3)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["contact_sweep"](spark, str(tmp_path))
+    wide = x.astype(np.float64)
+    square = np.square(wide[:, None] - wide[None]).sum(-1)
+    assert {r.cutoff: r.contacts for r in got.collect()} == {c: int(((square > 0) & (square <= c**2)).sum()) for c in (round(0.05 + 0.01 * k, 2) for k in range(27))}
+    sites = spark.createDataFrame([("s", i, *map(float, v)) for i, v in enumerate(wide)], "structure string, site int, x double, y double, z double")
+    blocks = nulls.site_blocks(sites, 0.31)
+    cells = np.array([(r.cx, r.cy, r.cz) for r in blocks.collect()])
+    near = (np.abs(cells[:, None] - cells[None]).max(axis=-1) <= 1).sum()
+    assert blocks.select(F.sum(F.size("x"))).first()[0] == 3000 and nulls.block_pairs(blocks).count() == near
+
+
 def frame_rows(spark, x, box, dt=1.0):
     rows = [("t", k, k * dt, box, v.ravel().tolist()) for k, v in enumerate(x)]
     return spark.createDataFrame(rows, "traj_id string, frame int, time_ps double, box double, tracer_nm array<float>")
