@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.scalars import minimum_image
+from framewright.functions.work import written
 
 AXES = ("x", "y", "z")
 MOST_TRACERS, MOST_LAGS, SEED = 1000, 40, 20260819
@@ -42,8 +43,8 @@ def walks(positions: DataFrame, keys: tuple[str, ...] = ("traj_id", "tracer")) -
     return steps(positions, keys).withColumns({f"w{a}": F.sum(f"d{a}").over(w) for a in AXES})
 
 
-#: Tracers of a block, and frames of a time range: what one task holds is 24 bytes times both.
-BLOCK, RANGE = 64, 16_384
+#: Tracers of a block, and frames of a time range: what one task holds is some ten times 24 bytes times both.
+BLOCK, RANGE = 16, 8_192
 _DEALT = "traj_id string, b long, frame long, box double, at array<int>, xyz array<double>, width int"
 _SUMS = "traj_id string, lag int, n long, total double"
 
@@ -166,8 +167,8 @@ def _carried(most: int):
 
 
 def _walked(part: pa.Table, carry: pa.Table) -> pa.Table:
-    """A range's walk for itself and for each earlier range that needs it."""
-    schema = pa.schema([("traj_id", pa.string()), ("b", pa.int64()), ("early", pa.int64()), ("own", pa.int64()), ("g", pa.int64()), ("n_frames", pa.int64()), ("width", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("walk", pa.binary())])
+    """A range's walk, and the ranges that need it: itself and earlier ones."""
+    schema = pa.schema([("traj_id", pa.string()), ("b", pa.int64()), ("needs", pa.list_(pa.int64())), ("own", pa.int64()), ("g", pa.int64()), ("n_frames", pa.int64()), ("width", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("walk", pa.binary())])
     if not part.num_rows or not carry.num_rows:
         return schema.empty_table()
     c = carry.to_pylist()[0]
@@ -178,10 +179,8 @@ def _walked(part: pa.Table, carry: pa.Table) -> pa.Table:
     if not g:
         walk, g = walk[1:], 1
     n, total = _ends(walk, np.frombuffer(c["closing"], dtype=bool)) if len(walk) else (0, 0.0)
-    body, m = np.ascontiguousarray(walk).tobytes(), len(c["needs"])
-    own = [e == c["part"] for e in c["needs"]]
-    cells = [[c["traj_id"]] * m, [c["b"]] * m, c["needs"], [c["part"]] * m, [g] * m, [c["n_frames"]] * m, [xyz.shape[1]] * m, [n * o for o in own], [total * o for o in own], [body] * m]
-    return pa.table([pa.array(x, f.type) for x, f in zip(cells, schema, strict=True)], schema=schema)
+    cells = [c["traj_id"], c["b"], c["needs"], c["part"], g, c["n_frames"], xyz.shape[1], n, total, np.ascontiguousarray(walk).tobytes()]
+    return pa.table([pa.array([x], f.type) for x, f in zip(cells, schema, strict=True)], schema=schema)
 
 
 def _met(most: int):
@@ -217,8 +216,9 @@ def _ranged(dealt: DataFrame, sizes: DataFrame, most: int, length: int) -> DataF
     def walked(part: pa.Table, carry: pa.Table) -> pa.Table:
         return _walked(part, carry.rename_columns([c.removeprefix("_") for c in carry.column_names]))
 
-    walks_ = rows.groupBy(*keys).cogroup(fresh.groupBy(*[f"_{c}" for c in keys])).applyInArrow(walked, "traj_id string, b long, early long, own long, g long, n_frames long, width int, n long, total double, walk binary")
-    laid = walks_.repartition("traj_id", "b", "early").sortWithinPartitions("traj_id", "b", "early", F.col("own") != F.col("early"), "own")
+    walks_ = rows.groupBy(*keys).cogroup(fresh.groupBy(*[f"_{c}" for c in keys])).applyInArrow(walked, "traj_id string, b long, needs array<long>, own long, g long, n_frames long, width int, n long, total double, walk binary")
+    sent = walks_.select("traj_id", "b", F.explode("needs").alias("early"), *walks_.columns[3:])
+    laid = sent.repartition("traj_id", "b", "early").sortWithinPartitions("traj_id", "b", "early", F.col("own") != F.col("early"), "own")
     return laid.mapInArrow(_met(most), _SUMS)
 
 
@@ -231,9 +231,12 @@ def lag_sums(dealt: DataFrame, most: int = MOST_LAGS, length: int = RANGE, longe
     """
     if longest is not None and longest <= length:
         return _whole(dealt, None, most)
-    sizes = dealt.groupBy("traj_id").agg(F.count_distinct("frame").alias("n_frames"))
+    counted = lambda rows: rows.groupBy("traj_id").agg(F.count_distinct("frame").alias("n_frames"))
+    sizes = counted(dealt)
     if not sizes.where(F.col("n_frames") > length).take(1):
         return _whole(dealt, sizes, most)
+    dealt = written(dealt, "dealt-frames")  # read by each of the passes below
+    sizes = written(counted(dealt), "trajectory-sizes")
     long = sizes.where(F.col("n_frames") > length)
     return _whole(dealt, sizes.where(F.col("n_frames") <= length), most).union(_ranged(dealt, long, most, length))
 

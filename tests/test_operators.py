@@ -210,6 +210,22 @@ def test_contact_sweep_moves_blocks_not_pairs(spark, tmp_path):
     assert blocks.select(F.sum(F.size("x"))).first()[0] == 3000 and nulls.block_pairs(blocks).count() == near
 
 
+def test_a_range_of_the_clock_holds_little_however_many_ranges_need_it():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    frames, width = series.RANGE, min(series.BLOCK, 100)
+    xyz = pa.FixedSizeListArray.from_arrays(pa.array(np.random.default_rng(9).normal(0, 1, frames * width * 3)), width * 3).cast(pa.list_(pa.float64()))
+    part = pa.table({"frame": np.arange(frames), "box": np.full(frames, 50.0), "at": pa.nulls(frames, pa.list_(pa.int32())), "xyz": xyz, "width": pa.array([width] * frames, pa.int32())})
+    carry = {"traj_id": "t", "b": 0, "part": 90, "g": 90 * frames, "n_frames": 100 * frames, "start": np.zeros((width, 3)).tobytes(), "closing": np.zeros(width, dtype=bool).tobytes(), "needs": list(range(11, 91))}
+    tracemalloc.start()
+    got = series._walked(part, pa.Table.from_pylist([carry]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and got.nbytes < 64 << 20
+
+
 def frame_rows(spark, x, box, dt=1.0):
     rows = [("t", k, k * dt, box, v.ravel().tolist()) for k, v in enumerate(x)]
     return spark.createDataFrame(rows, "traj_id string, frame int, time_ps double, box double, tracer_nm array<float>")
